@@ -29,6 +29,10 @@ MOST_LANGUAGES = 64
 #: Bytes of a text that are compressed at once.
 PIECE_BYTES = 4096
 LEVEL = 6
+#: Appended to pieces shorter than SHORT_BYTES: bytes that no dictionary holds,
+#: since a block of a few bytes would be stored, whatever its matches.
+SHORT_BYTES = 256
+ANCHOR = bytes(33 + (i * i * 7 + i * 13) % 32 for i in range(64))
 #: Least margin of the smallest size over the second; narrower is rejected.
 LEAST_MARGIN = 0.01
 #: Margin with score one half.
@@ -81,7 +85,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
 def words(text: str) -> bytes:
     """UTF-8 of a text in lower case, each run of other than letters and marks
     being one space: case, markup and numbers tell no language."""
-    return re.sub(r"[\W\d_]+", " ", text.lower()).encode("utf-8", "surrogatepass")
+    return re.sub(r"[\W\d_]+", " ", f" {text.lower()} ").encode("utf-8", "surrogatepass")
 
 
 class Classifier:
@@ -96,8 +100,11 @@ class Classifier:
             self.packers.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, data: bytes) -> list[int]:
+        """Compressed bytes by language, without the anchor's."""
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        return [sum(len(p.compress(x)) for x in pieces) for p in self.packers]
+        extra = [ANCHOR if len(x) < SHORT_BYTES else b"" for x in pieces]
+        added = sum(map(len, extra))
+        return [max(1, sum(len(p.compress(x + y)) for x, y in zip(pieces, extra, strict=True)) - added) for p in self.packers]
 
     def best(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and acceptance of a whole text; ties go to the
