@@ -32,7 +32,7 @@ LEVEL = 6
 #: Appended to pieces shorter than SHORT_BYTES: bytes that no dictionary holds,
 #: since a block of a few bytes would be stored, whatever its matches.
 SHORT_BYTES = 256
-ANCHOR = bytes(33 + (i * i * 7 + i * 13) % 32 for i in range(64))
+ANCHOR = bytes(33 + i * 37 % 63 for i in range(63))
 #: Least margin of the smallest size over the second; narrower is rejected.
 LEAST_MARGIN = 0.01
 #: Margin with score one half.
