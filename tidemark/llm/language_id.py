@@ -29,10 +29,21 @@ MOST_LANGUAGES = 64
 #: Bytes of a text that are compressed at once.
 PIECE_BYTES = 4096
 LEVEL = 6
-#: Appended to pieces shorter than SHORT_BYTES: bytes that no dictionary holds,
-#: since a block of a few bytes would be stored, whatever its matches.
+#: Appended to pieces shorter than SHORT_BYTES: a block of a few bytes would be
+#: stored, whatever its matches, so this one has literals that compress. It is
+#: random over 26 symbols that no dictionary holds.
 SHORT_BYTES = 256
-ANCHOR = bytes(33 + i * 37 % 63 for i in range(63))
+
+
+def _anchor(length: int = 80, symbols: int = 26) -> bytes:
+    x, out = 1, []
+    for _ in range(length):
+        x = (x * 1103515245 + 12345) % 2**31
+        out.append(33 + (x >> 16) % symbols)
+    return bytes(out)
+
+
+ANCHOR = _anchor()
 #: Least margin of the smallest size over the second; narrower is rejected.
 LEAST_MARGIN = 0.01
 #: Margin with score one half.

@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -172,45 +173,47 @@ class Tokens:
     """Ids of texts by a tokenizer file. Words between ASCII white space are
     tokenized once each, as this tokenizer never joins over white space."""
 
-    def __init__(self, path: str, words: int = 400_000) -> None:
+    def __init__(self, path: str, words: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = words, {}
-        self.flat: list[np.ndarray] = []
+        self.most = words
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.empty(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        # the empty word, which no split gives, stands for the end id
+        self.known: dict[bytes, int] = {b"": 0}
+        self.ids = np.array([END_ID], np.uint32)
+        self.starts = np.array([0, 1], np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        base = len(self.known)
+        self.known.update(zip(words, range(base, base + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
+        for words in split:
+            words.append(b"")
         if len(self.known) > self.most:
             self.reset()
-        known = self.known
-        new = list({w: None for words in split for w in words if w not in known})
-        if new:
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            lists = [np.array(e.ids, np.uint32) for e in found]
-            base = len(known)
-            for i, w in enumerate(new):
-                known[w] = base + i
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in lists])])
-            self.ids = np.concatenate([self.ids, *lists])
-        out = []
-        for words in split:
-            at = np.fromiter((known[w] for w in words), np.int64, len(words))
-            starts, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
-            ends = np.cumsum(sizes)
-            n = int(ends[-1]) if len(ends) else 0
-            where = np.arange(n) + np.repeat(starts - (ends - sizes), sizes)
-            ids = np.empty(n + 1, np.uint32)
-            ids[:n] = self.ids[where]
-            ids[n] = END_ID
-            out.append(ids)
-        return out
+        flat = list(chain.from_iterable(split))
+        if new := set(flat).difference(self.known):
+            self.learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        starts = self.starts[at]
+        sizes = self.starts[at + 1] - starts
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(n) + np.repeat(starts - (ends - sizes), sizes)]
+        return np.split(ids, ends[np.cumsum([len(w) for w in split])[:-1] - 1]) if split else []
+
+
+#: One for each tokenizer file, kept from task to task in a Python worker.
+_TOKENS: dict[str, Tokens] = {}
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -218,7 +221,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
     nth number those of one length within the task that made them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = Tokens(tokenizer), TaskContext.get().partitionId()
+        tokens, part = _TOKENS.get(tokenizer) or Tokens(tokenizer), TaskContext.get().partitionId()
+        _TOKENS[tokenizer] = tokens
         seen: dict[int, int] = {}
         for batch in batches:
             rows: list[tuple] = []

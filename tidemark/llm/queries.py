@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, mixing, sharding, warc
+from tidemark.llm import language_id, mixing, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    """Vocabulary file of the packing query; TOKENIZER_FILE overrides it."""
+    if path := os.environ.get("TOKENIZER_FILE"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc_index": op1_warc_index,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
     "op9_language_id": op9_language_id,
 }
 
