@@ -27,16 +27,32 @@ from tidemark.llm.common import clear_of, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Groups of equal cardinality into which large lengths are rounded.
-GROUPS = 48
-#: Lengths of at least capacity / SMALL are large.
-SMALL = 8
+#: Numbers of groups of equal cardinality into which large lengths are rounded.
+GROUPS = (16, 48)
+#: Lengths of at least capacity / small are large, for the smalls tried.
+SMALLS = (3, 4, 2)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, smalls: tuple[int, ...] = SMALLS) -> list[tuple[int, int, int, int, int, int]]:
+    """The plan with the fewest sequences over the given numbers of groups and
+    bounds of large lengths. Each takes time by distinct lengths only."""
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best, fewest = [], -1
+    for small in smalls:
+        for g in groups:
+            rows = plan(counts, capacity, g, small)
+            used = max((first + -(-n // per) for _, _, n, per, first, _ in rows), default=0)
+            if fewest < 0 or used < fewest:
+                best, fewest = rows, used
+            if fewest <= least:
+                return best
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 48, small: int = 8) -> list[tuple[int, int, int, int, int, int]]:
     """Places for counts of lengths: rows (length, first rank, ranks, per
     sequence, first sequence, offset). Rank r of a length is in the row with
     first <= r < first + ranks, in sequence first_sequence + k // per at
@@ -55,7 +71,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
         used[length] += n
         counts[length] -= n
 
-    large = sorted((n for n in counts if n * SMALL >= capacity), reverse=True)
+    large = sorted((n for n in counts if n * small >= capacity), reverse=True)
     grouped = _groups(large, counts, groups)
     for sizes, times in _configurations([(g[0][0], sum(c for _, c in g)) for g in grouped], capacity):
         # a slot for each document of the configuration; each group is consumed in falling order
@@ -245,7 +261,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
     return written(rows.mapInArrow(run, PIECES), "pack-pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Sequence and offset of every piece of every document.
 
     A null or empty text is the end id alone; a text longer than the capacity
@@ -257,7 +273,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(by_part.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-offsets")
     counts = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = Places(plan(counts, capacity, groups))
+    places = Places(best_plan(counts, capacity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
