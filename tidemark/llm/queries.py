@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_id, mixing, packing, sharding, warc
+from tidemark.llm import audio, language_id, mixing, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
 
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_features(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_audio": op7_audio,
     "op9_language_id": op9_language_id,
 }
 
