@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, language_id, mixing, packing, sharding, warc
+from tidemark.llm import ann, audio, language_id, mixing, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(_table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_audio": op7_audio,
+    "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
 }
 
