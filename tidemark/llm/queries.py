@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, audio, language_id, mixing, packing, sharding, warc
+from tidemark.llm import ann, audio, language_id, mixing, packing, pii, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_index": op1_warc_index,
     "op3_sharding": op3_sharding,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op7_audio": op7_audio,
     "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
