@@ -27,6 +27,9 @@ from tidemark.llm.common import clear_of, written
 SAMPLE_ROWS = 65_536
 LEAST_SAMPLE = 8_192
 MOST_LISTS = 4_096
+#: Rows of the sample, at most and as a part of the table, whose scores bound
+#: each query's: the part keeps the candidates of a query as many at each size.
+BOUND_ROWS, BOUND_PART = 16_384, 4
 #: Recall at which the number of probed lists is set, measured on the sample.
 AIM = 0.97
 #: Of the hypothesis test: a candidate within the bound is lost with a chance
@@ -85,7 +88,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 def fit(rows: DataFrame, n: int, radius2: float, seed: int = 8) -> Index:
     """Centroids, probes and bounds from the rows of the smallest hashes."""
     lists = int(min(MOST_LISTS, max(1, math.sqrt(n) / 2)))
-    size = min(n, SAMPLE_ROWS, max(LEAST_SAMPLE, 16 * lists))
+    bounds = min(BOUND_ROWS, n // BOUND_PART)
+    size = min(n, SAMPLE_ROWS, max(LEAST_SAMPLE, 16 * lists, bounds))
     rate = min(1.0, 1.3 * size / n)
     near = rows.withColumn("h", F.xxhash64("vec_id", F.lit(seed)))
     if rate < 1:
@@ -94,7 +98,7 @@ def fit(rows: DataFrame, n: int, radius2: float, seed: int = 8) -> Index:
     rng = np.random.default_rng(seed)
     wide = sample.shape[1] + 1
     rotation = np.linalg.qr(rng.standard_normal((wide, wide)))[0]
-    index = Index(radius2, rotation, np.zeros((1, wide), np.float32), 1, sample[: 2048 if n > 4096 else 0])
+    index = Index(radius2, rotation, np.zeros((1, wide), np.float32), 1, sample[:bounds])
     turned = index.turned(sample)
     centroids = turned[rng.choice(len(turned), lists, replace=False)]
     for _ in range(8):
