@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,18 +139,15 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix64(value + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), start
 
 
-def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of record batches of about limit bytes of text; a longer text is
-    a slice of its own."""
+def batches_by_bytes(batches: Iterable[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches of about limit bytes in a column of text or
+    binary; a longer value is a slice of its own."""
     for batch in batches:
-        col = batch.column(column)
-        sizes = np.array([len(x) if x is not None else 0 for x in (v.as_buffer() if v.is_valid else None for v in col)], np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
         at = 0
         while at < len(sizes):
-            end, total = at, 0
-            while end < len(sizes) and (end == at or total + sizes[end] <= limit):
-                total += int(sizes[end])
-                end += 1
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
 
