@@ -11,6 +11,8 @@ its length and its rank among documents of that length.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import clear_of, written
+from tidemark.llm.common import batches_by_bytes, clear_of, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -185,41 +187,106 @@ def _fullest(room: int, items: list[tuple[int, int, int]]) -> list[int]:
     return list(best[max(best)])
 
 
+class _Numbered(dict):
+    """Words by number; one asked for the first time gets the next and is
+    listed in fresh."""
+
+    fresh: list[bytes]
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.fresh.append(word)
+        return at
+
+
 class Tokens:
     """Ids of texts by a tokenizer file. Words between ASCII white space are
-    tokenized once each, as this tokenizer never joins over white space."""
-
-    def __init__(self, path: str, words: int = 800_000) -> None:
+    tokenized once each, as this tokenizer never joins over white space. New
+    words go through it many at a time, in one text: the token that ends a word
+    part tells where the next word begins."""
+
+    #: How the tokenizer splits a word into parts.
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    END = "</w>"
+    JOINED = 512
+
+    def __init__(self, path: str, words: int = 700_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.END)]] = True
+        self.parts = regex.compile(self.PARTS)
         self.most = words
         self.reset()
 
     def reset(self) -> None:
         # the empty word, which no split gives, stands for the end id
-        self.known: dict[bytes, int] = {b"": 0}
-        self.ids = np.array([END_ID], np.uint32)
-        self.starts = np.array([0, 1], np.int64)
+        self.known = _Numbered({b"": 0})
+        self.known.fresh = []
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.ids[0] = END_ID
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.starts[1] = 1
+        self.seen = np.zeros(1 << 16, np.int64)
+        self.learned = 1
+
+    def forget(self) -> None:
+        """Keeps the more frequent half of the words."""
+        seen = self.seen[: self.learned].copy()
+        seen[0] = np.iinfo(np.int64).max
+        kept = np.sort(np.argpartition(-seen, self.learned // 2)[: self.learned // 2 + 1])
+        if kept[0] != 0:
+            kept = np.concatenate([[0], kept])
+        words, sizes = list(self.known), np.diff(self.starts[: self.learned + 1])
+        ids = [self.ids[self.starts[i] : self.starts[i + 1]] for i in kept.tolist()]
+        self.known = _Numbered({words[i]: n for n, i in enumerate(kept.tolist())})
+        self.known.fresh = []
+        self.learned = len(kept)
+        self.ids = np.concatenate(ids)
+        self.starts = np.concatenate([[0], np.cumsum(sizes[kept])])
+        # halved, so that words that were frequent once can go
+        self.seen = self.seen[kept] // 2
 
     def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        base = len(self.known)
-        self.known.update(zip(words, range(base, base + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        for at in range(0, len(words), self.JOINED):
+            ids, sizes = self.encode([w.decode("utf-8", "surrogatepass") for w in words[at : at + self.JOINED]])
+            first, n = self.learned, len(sizes)
+            self.starts = _room(self.starts, first + n + 1)
+            start = self.starts[first]
+            self.starts[first + 1 : first + n + 1] = start + np.cumsum(sizes)
+            self.ids = _room(self.ids, start + len(ids))
+            self.ids[start : start + len(ids)] = ids
+            self.learned += n
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        joined = " ".join(words)
+        if joined.isascii() or unicodedata.is_normalized("NFC", joined):
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            parts = np.fromiter((1 if w.isascii() and w.isalpha() else len(self.parts.findall(w)) for w in joined.lower().split(" ")), np.int64, len(words))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if parts.min() > 0 and parts.sum() == len(ends) and (not len(ids) or ends[-1] == len(ids)) and "<|" not in joined:
+                return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         for words in split:
             words.append(b"")
         if len(self.known) > self.most:
-            self.reset()
+            self.forget()
         flat = list(chain.from_iterable(split))
-        if new := set(flat).difference(self.known):
-            self.learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if fresh := self.known.fresh:
+            self.known.fresh = []
+            self.learn(fresh)
+        self.seen = _room(self.seen, self.learned)
+        self.seen[: self.learned] += np.bincount(at, minlength=self.learned)
         starts = self.starts[at]
         sizes = self.starts[at + 1] - starts
         ends = np.cumsum(sizes)
@@ -228,6 +295,15 @@ class Tokens:
         return np.split(ids, ends[np.cumsum([len(w) for w in split])[:-1] - 1]) if split else []
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy of twice its size if it is shorter than size."""
+    if len(array) >= size:
+        return array
+    out = np.zeros(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 #: One for each tokenizer file, kept from task to task in a Python worker.
 _TOKENS: dict[str, Tokens] = {}
 
@@ -242,8 +318,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
         seen: dict[int, int] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in batches_by_bytes([batch], 1):
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in some.column("text").to_pylist()]
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), tokens(texts), strict=True):
                     for piece, start in enumerate(range(0, len(ids), capacity)):
