@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, audio, language_id, mixing, packing, pii, sharding, suffix_dedup, warc
+from tidemark.llm import ann, audio, language_id, mixing, ngram_join, packing, pii, sharding, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -63,6 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc_index": op1_warc_index,
+    "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mixing": op5_mixing,
@@ -75,5 +80,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": warc.ORACLE,
+    "op2_ngram_join": ngram_join.ORACLE,
     "op3_sharding": sharding.ORACLE,
 }
