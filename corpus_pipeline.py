@@ -1,18 +1,78 @@
-"""The corpus pipeline: its stages in order."""
+"""The corpus pipeline: language ID, near-duplicate removal, surrogates for
+personal data, mixing to target weights and packing, in this order."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemark.llm import language_id, mixing, ngram_join, packing, pii
+from tidemark.llm.common import fresh_path, small_or_not, written
+from tidemark.llm.queries import tokenizer_path
+
+#: Columns that pass from stage to stage.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier accepts. It learns from the
+    labelled rows among them; without any, all documents are rejected."""
+    model = language_id.learn(docs)
+    return language_id.predict(docs, model).filter("accepted").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the group's
+    smallest doc_id, and of rows with this id that of the smallest text hash.
+    Documents without words, and those without an id, are in no group."""
+    groups = written(ngram_join.join_components(docs.select("doc_id", "text")), "pipeline-groups")
+    gone = groups.filter("n_shingles > 0 and doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(small_or_not(written(gone, "pipeline-gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # rows that share an id and are one group each count once
+    twice = written(groups.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "pipeline-twice")
+    if not twice.head(1):
+        return left.select(*COLUMNS)
+    marked = left.join(small_or_not(twice), F.col("doc_id") == F.col("_twice"), "left")
+    single = marked.filter("_twice is null").select(*COLUMNS)
+    first = marked.filter("_twice is not null").groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "source", "n_chars"), F.xxhash64("text")).alias("d"))
+    return single.unionByName(first.select("doc_id", "d.text", "d.lang", "d.source", "d.n_chars"))
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and secrets in their texts replaced."""
+    return pii.replace(docs).withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and offsets."""
+    return packing.pack(docs, tokenizer_path(), capacity=4096)
+
+
+STAGES = [
+    ("language ID", keep_languages),
+    ("n-gram Jaccard join", one_of_each),
+    ("PII", replace_private),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 #: No SQL expresses the first stage, a classifier learned by compression.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents, each to what the one before has
+    written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = fresh_path(spark, f"pipeline-stage{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
