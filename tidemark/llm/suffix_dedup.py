@@ -30,11 +30,11 @@ LENGTH = 400
 #: Leading bytes of a suffix that choose and identify anchors.
 GRAM = 128
 #: Bytes of a text that are scanned at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Rows of per-document lists that may be broadcast.
 LIST_ROWS = 400_000
 #: Strings that a bucket sorts at once; a larger group of equal leads is sorted whole.
-SORT_STRINGS = 4_000_000
+SORT_STRINGS = 2_000_000
 
 ANCHORS = "kind int, key binary, lead long, h long, span long, a int, lo int, hi int, n int"
 MARKS = "kind int, key binary, lead long, h long, a int, lo int, hi int"
