@@ -225,7 +225,9 @@ class Group:
 
     def __init__(self, members: list[tuple[int, int, np.ndarray]]) -> None:
         self.classes = np.array([c for c, _, _ in members], np.int64)
-        self.comps = np.array([x for _, x, _ in members], np.int64)
+        #: groups as joined so far by the links found here
+        self.labels = np.array([x for _, x, _ in members], np.int64)
+        self.up: dict[int, int] = {}
         self.sizes = np.array([len(t) for *_, t in members], np.int64)
         flat = np.concatenate([t for *_, t in members]) if members else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -242,11 +244,27 @@ class Group:
         hit = at[self.union[at] == tokens]
         if PER * len(hit) < LEAST * len(tokens):
             return []  # the bound fails for every member
+        own = self.root(comp)
+        if not (self.labels != own).any():
+            return []
         starts, sizes = self.starts[hit], self.starts[hit + 1] - self.starts[hit]
         where = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
         both = np.bincount(self.of[where], minlength=len(self.classes))
-        ok = (PER * both >= LEAST * (self.sizes + len(tokens) - both)) & (self.comps != comp) & (self.classes != c)
-        return self.classes[ok].tolist()
+        ok = (PER * both >= LEAST * (self.sizes + len(tokens) - both)) & (self.labels != own) & (self.classes != c)
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return []
+        # one link joins the query's group with another: more tell nothing
+        labels, first = np.unique(self.labels[at], return_index=True)
+        for label in labels.tolist():
+            self.up[label] = own
+        self.labels[np.isin(self.labels, labels)] = own
+        return self.classes[at[first]].tolist()
+
+    def root(self, comp: int) -> int:
+        while (up := self.up.get(comp, comp)) != comp:
+            comp = up
+        return comp
 
 
 def token_sets(rows: DataFrame, reps: DataFrame, needed: DataFrame, seed: int) -> DataFrame:
