@@ -53,8 +53,11 @@ class Engine:
     """Runs statements over DataFrames. Views are plans: nothing runs until a
     result is used, and Catalyst sees a whole chain of views at once."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, block_rows: int | None = 2_000_000) -> None:
+        """block_rows: windows without a key over more events than this run in
+        blocks of so many; None runs them in one task."""
         self.spark = spark
+        self.block_rows = block_rows
         self.catalog: dict[str, Stream | Table | View] = {}
         self._clock = 0
         self._sequence = 0
@@ -309,7 +312,7 @@ class Engine:
             raise SqlError("a SELECT from a stream needs LIMIT")
         if single and plain and isinstance(source, View) and source.planned.keys:
             rows = keyed.latest_per_key(source.planned.df, source.planned.keys)
-            planned = plan_events(s, rows, scope_of(rows, s.sources[0].label))
+            planned = plan_events(s, rows, scope_of(rows, s.sources[0].label), self.block_rows)
             keys = [k for k in source.planned.keys if k in planned.columns]
             return self._finish(s, planned, first=True, by=keys)
         planned = self._plan(s, for_view=False)
@@ -374,7 +377,7 @@ class Engine:
         if s.order_by and s.limit is None and for_view:
             raise SqlError("ORDER BY needs LIMIT")
         df, scope = self._from(s)
-        planned = plan_events(s, df, scope)
+        planned = plan_events(s, df, scope, self.block_rows)
         if for_view and s.limit is not None:
             rows = self._ordered(planned.df, s) if s.order_by else planned.df.orderBy(TS, SEQ).limit(s.limit)
             planned = Planned(rows, planned.keys)

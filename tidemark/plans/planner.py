@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tidemark.errors import SqlError
 from tidemark.functions import scalars as S
-from tidemark.operators import signal, windows
+from tidemark.operators import blocks, signal, windows
 from tidemark.operators.windows import SEQ, TS, Frame
 from tidemark.plans import ast as A
 
@@ -46,6 +46,25 @@ def sparse(e: A.Expr) -> bool:
     return any((isinstance(x, A.Case) and x.default is None) or (isinstance(x, A.Call) and x.name == "PEAK_DETECT") or isinstance(x, A.Null) for x in A.walk(e))
 
 
+def reach(*exprs: A.Expr | None) -> int | None:
+    """Events before the current one that the expressions look at; None if it
+    may be all of them."""
+    most = 0
+    for e in exprs:
+        if e is None:
+            continue
+        below = reach(*A.children(e))
+        if below is None:
+            return None
+        own = 0
+        if isinstance(e, A.Call) and e.name in STATEFUL:
+            if e.name in AGGREGATES or e.name in ("IIR", "RESAMPLE") or any(map(sparse, e.args)):
+                return None
+            own = (len(coefficients(e, 1, 2)) if e.name == "FIR" else positive(e, 0, 1) if e.name == "MOVING_COUNT" else positive(e, 1, 2)) - 1
+        most = max(most, own + below)
+    return most
+
+
 def default_name(e: A.Expr) -> str:
     if isinstance(e, A.Col):
         return e.name
@@ -300,8 +319,19 @@ class Planned:
         return [c for c in self.df.columns if c not in (TS, SEQ)]
 
 
-def plan_events(select: A.Select, df: DataFrame, scope: Scope) -> Planned:
-    """A query over events, without ORDER BY and LIMIT."""
+def spread(df: DataFrame, block_rows: int | None, *exprs: A.Expr | None) -> tuple[DataFrame, Frame] | None:
+    """Events in blocks, and the frame of a block, for windows without a key
+    that reach back a bounded number of events; None if one task will do, or
+    must: running totals and recursive filters need all that was before."""
+    back = reach(*exprs)
+    if not block_rows or not back or (total := df.count()) <= block_rows:
+        return None
+    return blocks.in_blocks(blocks.with_rank(df, total, block_rows), back, block_rows), Frame((blocks.BLOCK,), (blocks.RANK,))
+
+
+def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int | None = None) -> Planned:
+    """A query over events, without ORDER BY and LIMIT. Windows without a key
+    go in blocks of block_rows events, if there are more."""
     items = select.items
     if any(isinstance(i.expr, A.Star) for i in items):
         if any(i.alias for i in items if isinstance(i.expr, A.Star)):
@@ -316,10 +346,11 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope) -> Planned:
     resampled = [i for i in items if isinstance(i.expr, A.Call) and i.expr.name == "RESAMPLE"]
 
     # WHERE sees the events of all keys, before any other state
-    before = Stages(df, scope, Frame(), "_w")
+    parts = spread(df, block_rows, where) if stateful(where) else None
+    before = Stages(*((parts[0], scope, parts[1]) if parts else (df, scope, Frame())), "_w")
     if where is not None:
-        condition = before.truth(where)
-        before.df = before.df.filter(condition & before.emitted(where))
+        condition = before.truth(where) & before.emitted(where)
+        before.df = blocks.own(before.df, condition) if parts else before.df.filter(condition)
     df = before.df.drop(*[c for c in before.df.columns if c.startswith("_w")])
 
     keys, key_names = [], []
@@ -340,11 +371,17 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope) -> Planned:
     fast = velocity(having)
     if fast is not None:
         n, op, bound = fast
-        df = df.withColumn("_rank", F.row_number().over(Window.orderBy(TS, SEQ)))
-        df = df.withColumn("_velocity", windows.moving_key_count(n, F.col("_rank"), frame.keys))
+        if block_rows and (total := df.count()) > block_rows:
+            df = blocks.with_rank(df, total, block_rows)
+        else:
+            df = df.withColumn(blocks.RANK, F.row_number().over(Window.orderBy(TS, SEQ)))
+        df = df.withColumn("_velocity", windows.moving_key_count(n, F.col(blocks.RANK), frame.keys))
         df = df.filter(S.compare(op, F.col("_velocity"), F.lit(float(bound))))
         having = None
 
+    parts = spread(df, block_rows, having, *[i.expr for i in items]) if not keys else None
+    if parts:
+        df, frame = parts
     stages = Stages(df, scope, frame, "_s")
     if fast is not None:
         stages.made[A.Call("MOVING_COUNT", (A.Num(float(fast[0])),))] = "_velocity"
@@ -356,7 +393,7 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope) -> Planned:
     if having is not None:
         ok = ok & stages.emitted(having)
         ok = stages.truth(having) & ok
-    out = stages.df.filter(ok)
+    out = stages.df.filter(ok & F.col(blocks.OWN) if parts else ok)
 
     shown = {item.expr: item.alias for item in items if item.expr in [e for e, _ in key_names]}
     names: list[str] = []
