@@ -199,3 +199,37 @@ def test_functions_of_spark_are_at_hand(engine, spark):
     spark.udf.register("twice", lambda x: x * 2, "double")
     fill(engine, [(1, 2, 3)])
     assert everything(engine, "SELECT TWICE(price) AS a, GREATEST(k, qty) AS b FROM t") == [(10, 4, 3)]
+
+
+def test_graph_and_command_line(engine, spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    engine.execute("CREATE VIEW v AS SELECT k FROM t")
+    assert "t --> v" in engine.show_graph()
+    (tmp_path / "catalog.json").write_text('{"s": ["a", "b"]}')
+    (tmp_path / "script.sql").write_text("INSERT INTO s VALUES (1, 2), (3, 4); SELECT a + b AS total FROM s WHERE b > 0 LIMIT 5")
+    assert main(["--file", str(tmp_path / "script.sql"), "--catalog", str(tmp_path / "catalog.json"), "--format", "json"]) == 0
+    assert '"total":3.0' in capsys.readouterr().out
+    assert main(["SELECT a FROM nowhere LIMIT 1"]) == 1
+
+
+def test_reads_by_time(engine):
+    from tidemark.operators.keyed import between, latest, latest_before
+    from tidemark.operators.windows import TS
+
+    fill(engine, TRADES)
+    events = engine.events("t")
+    at = lambda df: sorted(r[TS] for r in df.collect())
+    assert at(latest(events, 2)) == [50, 60] and at(latest_before(events, 35)) == [30]
+    assert at(between(events, 20, 40)) == [20, 30, 40] and at(between(events, 20, 60, 2)) == [20, 30]
+
+
+def test_files(spark, tmp_path):
+    from tidemark.operators.windows import SEQ, TS
+    from tidemark.sources.events import read_events, write_events
+
+    df = spark.createDataFrame([(5, 1, 2.0), (6, 2, 3.0)], "time long, id long, x double")
+    for kind, schema in (("parquet", None), ("csv", df.schema), ("json", df.schema), ("orc", None)):
+        write_events(df, f"{tmp_path}/{kind}", kind)
+        found = read_events(spark, f"{tmp_path}/{kind}", "time", ["id"], kind, schema)
+        assert sorted((r[TS], r[SEQ], r["x"]) for r in found.collect()) == [(5, 1, 2.0), (6, 2, 3.0)]

@@ -12,12 +12,11 @@ from pyspark.sql import types as T
 
 from tidemark.errors import SqlError
 from tidemark.operators import joins, keyed
-from tidemark.operators.windows import SEQ, TS
+from tidemark.operators.windows import SEQ, TS, Frame
 from tidemark.plans import ast as A
 from tidemark.plans.parser import parse, parse_many
 from tidemark.plans.planner import AGGREGATES, Planned, Scope, Stages, aggregates, expand_aliases, plan_events, scope_of, stateful
-from tidemark.operators.windows import Frame
-from tidemark.sources.events import from_rows, time_column
+from tidemark.sources.events import as_events, from_rows, time_column
 
 TIME = "time"
 
@@ -53,11 +52,13 @@ class Engine:
     """Runs statements over DataFrames. Views are plans: nothing runs until a
     result is used, and Catalyst sees a whole chain of views at once."""
 
-    def __init__(self, spark: SparkSession, block_rows: int | None = 2_000_000) -> None:
+    def __init__(self, spark: SparkSession, block_rows: int | None = 2_000_000, hot_keys: bool = False) -> None:
         """block_rows: windows without a key over more events than this run in
-        blocks of so many; None runs them in one task."""
+        blocks of so many; None runs them in one task. hot_keys: keys with more
+        events are split likewise; it costs a count of each keyed view's events."""
         self.spark = spark
         self.block_rows = block_rows
+        self.hot_keys = hot_keys
         self.catalog: dict[str, Stream | Table | View] = {}
         self._clock = 0
         self._sequence = 0
@@ -146,8 +147,6 @@ class Engine:
         """A stream over a DataFrame: ts is a column of long times (or of
         timestamps, taken in microseconds), order further columns that make the
         order total; without them equal times are in no fixed order."""
-        from tidemark.sources.events import as_events
-
         self.catalog[self._new(name)] = Stream(name, tuple(columns or [c for c in df.columns]), as_events(df, ts, order, columns))
 
     def register_table(self, name: str, df: DataFrame, key: str, ts: int = 0) -> None:
@@ -260,6 +259,14 @@ class Engine:
         table.changes = table.changes.unionByName(gone, allowMissingColumns=True)
         self._refresh(name)
 
+    def show_graph(self) -> str:
+        """The sources and what reads them, as a Mermaid graph."""
+        lines = ["graph LR"]
+        for x in self.catalog.values():
+            lines.append(f'  {x.name}["{type(x).__name__.lower()} {x.name}"]')
+            lines += [f"  {r} --> {x.name}" for r in sorted(getattr(x, "reads", ()))]
+        return "\n".join(lines)
+
     def subscribe(self, name: str, callback: Callable[[DataFrame], None]) -> None:
         """Calls back with the new rows of a stream, or the rows of a view,
         whenever they change."""
@@ -312,7 +319,7 @@ class Engine:
             raise SqlError("a SELECT from a stream needs LIMIT")
         if single and plain and isinstance(source, View) and source.planned.keys:
             rows = keyed.latest_per_key(source.planned.df, source.planned.keys)
-            planned = plan_events(s, rows, scope_of(rows, s.sources[0].label), self.block_rows)
+            planned = plan_events(s, rows, scope_of(rows, s.sources[0].label), self.block_rows, self.hot_keys)
             keys = [k for k in source.planned.keys if k in planned.columns]
             return self._finish(s, planned, first=True, by=keys)
         planned = self._plan(s, for_view=False)
@@ -377,7 +384,7 @@ class Engine:
         if s.order_by and s.limit is None and for_view:
             raise SqlError("ORDER BY needs LIMIT")
         df, scope = self._from(s)
-        planned = plan_events(s, df, scope, self.block_rows)
+        planned = plan_events(s, df, scope, self.block_rows, self.hot_keys)
         if for_view and s.limit is not None:
             rows = self._ordered(planned.df, s) if s.order_by else planned.df.orderBy(TS, SEQ).limit(s.limit)
             planned = Planned(rows, planned.keys)

@@ -329,9 +329,10 @@ def spread(df: DataFrame, block_rows: int | None, *exprs: A.Expr | None) -> tupl
     return blocks.in_blocks(blocks.with_rank(df, total, block_rows), back, block_rows), Frame((blocks.BLOCK,), (blocks.RANK,))
 
 
-def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int | None = None) -> Planned:
+def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int | None = None, hot_keys: bool = False) -> Planned:
     """A query over events, without ORDER BY and LIMIT. Windows without a key
-    go in blocks of block_rows events, if there are more."""
+    go in blocks of block_rows events, if there are more; with hot_keys, so do
+    those of keys that have more."""
     items = select.items
     if any(isinstance(i.expr, A.Star) for i in items):
         if any(i.alias for i in items if isinstance(i.expr, A.Star)):
@@ -380,6 +381,9 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int |
         having = None
 
     parts = spread(df, block_rows, having, *[i.expr for i in items]) if not keys else None
+    back = reach(having, *[i.expr for i in items]) if keys and hot_keys and block_rows else None
+    if back and (split := blocks.hot_keys_in_blocks(df, keys, back, block_rows)) is not None:
+        parts = split, Frame((*keys, blocks.BLOCK))
     if parts:
         df, frame = parts
     stages = Stages(df, scope, frame, "_s")
