@@ -39,14 +39,22 @@ _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.,])(?:\d{4}[ -]){3}\d{1,7}(?![\d])|(?<![\d.,])\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d.,])\d{13,19}(?!\d)"
-_SECRET = r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b|\b(?=[0-9A-F]*\d)[0-9A-F]{32,128}\b|(?<=\bpassword[=:])[^\s\"',;&|]{4,}|(?<=\bpasswd[=:])[^\s\"',;&|]{4,}|(?<=\bsecret[=:])[^\s\"',;&|]{4,}|(?<=\bapi_key[=:])[^\s\"',;&|]{4,}"
+_SECRET = r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b|\b(?=[0-9A-F]*\d)[0-9A-F]{32,128}\b|(?<=[=:])(?<=\b(?:password|passwd|secret|api_key)[=:])[^\s\"',;&|]{4,}"
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join((*TITLES_F, *TITLES_M))
-_NAME = rf"(?<=\b(?:{_TITLE})\.? ){_WORD}(?: {_WORD}){{0,2}}"
+# the cheap looks come first: most places fail them
+_NAME = rf"(?<= )(?=\p{{Lu}})(?<=\b(?:{_TITLE})\.? ){_WORD}(?: {_WORD}){{0,2}}"
 #: All entities; of two that begin at one place the first kind wins.
 PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IBAN, _IP, _SSN, _PHONE, _CARD, _NAME))
-#: What a text must hold to be searched at all.
-HINT = rf"[@\d]|\b(?:{_TITLE})\b|password|passwd|secret|api_key"
+#: What a text must hold one of to be searched at all, beside @ and digits.
+HINTS = (*TITLES_F, *TITLES_M, "password", "passwd", "secret", "api_key")
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text may hold an entity; false for null. Plain searches for
+    fixed strings cost far less than the patterns they spare."""
+    found = reduce(lambda a, b: a | b, [text.contains(h) for h in HINTS], text.rlike(r"[@\d]"))
+    return F.coalesce(found, F.lit(False))
 
 
 def _letters(x: Column) -> Column:
@@ -186,7 +194,7 @@ def dressed(kind: Column, entity: Column, plain: Column) -> Column:
 
 def found_in(text: Column) -> Column:
     """Entities of a text in their order; none for null."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
+    return F.when(hinted(text), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
 
 
 def genders_in(text: Column) -> Column:
@@ -248,17 +256,23 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     hit = found.join(small_or_not(spelled), (F.col("entity") == F.col("sentity")) & (F.col("g") == F.col("sg")))
     maps = hit.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "entity", "g"), "new"))).alias("_map"))
     maps = written(maps.withColumnRenamed("h", "_h"), "pii-maps")
-    rows = docs.select(*[docs[c] for c in names])
-    plain = rows.filter(~F.coalesce(F.col("text").rlike(HINT), F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
+    # the row goes along as one value, so that no column of its own can clash
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
     text = F.col("text")
-    hinted = rows.filter(text.rlike(HINT)).join(small_or_not(maps), F.xxhash64("text") == F.col("_h"), "left")
+
+    def unpacked(df: DataFrame, new: Column, n: Column) -> DataFrame:
+        made = df.select("row", new.alias("_new"), n.cast("long").alias("_n"))
+        return made.select(*[(made["_new"] if c == "text" else made["row"].getField(c)).alias(c) for c in names], made["_n"].alias("n_entities"))
+
+    plain = unpacked(rows.filter(~hinted(text)), text, F.lit(0))
+    some = rows.filter(hinted(text)).join(small_or_not(maps), F.xxhash64("text") == F.col("_h"), "left")
     entities = F.when(F.col("_map").isNotNull(), found_in(text)).otherwise(F.array().cast("array<string>"))
-    hinted = hinted.withColumn("_e", entities)
+    some = some.withColumn("_e", entities)
     pieces = F.split(text, PATTERN, -1)
-    zipped = F.arrays_zip("_e", F.slice(genders_in(text), F.lit(1), F.size("_e")).alias("g"), F.slice(pieces, F.lit(2), F.size("_e")).alias("p"))
+    genders = F.slice(genders_in(text), F.lit(1), F.size("_e")).alias("g")
+    zipped = F.arrays_zip("_e", genders, F.slice(pieces, F.lit(2), F.size("_e")).alias("p"))
     swapped = F.transform(zipped, lambda x: F.concat(F.coalesce(F.col("_map")[F.concat_ws("\x1f", x["_e"], x["g"])], x["_e"]), x["p"]))
     new = F.when(F.size("_e") > 0, F.concat(pieces[0], F.array_join(swapped, ""))).otherwise(text)
-    zipped_keys = F.transform(F.arrays_zip("_e", F.slice(genders_in(text), F.lit(1), F.size("_e")).alias("g")), lambda x: F.concat_ws("\x1f", x["_e"], x["g"]))
-    n = F.when(F.size("_e") > 0, F.size(F.filter(zipped_keys, lambda k: F.map_contains_key(F.col("_map"), k)))).otherwise(0)
-    done = hinted.select(*[new.alias(c) if c == "text" else F.col(c) for c in names], n.cast("long").alias("n_entities"))
-    return plain.unionByName(done)
+    keys = F.transform(F.arrays_zip("_e", genders), lambda x: F.concat_ws("\x1f", x["_e"], x["g"]))
+    n = F.when(F.size("_e") > 0, F.size(F.filter(keys, lambda k: F.map_contains_key(F.col("_map"), k)))).otherwise(0)
+    return plain.unionByName(unpacked(some, new, n))
