@@ -147,6 +147,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
     plan = mix(docs, **how).filter("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("text")))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_draw")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    # the row goes along as one value, so that no column of its own can clash
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    row = F.col("row")
+    same = row["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(row["text"]) == F.col("_draw")) & row["source"].cast("string").eqNullSafe(F.col("_source"))
+    joined = keyed.join(plan, same)
+    made = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
+    return made.select(*[made["row"].getField(c).alias(c) for c in docs.columns])
