@@ -56,10 +56,16 @@ def allotted(sources: DataFrame, share: float, most: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.lit(level) * F.col("weight"), stop))
 
 
-def _odds_rank(seed: int) -> Column:
+def uniform(seed: int) -> Column:
+    """A number in (0, 1) from 52 bits of a digest of seed, id and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+
+
+def odds_rank() -> Column:
     """Q / (1 + Q), in (0, 1): Pareto rank, monotone in the random odds over
     the inclusion odds."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("draw"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
+    u = F.col("u")
     q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     return F.when((F.col("p") > 0) & (F.col("p") < 1), q / (1 + q))
 
@@ -78,6 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.col("text")).alias("draw"),
+        uniform(seed).alias("u"),
     )
     rows = written(rows, "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -94,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     )
     plan = written(plan, "mix-plan")
     same = F.col("source").eqNullSafe(F.col("of"))
-    drawn = rows.join(small_or_not(plan.withColumnRenamed("source", "of")), same).drop("of").withColumn("rank", _odds_rank(seed))
+    drawn = rows.join(small_or_not(plan.withColumnRenamed("source", "of")), same).drop("of").withColumn("rank", odds_rank())
     cut = written(last_ranks(drawn, plan).withColumnRenamed("source", "of"), "mix-cut")
     joined = drawn.join(small_or_not(cut), same, "left").drop("of")
     copies = F.col("whole") + F.when(F.col("rank") <= F.col("last"), 1).otherwise(0)
@@ -154,3 +161,36 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     joined = keyed.join(plan, same)
     made = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
     return made.select(*[made["row"].getField(c).alias(c) for c in docs.columns])
+
+
+#: DuckDB SQL of op5 over documents: sources fill up in the order in which a
+#: rising level would stop them, and a source's sample ends nearest to its rest.
+ORACLE = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (('0x' || substr(md5('20:' || COALESCE(doc_id::VARCHAR, '') || ':' || COALESCE(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighted AS (
+  SELECT *, list_extract([5, 2, 1], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sources),
+filled AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS stop,
+    ((SELECT 1.5::DOUBLE * sum(source_size) FROM sources) - COALESCE(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted),
+targets AS (
+  SELECT source, source_size, LEAST(COALESCE((SELECT arg_min(level, stop) FROM filled WHERE level < stop), 'infinity'::DOUBLE) * weight, 2.0::DOUBLE * source_size) AS target FROM filled),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
+ranked AS (
+  SELECT docs.*, source_size, target, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source),
+odds AS (
+  SELECT *, CASE WHEN p > 0 AND p < 1 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked),
+running AS (
+  SELECT source, q, rest, sum(size) OVER (PARTITION BY source ORDER BY q) AS words FROM odds WHERE q IS NOT NULL),
+cuts AS (
+  SELECT source, arg_min(q, struct_pack(off := abs(words - rest), words := words)) AS last
+  FROM (SELECT * FROM running UNION ALL SELECT DISTINCT source, -1.0, rest, 0 FROM running) GROUP BY source)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN q <= last THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM odds LEFT JOIN cuts ON odds.source IS NOT DISTINCT FROM cuts.source
+"""

@@ -82,4 +82,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": warc.ORACLE,
     "op2_ngram_join": ngram_join.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op5_mixing": mixing.ORACLE,
 }
