@@ -32,9 +32,7 @@ GRAM = 128
 #: Bytes of a text that are scanned at once.
 CHUNK = 2 << 20
 #: Rows of per-document lists that may be broadcast.
-LIST_ROWS = 400_000
-#: Strings that a bucket sorts at once; a larger group of equal leads is sorted whole.
-SORT_STRINGS = 2_000_000
+LIST_ROWS = 150_000
 
 ANCHORS = "kind int, key binary, lead long, h long, span long, a int, lo int, hi int, n int"
 MARKS = "kind int, key binary, lead long, h long, a int, lo int, hi int"
@@ -278,8 +276,8 @@ def look_closer(rows: DataFrame, marks: DataFrame) -> DataFrame:
         total = 0
         for table in _groups(batches, []):
             held.append(table)
-            total += int(np.sum(table.column("hi").to_numpy() - table.column("lo").to_numpy() + 1))
-            if total > SORT_STRINGS // 8:
+            total += int(np.sum(table.column("hi").to_numpy() - table.column("lo").to_numpy() + LENGTH))
+            if total > CHUNK:
                 yield from _repeats(pa.concat_tables(held))
                 held, total = [], 0
         if held:
@@ -292,20 +290,14 @@ def _repeats(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Stretches of repeated strings of the open rows of whole groups."""
     key, a, lo, hi = _key_numbers(table.column("key")), *(table.column(c).to_numpy() for c in ("a", "lo", "hi"))
     once = np.sort(np.unique(_codes(key, a, lo), return_index=True)[1])
-    table = table.take(pa.array(once)).combine_chunks()
+    table = pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.take(pa.array(once)).columns], names=table.column_names)
     lead, h, a, lo, hi, kind = (table.column(c).to_numpy() for c in ("lead", "h", "a", "lo", "hi", "kind"))
-    sizes = hi.astype(np.int64) - lo + LENGTH
-    raw = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    prints = Fingerprints(raw)
     counts = hi.astype(np.int64) - lo + 1
     row = np.repeat(np.arange(len(counts)), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[row] + nth
-    quarter = LENGTH // 4
     # strings at one distance before equal leading bytes
     group = _codes(_codes(lead, h)[row], (a - lo)[row] - nth)
-    characters = [prints.of(at + i * quarter, at + (i + 1) * quarter) for i in range(4)]
+    characters = _characters(table.column("context"), counts)
     found = multikey_repeats(group, characters) & (kind == OPEN)[row]
     where = np.flatnonzero(found)
     if not len(where):
@@ -313,10 +305,29 @@ def _repeats(table: pa.Table) -> Iterator[pa.RecordBatch]:
     new = np.append(True, (np.diff(row[where]) != 0) | (np.diff(nth[where]) != 1))
     first = where[new]
     last = where[np.append(new[1:], True)]
-    keys = table.column("key").combine_chunks() if isinstance(table.column("key"), pa.ChunkedArray) else table.column("key")
+    keys = table.column("key")
     yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[first])), pa.array((lo[row[first]] + nth[first]).astype(np.int32)), pa.array((lo[row[last]] + nth[last]).astype(np.int32))], names=["key", "lo", "hi"])
 
 
+def _characters(contexts: pa.Array, counts: np.ndarray) -> list[np.ndarray]:
+    """Fingerprints of the four quarters of each string of the contexts, of
+    some contexts at a time: only they are kept of the bytes."""
+    quarter = LENGTH // 4
+    sizes = counts + LENGTH - 1
+    ends = np.cumsum(sizes)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CHUNK, side="right")))
+        prints = Fingerprints(np.frombuffer(b"".join(contexts.slice(at, end - at).to_pylist()), np.uint8))
+        own, n = sizes[at:end], counts[at:end]
+        first = np.repeat(np.cumsum(own) - own, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        for i in range(4):
+            out[i].append(prints.of(first + i * quarter, first + (i + 1) * quarter))
+        at = end
+    return [np.concatenate(x) for x in out]
+
+
 def union_of(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the intervals [lo, hi), touching ones joined."""
     order = np.argsort(lo, kind="stable")
@@ -385,3 +396,23 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
 
     done = joined.mapInArrow(run, KEPT)
     return done if with_kept else done.drop("kept")
+
+
+#: DuckDB SQL of op4 over documents: every string of every text, for small tables.
+ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(len(h) // 2 - 399)) AS i FROM docs WHERE len(h) >= 800)),
+repeated AS (SELECT r, i FROM strings WHERE k IN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1)),
+numbered AS (
+  SELECT r, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g
+  FROM (SELECT r, i, lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) AS before FROM repeated)),
+runs AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY r, g),
+gaps AS (
+  SELECT r, lo, COALESCE(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since, hi FROM runs),
+kept AS (
+  SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS k
+  FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(k, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
