@@ -72,9 +72,9 @@ def join_rows():
     return rows
 
 
-@pytest.mark.parametrize(("row", "block", "common"), [(64, 256, 48), (3, 4, 2), (2, 3, 0)])
-def test_jaccard_join(spark, monkeypatch, row, block, common):
-    for name, value in (("ROW", row), ("BLOCK", block), ("COMMON", common)):
+@pytest.mark.parametrize(("row", "block", "common", "queries"), [(64, 256, 48, 512), (3, 4, 2, 2), (2, 3, 0, 1)])
+def test_jaccard_join(spark, monkeypatch, row, block, common, queries):
+    for name, value in (("ROW", row), ("BLOCK", block), ("COMMON", common), ("QUERIES", queries)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = join_rows()
     found = ngram_join.join_components(clashing(spark, rows))

@@ -31,6 +31,8 @@ LEAST, PER = 75, 100
 ROW = 64
 #: Members of one block of a longer row.
 BLOCK = 256
+#: Queries of one group that meet in a task; a group with more is copied.
+QUERIES = 512
 #: Postings that one task sorts.
 POSTINGS = 1_000_000
 #: Cells of the frequency sketch: one for so many bytes of text, within bounds.
@@ -196,7 +198,7 @@ def open_groups(probes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links found by probing groups. probes: g, role (0 member, 1 query), c,
     comp; classes of one comp are not compared. Result: a, b (classes)."""
     parts = max(1, int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    filled = probes.join(sets, "c").repartition(parts, "g").sortWithinPartitions("g", "role")
+    filled = dealt(probes).join(sets, "c").repartition(parts, "g").sortWithinPartitions("g", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members, closed = None, [], None
@@ -219,6 +221,20 @@ def open_groups(probes: DataFrame, sets: DataFrame) -> DataFrame:
     return filled.select("g", "role", "c", "comp", "tokens").mapInArrow(run, "a long, b long").distinct()
 
 
+def dealt(probes: DataFrame) -> DataFrame:
+    """Probes with the queries of each large group dealt to copies of it, so
+    that the leader of many near copies is not one task's."""
+    size = probes.filter("role = 1").groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > QUERIES)
+    large = written(size.select("_g", F.ceil(F.col("n") / QUERIES).cast("int").alias("copies")), "join-large")
+    if not large.head(1):
+        return probes
+    marked = probes.join(small_or_not(large), F.col("g") == F.col("_g"), "left")
+    own = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("c"), F.col("copies")).cast("int")))
+    few = marked.filter("copies is null").select("g", "role", "c", "comp")
+    many = marked.filter("copies is not null").select("g", "role", "c", "comp", F.explode(own).alias("copy"))
+    return few.unionByName(many.select(F.xxhash64("g", "copy").alias("g"), "role", "c", "comp"))
+
+
 class Group:
     """One column of the matrix: the union of the members' tokens, and which
     member holds which."""
