@@ -30,7 +30,7 @@ LENGTH = 400
 #: Leading bytes of a suffix that choose and identify anchors.
 GRAM = 128
 #: Bytes of a text that are scanned at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Rows of per-document lists that may be broadcast.
 LIST_ROWS = 150_000
 
