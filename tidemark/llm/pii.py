@@ -39,7 +39,8 @@ _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.,])(?:\d{4}[ -]){3}\d{1,7}(?![\d])|(?<![\d.,])\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d.,])\d{13,19}(?!\d)"
-_SECRET = r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b|\b(?=[0-9A-F]*\d)[0-9A-F]{32,128}\b|(?<=[=:])(?<=\b(?:password|passwd|secret|api_key)[=:])[^\s\"',;&|]{4,}"
+_KEY = r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b|\b(?=[0-9A-F]*\d)[0-9A-F]{32,128}\b"
+_SECRET = _KEY + r"|(?<=[=:])(?<=\b(?:password|passwd|secret|api_key)[=:])[^\s\"',;&|]{4,}"
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join((*TITLES_F, *TITLES_M))
 # the cheap looks come first: most places fail them
@@ -47,7 +48,8 @@ _NAME = rf"(?<= )(?=\p{{Lu}})(?<=\b(?:{_TITLE})\.? ){_WORD}(?: {_WORD}){{0,2}}"
 #: All entities; of two that begin at one place the first kind wins.
 PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IBAN, _IP, _SSN, _PHONE, _CARD, _NAME))
 #: What a text must hold one of to be searched at all, beside @ and digits.
-HINTS = (*TITLES_F, *TITLES_M, "password", "passwd", "secret", "api_key")
+#: Each alternative of PATTERN implies one of these, a digit or @.
+HINTS = (*TITLES_F, *TITLES_M, "password", "passwd", "secret", "api_key", "AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def hinted(text: Column) -> Column:
@@ -79,6 +81,7 @@ def kind_of(entity: Column) -> Column:
     digits are wrong, and it stays."""
     return (
         F.when(entity.rlike(f"^(?:{_EMAIL})$"), "email")
+        .when(entity.rlike(f"^(?:{_KEY})$"), "secret")
         .when(entity.rlike(f"^(?:{_IP})$"), "ip")
         .when(entity.rlike(f"^(?:{_SSN})$"), "ssn")
         .when(entity.rlike(f"^(?:{_PHONE})$"), "phone")
