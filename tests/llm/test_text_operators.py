@@ -208,6 +208,32 @@ def test_keys_without_digits(spark):
     assert re.fullmatch(r"use AKIA[A-Z0-9]{16} here", found[2])
 
 
+def test_surrogates_by_label_and_within_runs(spark):
+    """Labelled secrets whatever their characters; entities in runs of groups
+    that are none as a whole."""
+    account = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    secrets = ["password=1234567890123", "secret:2024-01-15-0001-22", "api_key=9807915762804490", "password=Hunter", "passwd=p@ss.word!x"]
+    runs = [
+        "AB12 4111 1111 1111 1111", "code BE68 5390 0754 7034 CALL us", "AB13 BE68 5390 0754 7034", "1234 4111 1111 1111 1111",
+        "BE68 5390 0754 7034 4111-1111-1111-1111", "AT61 1904 3002 3457 3201 4111 1111 1111 1111", "4111 1111 1111 1111 5500 0055 5555 5559", "AB12 1234 5678 9012 3456", "4111 1111 1111 1111",
+    ]
+    found, counts = replaced(spark, secrets + runs)
+    assert counts == [1] * 5 + [1, 1, 1, 1, 2, 2, 2, 0, 1]
+    for old, new in zip(secrets, found, strict=False):
+        label, value = re.split("[=:]", old)
+        assert new.startswith(label) and value not in new and len(new) == len(old)
+    assert found[4][-3:] != "d!x"
+    new = found[5:]
+    assert [re.sub(r"[A-Z0-9]", "x", x) for x in new] == [re.sub(r"[A-Z0-9]", "x", x) for x in runs]
+    card = new[8]
+    assert digits_ok(card) and card != runs[8]
+    assert new[0] == f"AB12 {card}" and new[3] == f"1234 {card}" and new[7] == runs[7]
+    belgian = new[2][5:]
+    assert account(belgian.replace(" ", "")) and belgian.startswith("BE") and belgian != "BE68 5390 0754 7034"
+    assert new[1] == f"code {belgian} CALL us" and new[4] == f"{belgian} {card.replace(' ', '-')}"
+    assert account(new[5][:24].replace(" ", "")) and new[5][25:] == card and new[6].startswith(f"{card} ") and digits_ok(new[6][20:]) and "5500" not in new[6]
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.replace(spark.createDataFrame([], DOCS)).count() == 0
 

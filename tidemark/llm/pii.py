@@ -36,17 +36,34 @@ _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+# runs of groups that may hold accounts and cards; what is valid in them is found by check digits
+_IBAN_RUN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}(?:[ -]?[A-Z0-9]{4})*(?: ?[A-Z0-9]{1,3}(?!\.\d{1,3}\.\d|-\d{2}-\d{4}|-\d{3}-\d{4}))?(?:[ -]\d{6}[ -]\d{5})?\b"
 _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.,])(?:\d{4}[ -]){3}\d{1,7}(?![\d])|(?<![\d.,])\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d.,])\d{13,19}(?!\d)"
+_CARD_RUN = r"(?<![\d.,])\d{4}(?:[ -]\d{4}){2,}[ -]\d{1,7}(?!\d)|" + _CARD
 _KEY = r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\b(?=[0-9a-f]*\d)[0-9a-f]{32,128}\b|\b(?=[0-9A-F]*\d)[0-9A-F]{32,128}\b"
-_SECRET = _KEY + r"|(?<=[=:])(?<=\b(?:password|passwd|secret|api_key)[=:])[^\s\"',;&|]{4,}"
+_LABEL = r"\b(?:password|passwd|secret|api_key)[=:]"
+_LABELLED = rf"(?<=[=:])(?<={_LABEL})[^\s\"',;&|]{{4,}}"
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join((*TITLES_F, *TITLES_M))
 # the cheap looks come first: most places fail them
 _NAME = rf"(?<= )(?=\p{{Lu}})(?<=\b(?:{_TITLE})\.? ){_WORD}(?: {_WORD}){{0,2}}"
 #: All entities; of two that begin at one place the first kind wins.
-PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _SECRET, _IBAN, _IP, _SSN, _PHONE, _CARD, _NAME))
+PATTERN = "|".join(f"(?:{p})" for p in (_LABELLED, _EMAIL, _KEY, _IBAN_RUN, _IP, _SSN, _PHONE, _CARD_RUN, _NAME))
+#: Characters of an account by country.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+#: Longest written account or card that is looked for in a run.
+PART_CHARS = 44
+#: Mark of a labelled secret where a name has its gender.
+IS_SECRET = "s"
+
 #: What a text must hold one of to be searched at all, beside @ and digits.
 #: Each alternative of PATTERN implies one of these, a digit or @.
 HINTS = (*TITLES_F, *TITLES_M, "password", "passwd", "secret", "api_key", "AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
@@ -77,21 +94,46 @@ def mod97(account: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """Type of an entity that PATTERN matched; `number` is none: its check
-    digits are wrong, and it stays."""
+    """Type of an entity that PATTERN matched without a label; `number` is none
+    as a whole: its check digits are wrong, and only what parts_of finds in it
+    is replaced."""
     return (
         F.when(entity.rlike(f"^(?:{_EMAIL})$"), "email")
         .when(entity.rlike(f"^(?:{_KEY})$"), "secret")
         .when(entity.rlike(f"^(?:{_IP})$"), "ip")
         .when(entity.rlike(f"^(?:{_SSN})$"), "ssn")
         .when(entity.rlike(f"^(?:{_PHONE})$"), "phone")
-        .when(entity.rlike(r"^[\d -]{13,25}$"), F.when(luhn(_letters(entity)) == 0, "card").otherwise("number"))
+        .when(entity.rlike(f"^(?:{_CARD})$"), F.when(luhn(_letters(entity)) == 0, "card").otherwise("number"))
         .when(entity.rlike(rf"^(?:{_IBAN})$"), F.when(mod97(_letters(entity)) == 1, "iban").otherwise("number"))
+        .when(entity.rlike(f"^(?:{_IBAN_RUN}|{_CARD_RUN})$"), "number")
         .when(entity.rlike(rf"^(?:{_WORD})(?: {_WORD}){{0,2}}$") & ~entity.rlike(r"\d"), "name")
         .otherwise("secret")
     )
 
 
+def parts_of(run: Column) -> Column:
+    """Valid cards and accounts in a run that is none as a whole, as structs
+    of place `at` (from 1), size and part: from the left, the longest first. An
+    account has its country's size, or any if the country is not known."""
+    free = lambda i: (i < 1) | (i > F.length(run)) | ~F.substring(run, i, F.lit(1)).rlike("[A-Z0-9]")
+    places = F.sequence(F.lit(1), F.length(run))
+    starts = F.filter(places, lambda i: free(i - 1) & ~free(i))
+    ends = F.filter(places, lambda i: free(i + 1) & ~free(i))
+    made = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: (j - i >= 12) & (j - i < PART_CHARS)), lambda j: F.struct(i.alias("at"), (j - i + 1).alias("size"), F.substring(run, i, j - i + 1).alias("part")))))
+    sizes = F.create_map(*[F.lit(x) for item in IBAN_SIZES.items() for x in item])
+
+    def valid(x: Column) -> Column:
+        part = x["part"]
+        plain = _letters(part)
+        account = part.rlike(f"^(?:{_IBAN})$") & (F.coalesce(sizes[F.substring(part, 1, 2)], F.length(plain)) == F.length(plain))
+        return F.when(part.rlike(f"^(?:{_CARD})$"), luhn(plain) == 0).when(account, mod97(plain) == 1).otherwise(False)
+
+    found = F.array_sort(F.filter(made, valid), lambda x, y: F.when(x["at"] != y["at"], x["at"] - y["at"]).otherwise(y["size"] - x["size"]))
+    none = F.array().cast("array<struct<at:int,size:int,part:string>>")
+    end = lambda kept: F.when(F.size(kept) > 0, F.element_at(kept, -1)["at"] + F.element_at(kept, -1)["size"]).otherwise(0)
+    return F.aggregate(found, none, lambda kept, x: F.when(x["at"] >= end(kept), F.concat(kept, F.array(x))).otherwise(kept))
+
+
 def normal(kind: Column, entity: Column) -> Column:
     """One form for all spellings of an entity."""
     return (
@@ -200,27 +242,36 @@ def found_in(text: Column) -> Column:
     return F.when(hinted(text), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def genders_in(text: Column) -> Column:
-    """For each entity its gender by the title before it, else empty; one more
-    for what follows the last."""
+def genders_in(text: Column, entities: Column) -> Column:
+    """For each entity its gender by the title before it, IS_SECRET if a label
+    is before it, else empty; one more for what follows the last."""
     women = rf"\b(?:{'|'.join(TITLES_F)})\.? $"
     men = rf"\b(?:{'|'.join(TITLES_M)})\.? $"
-    return F.transform(F.split(text, PATTERN, -1), lambda p: F.when(p.rlike(women), "f").when(p.rlike(men), "m").otherwise(""))
+    # a label may end the entity before
+    before = F.zip_with(F.split(text, PATTERN, -1), F.concat(F.array(F.lit("")), entities), lambda p, e: F.struct(p.alias("p"), e.alias("e")))
+    return F.transform(before, lambda x: F.when(x["p"].rlike(women), "f").when(x["p"].rlike(men), "m").when(x["p"].rlike(r"[=:]\z"), F.when(F.concat(x["e"], x["p"]).rlike(rf"{_LABEL}\z"), IS_SECRET).otherwise("")).otherwise(""))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """Each text's hash h with each entity and gender in it once, written."""
     texts = docs.select(docs["text"].alias("text")).withColumn("e", found_in(F.col("text"))).filter(F.size("e") > 0)
-    each = texts.select(F.xxhash64("text").alias("h"), F.explode(F.arrays_zip("e", F.slice(genders_in(F.col("text")), F.lit(1), F.size("e")).alias("g"))).alias("x"))
+    each = texts.select(F.xxhash64("text").alias("h"), F.explode(F.arrays_zip("e", F.slice(genders_in(F.col("text"), F.col("e")), F.lit(1), F.size("e")).alias("g"))).alias("x"))
     return written(each.select("h", F.col("x.e").alias("entity"), F.col("x.g").alias("g")).distinct(), "pii-occurrences")
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """Replacements of distinct spellings: entity, g and new, written.
+    """Replacements of distinct spellings: entity, g, new and the entities n
+    that are in it, written.
 
     Rounds draw surrogates for the normal forms, until none is another's or a
     real entity; of equal ones that of the smallest entity stays."""
-    spellings = written(found.select("entity", "g").distinct().withColumn("kind", kind_of(F.col("entity"))), "pii-spellings").filter("kind <> 'number'")
+    kind = F.when(F.col("g") == IS_SECRET, "secret").otherwise(kind_of(F.col("entity")))
+    spellings = written(found.select("entity", "g").distinct().withColumn("kind", kind), "pii-spellings")
+    # runs that are nothing as a whole, with the entities in them
+    runs = spellings.filter("kind = 'number'").select("entity", "g", parts_of(F.col("entity")).alias("parts")).filter(F.size("parts") > 0)
+    runs = written(runs, "pii-runs")
+    parts = runs.select(F.explode("parts.part").alias("entity"), F.lit("").alias("g")).distinct().withColumn("kind", kind_of(F.col("entity")))
+    spellings = spellings.filter("kind <> 'number'").unionByName(parts).distinct()
     spellings = spellings.select("entity", "g", "kind", normal(F.col("kind"), F.col("entity")).alias("of"), F.when(F.col("kind") == "name", F.col("g")).otherwise("").alias("gender"))
     spellings = written(spellings, "pii-forms")
     drawn = spellings.select("kind", "of", "gender").distinct().withColumn("draw", F.lit(0))
@@ -241,7 +292,17 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
         raise ValueError(f"surrogates still collide after {DRAWS} draws")
     final = drawn.select(F.col("kind").alias("fkind"), F.col("of").alias("fof"), F.col("gender").alias("fgender"), "plain")
     joined = spellings.join(final, (F.col("kind") == F.col("fkind")) & (F.col("of") == F.col("fof")) & (F.col("gender") == F.col("fgender")))
-    return written(joined.select("entity", "g", dressed(F.col("kind"), F.col("entity"), F.col("plain")).alias("new")), "pii-surrogates")
+    whole = written(joined.select("entity", "g", dressed(F.col("kind"), F.col("entity"), F.col("plain")).alias("new"), F.lit(1).alias("n")), "pii-surrogates")
+    if not runs.head(1):
+        return whole
+    each = runs.select(F.col("entity").alias("run"), F.col("g").alias("rg"), F.explode("parts").alias("x"))
+    each = each.join(whole.filter("g = ''").select("entity", "new"), F.col("x.part") == F.col("entity"))
+    news = F.array_sort(F.collect_list(F.struct("x.at", "x.size", "new")))
+    made = each.groupBy("run", "rg").agg(news.alias("news"))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    run = F.col("run")
+    put = F.aggregate("news", start, lambda a, x: F.struct(F.concat(a["out"], F.substring(run, a["at"], x["at"] - a["at"]), x["new"]).alias("out"), (x["at"] + x["size"]).alias("at")), lambda a: F.concat(a["out"], F.substring(run, a["at"], F.length(run))))
+    return written(whole.unionByName(made.select(run.alias("entity"), F.col("rg").alias("g"), put.alias("new"), F.size("news").alias("n"))), "pii-replacements")
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -255,9 +316,9 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     names = [c for c in docs.columns if c != "n_entities"]
     found = occurrences(docs)
     table = surrogates(found, key)
-    spelled = table.select(F.col("entity").alias("sentity"), F.col("g").alias("sg"), "new")
+    spelled = table.select(F.col("entity").alias("sentity"), F.col("g").alias("sg"), "new", "n")
     hit = found.join(small_or_not(spelled), (F.col("entity") == F.col("sentity")) & (F.col("g") == F.col("sg")))
-    maps = hit.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "entity", "g"), "new"))).alias("_map"))
+    maps = hit.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "entity", "g"), F.struct("new", "n")))).alias("_map"))
     maps = written(maps.withColumnRenamed("h", "_h"), "pii-maps")
     # the row goes along as one value, so that no column of its own can clash
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
@@ -272,10 +333,10 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     entities = F.when(F.col("_map").isNotNull(), found_in(text)).otherwise(F.array().cast("array<string>"))
     some = some.withColumn("_e", entities)
     pieces = F.split(text, PATTERN, -1)
-    genders = F.slice(genders_in(text), F.lit(1), F.size("_e")).alias("g")
+    genders = F.slice(genders_in(text, F.col("_e")), F.lit(1), F.size("_e")).alias("g")
     zipped = F.arrays_zip("_e", genders, F.slice(pieces, F.lit(2), F.size("_e")).alias("p"))
-    swapped = F.transform(zipped, lambda x: F.concat(F.coalesce(F.col("_map")[F.concat_ws("\x1f", x["_e"], x["g"])], x["_e"]), x["p"]))
+    swapped = F.transform(zipped, lambda x: F.concat(F.coalesce(F.col("_map")[F.concat_ws("\x1f", x["_e"], x["g"])]["new"], x["_e"]), x["p"]))
     new = F.when(F.size("_e") > 0, F.concat(pieces[0], F.array_join(swapped, ""))).otherwise(text)
     keys = F.transform(F.arrays_zip("_e", genders), lambda x: F.concat_ws("\x1f", x["_e"], x["g"]))
-    n = F.when(F.size("_e") > 0, F.size(F.filter(keys, lambda k: F.map_contains_key(F.col("_map"), k)))).otherwise(0)
+    n = F.when(F.size("_e") > 0, F.aggregate(keys, F.lit(0), lambda a, k: a + F.coalesce(F.col("_map")[k]["n"], F.lit(0)))).otherwise(0)
     return plain.unionByName(unpacked(some, new, n))
