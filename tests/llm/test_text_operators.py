@@ -265,6 +265,18 @@ def test_language_id(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in by_id.items() if i is not None)
 
 
+def test_language_id_with_a_stray_label(spark):
+    """A label with one short text takes nothing from the other languages."""
+    rows = language_rows()
+    model = language_id.learn(spark.createDataFrame([*rows, (999, "thirty letters of a stray text", "zz")], f"{DOCS}, lang string"))
+    alone = language_id.learn(spark.createDataFrame(rows, f"{DOCS}, lang string"))
+    assert {k: model[k] for k in alone} == alone and len(model["zz"]) < 40
+    found = language_id.Classifier(model)
+    right = [found.best(t)[0] == ("aa", "bb", "cc")[i % 3] and found.best(t)[2] for i, t, _ in rows]
+    assert sum(right) >= 149
+    assert found.best("thirty letters of a stray text")[0] == "zz"
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "some words", None)], f"{DOCS}, lang string")
     assert language_id.identify(df).first()["lang_pred"] == "und"

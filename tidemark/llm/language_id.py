@@ -49,6 +49,8 @@ LEAST_MARGIN = 0.01
 #: Margin with score one half.
 HALF_MARGIN = 0.05
 UNKNOWN = "und"
+#: Pieces of a language, and their bytes, that measure what short dictionaries lack.
+CALIBRATION_PIECES, CALIBRATION_BYTES = 16, 1024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,13 +86,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
     pieces: dict[str, list[bytes]] = {}
     for r in sample.orderBy("lang", "nth").collect():
         pieces.setdefault(r["lang"], []).append(words(r["text"]))
-    out = {}
-    for name, texts in sorted(pieces.items()):
-        joined = b"\n".join(texts)
-        out[name] = joined[:DICTIONARY_BYTES]
-    size = min(len(x) for x in out.values())
-    # equal sizes, so that none wins by its length
-    return {k: v[: max(size, 1)] for k, v in out.items()}
+    # each its own size: shortness() corrects for what a shorter one lacks
+    return {name: b"\n".join(texts)[:DICTIONARY_BYTES] for name, texts in sorted(pieces.items())}
 
 
 def words(text: str) -> bytes:
@@ -99,23 +96,54 @@ def words(text: str) -> bytes:
     return re.sub(r"[\W\d_]+", " ", f" {text.lower()} ").encode("utf-8", "surrogatepass")
 
 
+def packer(dictionary: bytes, size: int) -> zstandard.ZstdCompressor:
+    """A compressor with a dictionary, repeated to size bytes: zstandard's own
+    parameters depend on the size."""
+    full = dictionary * (-(-size // max(1, len(dictionary))))
+    d = zstandard.ZstdCompressionDict(full[len(full) - size :], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def shortness(dictionaries: dict[str, bytes]) -> dict[str, float]:
+    """For each language the factor, 1 for the longest dictionaries, by which
+    the size of its dictionary alone lengthens what it compresses.
+
+    A long dictionary helps texts of other languages too, by names and common
+    syllables. How much is measured on the longest one, whole and cut to each
+    size, with pieces of all other languages; what a text has in common with
+    its own language's words is not corrected away."""
+    size = max(map(len, dictionaries.values()), default=0)
+    longest = next((k for k in sorted(dictionaries) if len(dictionaries[k]) == size), None)
+    pieces = [v[at : at + CALIBRATION_BYTES] for k, v in sorted(dictionaries.items()) if k != longest for at in range(0, min(len(v), CALIBRATION_PIECES * CALIBRATION_BYTES), CALIBRATION_BYTES)]
+    factors: dict[int, float] = {size: 1.0}
+
+    def total(length: int) -> int:
+        p = packer(dictionaries[longest][:length], size)
+        return sum(len(p.compress(x + ANCHOR)) - len(ANCHOR) for x in pieces)
+
+    for length in {len(v) for v in dictionaries.values()} - {size}:
+        factors[length] = max(1.0, total(length) / max(1, total(size)))
+    return {k: factors[len(v)] for k, v in dictionaries.items()}
+
+
 class Classifier:
-    """Compressors with each language's dictionary."""
+    """Compressors with each language's dictionary, and its factor."""
 
-    def __init__(self, dictionaries: dict[str, bytes]) -> None:
+    def __init__(self, dictionaries: dict[str, bytes], factors: dict[str, float] | None = None) -> None:
         self.names = sorted(dictionaries)
-        self.packers = []
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.packers.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-
-    def sizes(self, data: bytes) -> list[int]:
-        """Compressed bytes by language, without the anchor's."""
+        size = max(map(len, dictionaries.values()), default=0)
+        factors = factors if factors is not None else shortness(dictionaries)
+        self.factors = [factors[name] for name in self.names]
+        self.packers = [packer(dictionaries[name], size) for name in self.names]
+
+    def sizes(self, data: bytes) -> list[float]:
+        """Compressed bytes by language, without the anchor's and corrected for
+        short dictionaries."""
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
         extra = [ANCHOR if len(x) < SHORT_BYTES else b"" for x in pieces]
         added = sum(map(len, extra))
-        return [max(1, sum(len(p.compress(x + y)) for x, y in zip(pieces, extra, strict=True)) - added) for p in self.packers]
+        return [max(1, sum(len(p.compress(x + y)) for x, y in zip(pieces, extra, strict=True)) - added) / f for p, f in zip(self.packers, self.factors, strict=True)]
 
     def best(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and acceptance of a whole text; ties go to the
@@ -138,10 +166,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
     Repeated texts get equal results; own columns of these names are replaced."""
     fields = ["lang_pred", "score", "accepted"]
     docs = docs.drop(*fields)
+    factors = shortness(dictionaries)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(dictionaries)
+        model = Classifier(dictionaries, factors)
         for batch in batches:
             found = [model.best(t.as_py()) for t in batch.column(text)]
             columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
