@@ -233,6 +233,16 @@ def test_audio(spark):
     assert audio.audio_features(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_audio_of_the_last_bytes():
+    """Every byte of a long text is in its features, to the last."""
+    text = bytes(97 + i * 7 % 26 for i in range(960))
+    made = audio.digest(*audio.features(text))
+    for at in (1, 2, 8, 40, 90):
+        other = bytearray(text)
+        other[-at] ^= 0x55
+        assert audio.digest(*audio.features(bytes(other))) != made
+
+
 def test_audio_parts():
     samples = bytes(range(256)) * 3
     assert audio.from_wav(audio.to_wav(samples + b"x")) == (samples + b"x", audio.RATE)

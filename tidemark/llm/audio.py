@@ -118,10 +118,10 @@ def mel_bank(rate: int, fft: int = FFT, mels: int = MELS) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel frames and log energies of overlapped Hann frames; a signal
-    shorter than a frame is one padded frame."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """Log-mel frames and log energies of overlapped Hann frames; the last
+    frame is padded with zeros, so that each sample is in a frame."""
+    short = FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP
+    x = np.concatenate([x, np.zeros(short, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     bank = mel_bank(rate)
