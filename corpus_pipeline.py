@@ -23,18 +23,28 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the group's
-    smallest doc_id, and of rows with this id that of the smallest text hash.
-    Documents without words, and those without an id, are in no group."""
-    groups = written(ngram_join.join_components(docs.select("doc_id", "text")), "pipeline-groups")
-    gone = groups.filter("n_shingles > 0 and doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(small_or_not(written(gone, "pipeline-gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    # rows that share an id and are one group each count once
-    twice = written(groups.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "pipeline-twice")
+    smallest doc_id, null being the largest, and of rows with this id that of
+    the smallest text hash. A row is known by doc_id and text hash, so that an
+    id in several groups stays in each. Documents without words are in no
+    group."""
+    labels = written(ngram_join.component_labels(docs.select("doc_id", "text")).filter("n > 0"), "pipeline-groups")
+    # false comes before true, so ids come before nulls
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    firsts = labels.groupBy(F.col("label").alias("_label")).agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = written(firsts.select("_label", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "pipeline-firsts")
+    marked = labels.join(small_or_not(firsts), F.col("label") == F.col("_label"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    gone = written(marked.filter(~is_first).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_gone_h")).distinct(), "pipeline-gone")
+    hashed = docs.withColumn("_h", ngram_join.text_hash("text"))
+    left = hashed.join(small_or_not(gone), F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti")
+    # equal rows count once
+    twice = marked.filter(is_first).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = written(twice.select(F.col("doc_id").alias("_twice"), F.col("h").alias("_twice_h")), "pipeline-twice")
     if not twice.head(1):
         return left.select(*COLUMNS)
-    marked = left.join(small_or_not(twice), F.col("doc_id") == F.col("_twice"), "left")
-    single = marked.filter("_twice is null").select(*COLUMNS)
-    first = marked.filter("_twice is not null").groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "source", "n_chars"), F.xxhash64("text")).alias("d"))
+    both = left.join(small_or_not(twice), F.col("doc_id").eqNullSafe(F.col("_twice")) & (F.col("_h") == F.col("_twice_h")), "left")
+    single = both.filter("_twice_h is null").select(*COLUMNS)
+    first = both.filter("_twice_h is not null").groupBy("doc_id", "_h").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
     return single.unionByName(first.select("doc_id", "d.text", "d.lang", "d.source", "d.n_chars"))
 
 

@@ -306,6 +306,18 @@ def test_nearest_of_few(spark):
     assert ann.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_pipeline_keeps_one_of_each_component(spark, tmp_path):
+    """Ids that repeat in different components, and rows without an id."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(4)
+    a, b, c, d, e = (" ".join(f"{n}{rnd.randrange(1000)}" for _ in range(60)) for n in "abcde")
+    rows = [(1, a), (1, b), (2, c), (3, c), (3, d), (None, e), (None, e), (None, e + " more"), (None, a), (4, a), (5, b), (6, b), (6, b), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = pipeline.one_of_each(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["text"] or "")[:1] for r in kept) == ["", "", "a", "b", "c", "d", "e"]
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"] and r["doc_id"]) == [(1, a), (1, b), (2, c), (3, d)]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(8)

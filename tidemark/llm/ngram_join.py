@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches_by_bytes, clear_of, mix64, small_or_not, utf8, written
@@ -40,7 +40,7 @@ CELL_BYTES, LEAST_BITS, MOST_BITS, PIECES = 64, 18, 25, 16
 #: A token is common if its cell counts twice the mean and this many more.
 COMMON = 48
 
-SIGNED = "kind int, doc_id long, n int, c long, c2 long, piece int, counts binary"
+SIGNED = "kind int, doc_id long, h long, n int, c long, c2 long, piece int, counts binary"
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -90,12 +90,12 @@ def sign(rows: DataFrame, seed: int, bits: int) -> DataFrame:
             cells = (h[np.repeat(new, n)] >> np.uint64(64 - bits)).astype(np.int64)
             np.add.at(counts, cells, np.uint32(1))
             yield pa.RecordBatch.from_pydict({
-                "kind": np.zeros(len(n), np.int32), "doc_id": batch.column("doc_id"), "n": n.astype(np.int32), "c": c, "c2": c2,
+                "kind": np.zeros(len(n), np.int32), "doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": n.astype(np.int32), "c": c, "c2": c2,
                 "piece": np.zeros(len(n), np.int32), "counts": pa.nulls(len(n), pa.binary()),
             })
         blobs = [zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1) for x in np.split(counts, PIECES)]
         yield pa.RecordBatch.from_pydict({
-            "kind": np.ones(PIECES, np.int32), "doc_id": pa.nulls(PIECES, pa.int64()), "n": np.zeros(PIECES, np.int32), "c": np.zeros(PIECES, np.int64),
+            "kind": np.ones(PIECES, np.int32), "doc_id": pa.nulls(PIECES, pa.int64()), "h": pa.nulls(PIECES, pa.int64()), "n": np.zeros(PIECES, np.int32), "c": np.zeros(PIECES, np.int64),
             "c2": np.zeros(PIECES, np.int64), "piece": np.arange(PIECES, dtype=np.int32), "counts": pa.array(blobs, pa.binary()),
         })
 
@@ -377,20 +377,21 @@ def cross_probes(rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFram
     return pairs, blocks
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
+def text_hash(text: str | Column) -> Column:
+    """With doc_id the identity of a row in component_labels."""
+    return F.xxhash64(utf8(text))
 
-    A null text, or one without words, has an empty set and is linked with
-    nothing; texts with equal sets are linked. The component's id is its
-    smallest doc_id; null ids are not smallest, and a component of them alone
-    has a null id. Repeated rows keep a row each; extra columns are not read;
-    an empty table gives no rows."""
-    rows = clear_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("payload"))
+
+def component_labels(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash h, shingles n and the component's label of every
+    document, written; the label is null for an empty set. Rows of one
+    component, and no others, have one label, with or without an id."""
+    rows = clear_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("payload"), text_hash("text").alias("h"))
     size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, size / CELL_BYTES)))))
     for seed in range(8):
         signed = sign(rows, seed, bits)
-        own = signed.filter("kind = 0").select("doc_id", "n", "c", "c2")
+        own = signed.filter("kind = 0").select("doc_id", "h", "n", "c", "c2")
         classes = written(own.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("c2").alias("top"), F.min("c2").alias("low")), "join-classes")
         if not classes.filter("top <> low").head(1):
             break
@@ -418,7 +419,18 @@ def join_components(docs: DataFrame) -> DataFrame:
     links = links.unionByName(_opened(pairs, blocks, keyed, reps, seed))
     comps = written(components(links, "join-second"), "join-components").withColumnRenamed("c", "_c")
 
-    labelled = written(own.join(small_or_not(comps), F.col("c") == F.col("_c"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "c")).alias("label")), "join-labels")
+    return written(own.join(small_or_not(comps), F.col("c") == F.col("_c"), "left").select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("comp", "c")).alias("label")), "join-labels")
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    A null text, or one without words, has an empty set and is linked with
+    nothing; texts with equal sets are linked. The component's id is its
+    smallest doc_id; null ids are not smallest, and a component of them alone
+    has a null id. Repeated rows keep a row each; extra columns are not read;
+    an empty table gives no rows."""
+    labelled = component_labels(docs)
     least = written(labelled.filter("label is not null").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "join-least")
     found = labelled.join(small_or_not(least), F.col("label") == F.col("_label"), "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("_label").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
