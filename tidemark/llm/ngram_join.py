@@ -1,14 +1,14 @@
-"""Jaccard join of word n-gram sets with a token-group matrix.
+"""Jaccard join of word n-gram sets by prefix filtering.
 
 Texts with one set are one class. Each class puts its rarest tokens, as many as
 a partner of the least similarity cannot all miss, into an inverted table; the
-classes of one token stand together. Similar classes are grouped first: a class
-is compared with the leader of its tokens, and what is linked is one group. Then
-classes of other groups probe a group: its members' tokens are stored as one
-union, the overlap of the query with the union bounds that with each member, and
-only groups whose bound reaches the threshold are opened and compared exactly.
-A pair that shares too few of its rarest tokens is never probed. Every bound is
-exact, so no link between different groups is lost.
+classes of one token stand together. Similar classes are linked first: a class
+is compared with the leader of its tokens. Then the pairs of classes in a
+token's row that are not yet linked are compared exactly if they share enough of
+their rarest tokens. Rows of more than ROW classes are opened in blocks: their
+members' tokens are stored as one union, whose overlap with a query bounds that
+with each member. There is no matrix of the linked components' unions. Every
+bound is exact, so no link between different components is lost.
 """
 
 from __future__ import annotations
