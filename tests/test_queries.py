@@ -11,7 +11,7 @@ import __spark_entry__
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("events", "lineitem", "orders", "customer")
+TABLES = ("events", "lineitem", "orders", "customer", "nation")
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.operators.windows import SEQ, TS, Frame
 
@@ -75,10 +75,11 @@ def iir(df: DataFrame, column: str, a: Sequence[float], b: Sequence[float], keys
     return ordered.mapInPandas(run, T.StructType(fields))
 
 
-def resample(df: DataFrame, columns: Sequence[str], interval: int, keys: Sequence[str] = ()) -> DataFrame:
+def resample(df: DataFrame, columns: Sequence[str], interval: int, keys: Sequence[str] = (), smooth: Sequence[str] = ()) -> DataFrame:
     """Rows of each key on a grid of the interval that begins at its first
-    event, each with the values of the last event at or before it. Result:
-    keys, _ts, _seq (number on the grid) and the columns."""
+    event, each with the values of the last event at or before it; the columns
+    `smooth` are interpolated to the next one by a cubic. Result: keys, _ts, _seq
+    (number on the grid) and the columns."""
     keys = list(keys)
     k = [F.col(f"`{x}`") for x in keys]
     # each event fills the grid from its time to the next event's: no grid is joined
@@ -88,6 +89,34 @@ def resample(df: DataFrame, columns: Sequence[str], interval: int, keys: Sequenc
     step = F.lit(int(interval))
     low = F.ceil((F.col(TS) - first) / step).cast("long")
     high = F.when(follows.isNull(), F.floor((F.col(TS) - first) / step).cast("long")).otherwise(F.ceil((follows - first) / step).cast("long") - 1)
-    spans = df.select(*k, *[F.col(f"`{c}`") for c in columns], first.alias("_first"), low.alias("_low"), high.alias("_high")).filter("_high >= _low")
+    made = {c: cubic(F.col(f"`{c}`"), spec) for c in smooth}
+    spans = df.select(*k, F.col(TS).alias("_at"), *[F.col(f"`{c}`") for c in columns], *[v.alias(f"_cubic.{c}") for c, v in made.items()], first.alias("_first"), low.alias("_low"), high.alias("_high")).filter("_high >= _low")
     grid = spans.withColumn(SEQ, F.explode(F.sequence("_low", "_high")))
-    return grid.select(*k, (F.col("_first") + F.col(SEQ) * step).alias(TS), SEQ, *[F.col(f"`{c}`") for c in columns])
+    time = F.col("_first") + F.col(SEQ) * step
+
+    def value(c: str) -> Column:
+        if c not in made:
+            return F.col(f"`{c}`")
+        p = F.col(f"`_cubic.{c}`")
+        t = (time - F.col("_at")) / p["width"]
+        t = F.coalesce(t, F.lit(0.0))
+        curve = (2 * t * t * t - 3 * t * t + 1) * F.col(f"`{c}`") + (t * t * t - 2 * t * t + t) * p["width"] * p["slope"] + (3 * t * t - 2 * t * t * t) * p["next"] + (t * t * t - t * t) * p["width"] * p["next_slope"]
+        return F.when(t == 0, F.col(f"`{c}`")).otherwise(curve).alias(c)
+
+    return grid.select(*k, time.alias(TS), SEQ, *[value(c) for c in columns])
+
+
+def cubic(x: Column, spec: WindowSpec) -> Column:
+    """What a cubic from an event to the next needs: the width in time, the next
+    value, and the slopes at both, each of the straight line between the events
+    around it, or to the only one beside it."""
+    at = F.col(TS).cast("double")
+
+    def slope(i: int) -> Column:
+        back, ahead, own = (lambda c, j=i + d: c if j == 0 else F.lead(c, j).over(spec) if j > 0 else F.lag(c, -j).over(spec) for d in (-1, 1, 0))
+        x0, t0 = F.coalesce(back(x), own(x)), F.coalesce(back(at), own(at))
+        x1, t1 = F.coalesce(ahead(x), own(x)), F.coalesce(ahead(at), own(at))
+        return F.when(t1 > t0, (x1 - x0) / F.nullif(t1 - t0, F.lit(0.0))).otherwise(0.0)
+
+    width = F.lead(at, 1).over(spec) - at
+    return F.struct(F.nullif(width, F.lit(0.0)).alias("width"), F.lead(x, 1).over(spec).alias("next"), slope(0).alias("slope"), slope(1).alias("next_slope"))

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 TS, SEQ = "_ts", "_seq"
-#: Sizes from which sums and averages come from differences of running sums,
-#: whose cost does not grow with the size.
+#: Sizes from which moving functions are made of two parts of blocks, whose
+#: cost does not grow with the size.
 LARGE = 512
 
 
@@ -69,20 +69,11 @@ def _full(value: Column, x: Column, n: int, frame: Frame, sparse: bool) -> Colum
 
 
 def moving_sum(x: Column, n: int, frame: Frame, sparse: bool = False) -> Column:
-    part = x if sparse else None
-    if n < LARGE:
-        return _full(F.sum(x).over(frame.last(n, part)), x, n, frame, sparse)
-    total = F.sum(x).over(frame.running(part))
-    seen = F.count(x).over(frame.running(part))
-    # the running sum of n events ago: one value back from a frame of one row
-    ago = F.sum(x).over(frame.spec(part).rowsBetween(Window.unboundedPreceding, -n))
-    return F.when((seen >= n) & x.isNotNull(), total - F.coalesce(ago, F.lit(0.0)))
+    return _full(F.sum(x).over(frame.last(n, x if sparse else None)), x, n, frame, sparse)
 
 
 def moving_average(x: Column, n: int, frame: Frame, sparse: bool = False) -> Column:
-    if n < LARGE:
-        return _full(F.avg(x).over(frame.last(n, x if sparse else None)), x, n, frame, sparse)
-    return moving_sum(x, n, frame, sparse) / float(n)
+    return _full(F.avg(x).over(frame.last(n, x if sparse else None)), x, n, frame, sparse)
 
 
 def moving_count(n: int, frame: Frame) -> Column:
@@ -103,6 +94,43 @@ def moving_max(x: Column, n: int, frame: Frame, sparse: bool = False) -> Column:
     return _full(F.max(x).over(frame.last(n, x if sparse else None)), x, n, frame, sparse)
 
 
+def in_two_parts(df: DataFrame, name: str, kind: str, x: Column, n: int, frame: Frame) -> DataFrame:
+    """Adds name: a moving function of the last n events at a cost that does not
+    grow with n. NULL inputs are passed over.
+
+    Events that emit are cut into blocks of n; the last n events are the first
+    part of the own block and the last part of the one before, whose value is
+    read n - 1 events back. Nothing is subtracted, so a value that has left, were
+    it infinite or large, leaves no trace."""
+    x_, flag, nth, block, head, tail = (f"{name}{c}" for c in "xfrbht")
+    keys = [F.col(f"`{k}`") for k in frame.keys]
+    df = df.withColumn(x_, x).withColumn(flag, F.col(x_).isNotNull())
+    own = Window.partitionBy(*keys, flag).orderBy(*frame.order)
+    df = df.withColumn(nth, F.row_number().over(own) - 1)
+    df = df.withColumn(block, F.floor(F.col(nth) / n))
+    value = F.col(x_)
+    def part(order: list[Column]) -> Column:
+        spec = Window.partitionBy(*keys, flag, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        if kind == "STD":
+            return F.struct(F.avg(value).over(spec).alias("mean"), F.var_pop(value).over(spec).alias("var"))
+        return {"MIN": F.min, "MAX": F.max}.get(kind, F.sum)(value).over(spec)
+
+    df = df.withColumn(head, part([F.col(c).asc() for c in frame.order])).withColumn(tail, part([F.col(c).desc() for c in frame.order]))
+    df = df.withColumn(tail, F.lag(tail, n - 1).over(own))
+    a, b = F.col(head), F.col(tail)
+    whole = (F.col(nth) + 1) % n == 0
+    if kind == "STD":
+        n1 = (F.col(nth) % n + 1).cast("double")
+        n2 = n - n1
+        apart = b["mean"] - a["mean"]
+        both = a["var"] * n1 + b["var"] * n2 + apart * apart * n1 * n2 / float(n)
+        found = F.sqrt(F.when(whole, a["var"] * float(n)).otherwise(both) / float(max(1, n - 1)))
+    else:
+        both = {"SUM": a + b, "AVERAGE": a + b, "MIN": F.least(a, b), "MAX": F.greatest(a, b)}[kind]
+        found = F.when(whole, a).otherwise(both) / (float(n) if kind == "AVERAGE" else 1.0)
+    return df.withColumn(name, F.when(F.col(flag) & (F.col(nth) + 1 >= n), found)).drop(x_, flag, nth, block, head, tail)
+
+
 def moving_key_count(n: int, rank: Column, keys: tuple[str, ...]) -> Column:
     """Events of the own key among the last n events of all keys; rank numbers
     the events of all keys."""
@@ -110,6 +138,6 @@ def moving_key_count(n: int, rank: Column, keys: tuple[str, ...]) -> Column:
     return F.count(F.lit(1)).over(window).cast("double")
 
 
-def difference(x: Column, frame: Frame) -> Column:
-    """Change since the event before."""
-    return x - F.lag(x, 1).over(frame.spec())
+def difference(x: Column, frame: Frame, sparse: bool = False) -> Column:
+    """Change since the event before that emitted."""
+    return x - F.lag(x, 1).over(frame.spec(x if sparse else None))

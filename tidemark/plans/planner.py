@@ -30,7 +30,10 @@ MOVING = {
     "STDDEV": windows.moving_std, "MOVING_MIN": windows.moving_min, "MOVING_MAX": windows.moving_max,
 }
 AGGREGATES = frozenset((*CUMULATIVE, "COUNT"))
-STATEFUL = AGGREGATES | frozenset((*MOVING, "MOVING_COUNT", "FIR", "IIR", "RESAMPLE", "PEAK_DETECT"))
+RESAMPLERS = ("RESAMPLE", "RESAMPLE_HERMITE")
+STATEFUL = AGGREGATES | frozenset((*MOVING, *RESAMPLERS, "MOVING_COUNT", "FIR", "IIR", "PEAK_DETECT", "DIFFERENCE"))
+#: Functions of two conditions.
+LOGICAL = {"XOR": lambda a, b: a != b, "NOR": lambda a, b: ~(a | b), "NAND": lambda a, b: ~(a & b), "IMPLIES": lambda a, b: ~a | b}
 
 
 def stateful(e: A.Expr | None) -> bool:
@@ -58,9 +61,9 @@ def reach(*exprs: A.Expr | None) -> int | None:
             return None
         own = 0
         if isinstance(e, A.Call) and e.name in STATEFUL:
-            if e.name in AGGREGATES or e.name in ("IIR", "RESAMPLE") or any(map(sparse, e.args)):
+            if e.name in AGGREGATES or e.name in ("IIR", *RESAMPLERS) or any(map(sparse, e.args)):
                 return None
-            own = (len(coefficients(e, 1, 2)) if e.name == "FIR" else positive(e, 0, 1) if e.name == "MOVING_COUNT" else positive(e, 1, 2)) - 1
+            own = 1 if e.name == "DIFFERENCE" else (len(coefficients(e, 1, 2)) if e.name == "FIR" else positive(e, 0, 1) if e.name == "MOVING_COUNT" else positive(e, 1, 2)) - 1
         most = max(most, own + below)
     return most
 
@@ -189,6 +192,8 @@ class Stages:
         if isinstance(e, A.Unary) and e.op == "not":
             return ~self.truth(e.arg)
         x = self.column(e)
+        if isinstance(e, A.Call) and e.name in LOGICAL:
+            return x
         return x if isinstance(e, (A.Binary, A.Between, A.InList, A.IsNull)) and getattr(e, "op", "=") not in "+-*/%" else S.number(x) != 0
 
     def equals(self, op: str, a: Column, b: Column, *exprs: A.Expr) -> Column:
@@ -218,6 +223,13 @@ class Stages:
             if len(e.args) != 2:
                 raise SqlError("POWER takes two arguments")
             return S.power(self.column(e.args[0]), self.column(e.args[1]))
+        if e.name in LOGICAL:
+            if len(e.args) != 2:
+                raise SqlError(f"{e.name} takes two conditions")
+            return LOGICAL[e.name](self.truth(e.args[0]), self.truth(e.args[1]))
+        if e.name == "TIME_SHIFT":
+            shift(e)
+            return self.column(e.args[0])
         if self.df.sparkSession.catalog.functionExists(e.name.lower()):
             return F.call_function(e.name.lower(), *[self.column(a) for a in e.args])
         raise SqlError(f"unknown function {e.name}")
@@ -255,7 +267,15 @@ class Stages:
         if e.name in MOVING:
             n = positive(e, 1, 2)
             x = self._argument(e.args[0])
+            if n >= windows.LARGE:
+                kind = "STD" if e.name == "STDDEV" else e.name.removeprefix("MOVING_")
+                return windows.in_two_parts(self.df, name, kind, x, n, self.frame)
             return self.df.withColumn(name, MOVING[e.name](x, n, self.frame, sparse(e.args[0])))
+        if e.name == "DIFFERENCE":
+            if len(e.args) != 1:
+                raise SqlError("DIFFERENCE takes one argument")
+            x = self._argument(e.args[0])
+            return self.df.withColumn(name, windows.difference(x, self.frame, sparse(e.args[0])))
         if e.name == "FIR":
             taps = coefficients(e, 1, 2)
             x = self._argument(e.args[0])
@@ -283,6 +303,41 @@ class Stages:
         return ok
 
 
+def only_totals(exprs: list[A.Expr]) -> bool:
+    """Whether all stateful calls are running totals of plain values, and there
+    is one."""
+    calls = [x for e in exprs for x in A.walk(e) if isinstance(x, A.Call) and x.name in STATEFUL]
+    return bool(calls) and all(c.name in AGGREGATES and not any(stateful(a) or sparse(a) for a in c.args) for c in calls)
+
+
+class RangedTotals(Stages):
+    """Running totals over ranges of time: those within a range, and what all
+    ranges before it add up to, one row for each range."""
+
+    def _staged(self, e: A.Call, name: str) -> DataFrame:
+        if e.name == "COUNT":
+            if e.args and not isinstance(e.args[0], A.Star):
+                raise SqlError("COUNT takes *")
+            x = F.lit(1.0)
+        elif len(e.args) != 1 or isinstance(e.args[0], A.Star):
+            raise SqlError(f"{e.name} takes one argument")
+        else:
+            x = self._argument(e.args[0])
+        total = {"MIN": F.min, "MAX": F.max}.get(e.name, F.sum)
+        sums = self.df.groupBy(F.col("_range").alias(f"{name}g")).agg(total(x).alias(f"{name}t"), F.count(x).cast("double").alias(f"{name}n"))
+        before = Window.orderBy(f"{name}g").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(f"{name}g", total(f"{name}t").over(before).alias(f"{name}t"), F.sum(f"{name}n").over(before).alias(f"{name}n"))
+        within = self.frame.running()
+        df = self.df.withColumn(f"{name}w", total(x).over(within)).withColumn(f"{name}c", F.count(x).over(within).cast("double"))
+        # at most blocks.MOST_RANGES rows
+        df = df.join(F.broadcast(sums), F.col("_range") == F.col(f"{name}g"))
+        own, past = F.col(f"{name}w"), F.col(f"{name}t")
+        both = {"MIN": F.least(own, past), "MAX": F.greatest(own, past)}.get(e.name, F.coalesce(past, F.lit(0.0)) + own)
+        if e.name == "AVG":
+            both = both / (F.coalesce(F.col(f"{name}n"), F.lit(0.0)) + F.col(f"{name}c"))
+        return df.withColumn(name, both).drop(f"{name}g", f"{name}t", f"{name}n", f"{name}w", f"{name}c")
+
+
 def positive(e: A.Call, at: int, size: int) -> int:
     n = e.args[at] if len(e.args) == size else None
     if not isinstance(n, A.Num) or n.value < 1 or n.value != int(n.value):
@@ -290,6 +345,17 @@ def positive(e: A.Call, at: int, size: int) -> int:
     return int(n.value)
 
 
+def shift(e: A.Call) -> int:
+    """The units of time by which TIME_SHIFT(x, k) moves a row."""
+    k = e.args[1] if len(e.args) == 2 else None
+    sign = 1
+    if isinstance(k, A.Unary) and k.op == "-":
+        sign, k = -1, k.arg
+    if not isinstance(k, A.Num) or k.value != int(k.value):
+        raise SqlError("TIME_SHIFT takes a whole number as argument 2 of 2")
+    return sign * int(k.value)
+
+
 def coefficients(e: A.Call, at: int, size: int) -> list[float]:
     array = e.args[at] if len(e.args) == size else None
     if not isinstance(array, A.Array) or not all(isinstance(x, A.Num) for x in array.items):
@@ -319,20 +385,22 @@ class Planned:
         return [c for c in self.df.columns if c not in (TS, SEQ)]
 
 
-def spread(df: DataFrame, block_rows: int | None, *exprs: A.Expr | None) -> tuple[DataFrame, Frame] | None:
+def spread(df: DataFrame, block_rows: int | None, size: Callable[[], int], *exprs: A.Expr | None) -> tuple[DataFrame, Frame] | None:
     """Events in blocks, and the frame of a block, for windows without a key
     that reach back a bounded number of events; None if one task will do, or
     must: running totals and recursive filters need all that was before."""
     back = reach(*exprs)
-    if not block_rows or not back or (total := df.count()) <= block_rows:
+    if not block_rows or not back or (total := size()) <= block_rows:
         return None
     return blocks.in_blocks(blocks.with_rank(df, total, block_rows), back, block_rows), Frame((blocks.BLOCK,), (blocks.RANK,))
 
 
-def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int | None = None, hot_keys: bool = False) -> Planned:
+def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int | None = None, hot_keys: bool = False, size: Callable[[], int] | None = None) -> Planned:
     """A query over events, without ORDER BY and LIMIT. Windows without a key
-    go in blocks of block_rows events, if there are more; with hot_keys, so do
-    those of keys that have more."""
+    go in blocks of block_rows events, if there are more by size(), which is
+    asked only for those; with hot_keys, so do those of keys that have more.
+    Running totals without a key go by ranges of time."""
+    size = size or df.count
     items = select.items
     if any(isinstance(i.expr, A.Star) for i in items):
         if any(i.alias for i in items if isinstance(i.expr, A.Star)):
@@ -344,10 +412,10 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int |
     having = None if select.having is None else expand(select.having)
     if aggregates(where):
         raise SqlError("aggregates are not allowed in WHERE")
-    resampled = [i for i in items if isinstance(i.expr, A.Call) and i.expr.name == "RESAMPLE"]
+    resampled = [i for i in items if isinstance(i.expr, A.Call) and i.expr.name in RESAMPLERS]
 
     # WHERE sees the events of all keys, before any other state
-    parts = spread(df, block_rows, where) if stateful(where) else None
+    parts = spread(df, block_rows, size, where) if stateful(where) else None
     before = Stages(*((parts[0], scope, parts[1]) if parts else (df, scope, Frame())), "_w")
     if where is not None:
         condition = before.truth(where) & before.emitted(where)
@@ -372,7 +440,7 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int |
     fast = velocity(having)
     if fast is not None:
         n, op, bound = fast
-        if block_rows and (total := df.count()) > block_rows:
+        if block_rows and (total := size()) > block_rows:
             df = blocks.with_rank(df, total, block_rows)
         else:
             df = df.withColumn(blocks.RANK, F.row_number().over(Window.orderBy(TS, SEQ)))
@@ -380,13 +448,18 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int |
         df = df.filter(S.compare(op, F.col("_velocity"), F.lit(float(bound))))
         having = None
 
-    parts = spread(df, block_rows, having, *[i.expr for i in items]) if not keys else None
+    parts = spread(df, block_rows, size, having, *[i.expr for i in items]) if not keys else None
     back = reach(having, *[i.expr for i in items]) if keys and hot_keys and block_rows else None
     if back and (split := blocks.hot_keys_in_blocks(df, keys, back, block_rows)) is not None:
         parts = split, Frame((*keys, blocks.BLOCK))
     if parts:
         df, frame = parts
-    stages = Stages(df, scope, frame, "_s")
+    exprs = [x for x in (having, *[i.expr for i in items]) if x is not None]
+    if not keys and not parts and block_rows and only_totals(exprs) and (total := size()) > block_rows:
+        placed, _ = blocks.in_ranges(df, total, block_rows)
+        stages = RangedTotals(placed, scope, Frame(("_range",)), "_s")
+    else:
+        stages = Stages(df, scope, frame, "_s")
     if fast is not None:
         stages.made[A.Call("MOVING_COUNT", (A.Num(float(fast[0])),))] = "_velocity"
     columns = [(item, stages.column(item.expr)) for item in items]
@@ -421,18 +494,24 @@ def plan_events(select: A.Select, df: DataFrame, scope: Scope, block_rows: int |
         add(item.alias or default_name(item.expr), column)
     peaks = [x for i in items for x in A.walk(i.expr) if isinstance(x, A.Call) and x.name == "PEAK_DETECT"]
     time = F.col(f"{stages.made[peaks[0]]}t") if peaks and PEAK_AT_CENTRE and len(set(peaks)) == 1 else F.col(TS)
+    shifts = {shift(x) for i in items for x in A.walk(i.expr) if isinstance(x, A.Call) and x.name == "TIME_SHIFT"}
+    if len(shifts) > 1:
+        raise SqlError("TIME_SHIFT takes one shift in a query")
+    time = time + F.lit(shifts.pop()) if shifts else time
     return Planned(out.select(time.alias(TS), SEQ, *picked), tuple(final_keys))
 
 
 def _resampled(items: tuple[A.Item, ...], df: DataFrame, scope: Scope, frame: Frame, key_names: list) -> Planned:
-    """RESAMPLE items, all of one interval, on a grid of each key; other items
-    are plain columns, which keep their last value too."""
+    """RESAMPLE and RESAMPLE_HERMITE items, all of one interval, on a grid of
+    each key; other items are plain columns, which keep their last value too."""
     stages = Stages(df, scope, frame, "_s")
-    intervals, values = set(), []
+    intervals, values, smooth = set(), [], []
     for item in items:
         e = item.expr
-        if isinstance(e, A.Call) and e.name == "RESAMPLE":
+        if isinstance(e, A.Call) and e.name in RESAMPLERS:
             intervals.add(positive(e, 1, 2))
+            if e.name == "RESAMPLE_HERMITE":
+                smooth.append(f"_v.{item.alias or default_name(item.expr)}")
             e = e.args[0]
         if any(e == k for k, _ in key_names):
             continue
@@ -443,6 +522,6 @@ def _resampled(items: tuple[A.Item, ...], df: DataFrame, scope: Scope, frame: Fr
     ready = stages.df.filter(ok)
     for name, column, _ in values:
         ready = ready.withColumn(f"_v.{name}", column)
-    grid = signal.resample(ready, [f"_v.{name}" for name, *_ in values], intervals.pop(), frame.keys)
+    grid = signal.resample(ready, [f"_v.{name}" for name, *_ in values], intervals.pop(), frame.keys, smooth)
     keys = [F.col(f"`{k}`").alias(name) for k, (_, name) in zip(frame.keys, key_names, strict=True)]
     return Planned(grid.select(TS, SEQ, *keys, *[F.col(f"`_v.{n}`").alias(n) for n, *_ in values]), tuple(name for _, name in key_names))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,19 @@ from tidemark.operators.windows import SEQ, TS
 TIME_NAMES = ("time", "timestamp", "ts")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see, spark.checkpoint.dir; on
+    one machine, where it is unset, in a folder of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SqlError("set spark.checkpoint.dir to a folder that all executors see")
+        at = getattr(spark, "_tidemark_rows", None)
+        if at is None:
+            at = spark._tidemark_rows = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def time_column(columns: Iterable[str]) -> str:
     lower = {c.lower(): c for c in columns}
     for name in TIME_NAMES:
