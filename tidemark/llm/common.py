@@ -6,20 +6,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows of a side that may be broadcast; beyond it the joins shuffle.
+#: Rows and bytes of a side that may be broadcast; beyond either the joins shuffle.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 48 << 20
 #: Rows of one file of a written table, so that no file outgrows a task.
 FILE_ROWS = 500_000
-#: Target bytes of one batch of texts in numpy.
-BATCH_BYTES = 4 << 20
+#: Target bytes of one batch of texts in numpy, where each byte takes some 50.
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     where it is unset, as in tests on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         at = getattr(spark, "_tidemark_dir", None)
         if at is None:
             at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -47,9 +52,35 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if its counted rows are at most limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory."""
+
+    def fixed(kind: T.DataType) -> int | None:
+        if isinstance(kind, T.StructType):
+            parts = [fixed(f.dataType) for f in kind.fields]
+            return None if None in parts else 16 + sum(parts)
+        return None if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.VariantType)) else 8
+
+    def size(name: str, kind: T.DataType) -> Column:
+        column = F.col(f"`{name}`")
+        if (known := fixed(kind)) is not None:
+            return F.lit(known).cast("long")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            found = F.octet_length(column)
+        elif isinstance(kind, T.ArrayType) and (known := fixed(kind.elementType)) is not None:
+            found = F.size(column) * known
+        else:
+            found = 2 * F.octet_length(F.to_json(F.struct(column)))
+        return F.coalesce(found.cast("long"), F.lit(0)) + 24
+
+    return reduce(lambda a, b: a + b, [size(f.name, f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast if its counted rows, and their bytes, are within
+    the bounds; df should be a written table, as this reads it."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def utf8(text: str | Column) -> Column:
@@ -123,14 +154,40 @@ POWERS = Powers()
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bytes whose words are hashed at once.
+WORDS_AT_ONCE = 1 << 18
+
+
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes and start offsets of the words of a buffer, words being
-    runs of bytes other than 0x20 and 0x09-0x0D."""
+    runs of bytes other than 0x20 and 0x09-0x0D. The buffer is taken in parts
+    that end between words, so memory beside the result does not grow with it."""
     raw = np.frombuffer(buffer, np.uint8)
-    if not len(raw):
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + WORDS_AT_ONCE)
+        while end < len(raw):
+            # the last break of the part, or the next one if it is one word
+            breaks = np.flatnonzero(_is_break(raw[at:end]))
+            if len(breaks):
+                end = at + int(breaks[-1]) + 1
+                break
+            end = min(len(raw), end + (end - at))
+        h, start = _hash_words(raw[at:end])
+        found.append((h, start + at))
+        at = end
+    if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found])
+
+
+def _is_break(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | ((raw >= 9) & (raw <= 13))
+
+
+def _hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff((~_is_break(raw)).astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = POWERS.to(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)

@@ -1,14 +1,17 @@
-"""Jaccard join of word n-gram sets by prefix filtering.
+"""Jaccard join of word n-gram sets with a token-group matrix.
 
 Texts with one set are one class. Each class puts its rarest tokens, as many as
-a partner of the least similarity cannot all miss, into an inverted table; the
-classes of one token stand together. Similar classes are linked first: a class
-is compared with the leader of its tokens. Then the pairs of classes in a
-token's row that are not yet linked are compared exactly if they share enough of
-their rarest tokens. Rows of more than ROW classes are opened in blocks: their
-members' tokens are stored as one union, whose overlap with a query bounds that
-with each member. There is no matrix of the linked components' unions. Every
-bound is exact, so no link between different components is lost.
+a partner of the least similarity cannot all miss, into a table by token.
+Similar classes are grouped first: a class is compared with the leader of its
+tokens, and the links found make groups, large ones being cut to BLOCK members.
+The table with groups in place of classes is the matrix: a group's column is the
+union of its members' rarest tokens, a class without a link being a group of its
+own. A class is a query to the groups of other components; the tokens it shares
+with a group's union bound those it shares with any member, and only groups
+whose bound suffices are opened: there the union of the members' whole sets is
+a second bound, and what passes is compared exactly. Tokens of more than ROW
+classes have no entry in the matrix; their classes are opened in blocks with a
+union each. Every bound is safe, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from tidemark.llm.shingles import shingle_sets
 
 #: Similarity as a fraction: links have PER * intersection >= LEAST * union.
 LEAST, PER = 75, 100
-#: Classes of a token's row up to which pairs of groups are listed; longer rows are opened in blocks.
+#: Classes of a token's row up to which it is in the matrix; longer rows are opened in blocks.
 ROW = 64
-#: Members of one block of a longer row.
+#: Members of a group, or of one block of a longer row.
 BLOCK = 256
+#: Rows of the token table that are worked on at once.
+AT_ONCE = 1 << 17
+#: Neighbours from which a vertex of the links is a hub, joined by broadcast.
+HUB = 512
 #: Queries of one group that meet in a task; a group with more is copied.
 QUERIES = 512
 #: Postings that one task sorts.
@@ -127,8 +134,9 @@ def common_cells(signed: DataFrame, bits: int, tokens: int) -> np.ndarray:
 
 
 def token_rows(rows: DataFrame, seed: int, bits: int, common: np.ndarray, tokens: int) -> DataFrame:
-    """Rows of the inverted table with two classes or more, written: h, c, n,
-    m (classes of the row) and lead (the first class of fitting size)."""
+    """Rows of the table with two classes or more, written: h, c, n, m (classes
+    of the token, ROW + 1 for all that have more) and lead (the first class of
+    fitting size)."""
     held = rows.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,43 +163,77 @@ def token_rows(rows: DataFrame, seed: int, bits: int, common: np.ndarray, tokens
                 yield pa.RecordBatch.from_pydict({"h": h[at : at + (1 << 18)].view(np.int64), "c": c[d], "n": n[d].astype(np.int32)})
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("h").to_numpy(), b.column("c").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        h, c, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        del parts
-        order = np.lexsort((c, n, h))
-        h, c, n = h[order], c[order], n[order]
-        # copies of a class came from several tasks
-        new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
-        h, c, n = h[new], c[new], n[new]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(first, len(h)))
-        m = np.repeat(size, size)
-        row = np.repeat(np.arange(len(first)), size)
-        keep = m > 1
-        h, c, n, m, row = h[keep], c[keep], n[keep], m[keep], row[keep]
-        if not len(h):
-            return
-        # the first class of the row with at least LEAST / PER of the size
-        wide = int(n.max()) + 1
-        lead = np.searchsorted(row * wide + n, row * wide + -(-LEAST * n // PER))
-        for at in range(0, len(h), 1 << 17):
-            s = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_pydict({"h": h[s], "c": c[s], "n": n[s], "m": m[s].astype(np.int32), "lead": c[lead[s]], "lead_n": n[lead[s]]})
+        for x, before, more in token_runs(([b.column(i).to_numpy() for i in ("h", "n", "c")] for b in batches if b.num_rows), AT_ONCE):
+            out = with_leads(*x, before, more, ROW)
+            if len(out["h"]):
+                yield pa.RecordBatch.from_pydict(out)
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-tokens // (4 * POSTINGS)))
-    posted = rows.mapInArrow(post, "h long, c long, n int").repartition(parts, "h")
+    posted = rows.mapInArrow(post, "h long, c long, n int").repartition(parts, "h").sortWithinPartitions("h", "n", "c")
     return written(posted.mapInArrow(gather, "h long, c long, n int, m int, lead long, lead_n int"), "join-rows")
 
 
+def token_runs(parts: Iterator[list[np.ndarray]], size: int) -> Iterator[tuple[list[np.ndarray], int, bool]]:
+    """Arrays h, n, c sorted by all three, about size rows at a time and cut
+    between tokens; with each the number of leading rows that came before and
+    whether its last token goes on. A token of more rows comes in parts, each
+    led by what with_leads needs of the one before."""
+    held: list[list[np.ndarray]] = []
+    rows, before = 0, 0
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows < size:
+            continue
+        x = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        if cut:
+            yield [c[:cut] for c in x], before, False
+            x, before = [c[cut:] for c in x], 0
+        if len(x[0]) >= size:
+            yield x, before, True
+            h, n, c = x
+            # what later sizes may be led by, and the last row, which may repeat
+            keep = np.append(True, n[1:] != n[:-1]) & (PER * n.astype(np.int64) >= LEAST * int(n[-1]))
+            keep[-1] = True
+            x = [h[keep], n[keep], c[keep]]
+            before = len(x[0])
+        held, rows = [x], len(x[0])
+    if rows > before:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)], before, False
+
+
+def with_leads(h: np.ndarray, n: np.ndarray, c: np.ndarray, before: int, more: bool, most: int) -> dict[str, np.ndarray]:
+    """Rows of tokens with two classes or more, each with the number of classes,
+    at most `most` + 1, and the first class of at least LEAST / PER of its size."""
+    # copies of a class came from several tasks
+    new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+    own = (np.arange(len(h)) >= before)[new]
+    h, n, c = h[new], n[new], c[new]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(first, len(h)))
+    row = np.repeat(np.arange(len(first)), size)
+    if before:
+        size[0] = most + 1
+    if more:
+        size[-1] = most + 1
+    m = np.minimum(size, most + 1)[row]
+    wide = int(n.max()) + 1
+    lead = np.searchsorted(row * wide + n, row * wide + -(-LEAST * n.astype(np.int64) // PER))
+    keep = np.flatnonzero((m > 1) & own)
+    return {"h": h[keep], "c": c[keep], "n": n[keep], "m": m[keep].astype(np.int32), "lead": c[lead[keep]], "lead_n": n[lead[keep]]}
+
+
 def shared_enough(pairs: DataFrame, k: str, part: float = 1.0) -> DataFrame:
     """Pairs (a_n, b_n) that share at least `part` of least_shared."""
-    a, b = F.col("a_n").cast("long"), F.col("b_n").cast("long")
+    need = F.greatest(F.lit(1), _need(F.col("a_n").cast("long"), F.col("b_n").cast("long")))
+    return pairs.filter(F.col(k) >= need * part)
+
+
+def _need(a: Column, b: Column) -> Column:
     up = lambda x: F.ceil(x.cast("double") - 1e-9)
     rest = F.greatest(up(a * LEAST / PER), up(b * LEAST / PER)) - 1
-    need = F.greatest(F.lit(1), up((a + b) * LEAST / (PER + LEAST)) - rest)
-    return pairs.filter(F.col(k) >= need * part)
+    return up((a + b) * LEAST / (PER + LEAST)) - rest
 
 
 def open_groups(probes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -204,12 +246,13 @@ def open_groups(probes: DataFrame, sets: DataFrame) -> DataFrame:
         group, members, closed = None, [], None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for g, role, c, comp, data in zip(*(batch.column(x).to_pylist() for x in ("g", "role", "c", "comp", "tokens")), strict=True):
+            data = batch.column("tokens")
+            for i, (g, role, c, comp) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("g", "role", "c", "comp")), strict=True)):
                 if g != group:
                     group, members, closed = g, [], None
-                tokens = np.frombuffer(data, np.uint64)
+                tokens = np.frombuffer(data[i].as_buffer(), np.uint64)
                 if role == 0:
-                    members.append((c, comp, tokens))
+                    members.append((c, comp, tokens.copy()))
                     continue
                 if closed is None:
                     closed = Group(members)
@@ -236,8 +279,8 @@ def dealt(probes: DataFrame) -> DataFrame:
 
 
 class Group:
-    """One column of the matrix: the union of the members' tokens, and which
-    member holds which."""
+    """An opened group: the union of the members' whole sets, and which member
+    holds which token."""
 
     def __init__(self, members: list[tuple[int, int, np.ndarray]]) -> None:
         self.classes = np.array([c for c, _, _ in members], np.int64)
@@ -298,6 +341,20 @@ def token_sets(rows: DataFrame, reps: DataFrame, needed: DataFrame, seed: int) -
     return written(some.mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"]), "join-sets")
 
 
+def beside_least(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """edges with least: of the rows of one key the least of other. Keys with
+    many rows get it by broadcast, so that their rows need not meet."""
+    found = edges.groupBy(F.col(key).alias("w")).agg(F.min(other).alias("least"), F.count(F.lit(1)).alias("n"))
+    hubs = written(found.filter(F.col("n") > HUB).select(F.col("w").alias("hub"), F.col("least").alias("hub_least")), name)
+    if not hubs.head(1):
+        return edges.join(found.drop("n"), F.col(key) == F.col("w")).drop("w")
+    marked = edges.join(small_or_not(hubs), F.col(key) == F.col("hub"), "left")
+    hot = marked.filter("hub is not null").select(*edges.columns, F.col("hub_least").alias("least"))
+    cold = marked.filter("hub is null").select(*edges.columns)
+    few = found.filter(F.col("n") <= HUB).drop("n")
+    return hot.unionByName(cold.join(few, F.col(key) == F.col("w")).select(*edges.columns, "least"))
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """c and comp (the smallest class reachable) of all classes in links,
     by alternating stars: neighbours move to the smallest, larger ones first."""
@@ -305,14 +362,11 @@ def components(links: DataFrame, name: str) -> DataFrame:
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), name)
     state = None
     while True:
-        out = both(edges)
-        least = out.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("least"))
         # large star: larger neighbours of u go to the least around u
-        large = out.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.least("u", "least").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+        large = beside_least(both(edges), "u", "v", name).filter("v > u").select(F.least("u", "least").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
         large = written(large, name)
         # small star: smaller neighbours of u, and u, go to the least of them
-        small = large.groupBy(F.col("b").alias("w")).agg(F.min("a").alias("least"))
-        moved = large.join(small, F.col("b") == F.col("w")).select(F.col("least").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
+        moved = beside_least(large, "b", "a", name).select(F.col("least").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
         edges = written(moved, name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if now == state:
@@ -320,61 +374,120 @@ def components(links: DataFrame, name: str) -> DataFrame:
         state = now
 
 
-def cross_probes(rows: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes of different groups with the number of short rows they
-    share, and probes of the blocks of longer rows, both written."""
-    marked = rows.select("h", "c", "n", "m").join(small_or_not(comps.withColumnRenamed("c", "_c")), F.col("c") == F.col("_c"), "left")
-    marked = marked.select("h", "c", "n", "m", F.coalesce("comp", "c").alias("comp"))
+def cut_groups(comps: DataFrame) -> DataFrame:
+    """c, comp and g: the group of each class of a component, one for the
+    component, or parts of about BLOCK members of a large one."""
+    sizes = comps.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    large = written(sizes.select("_comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "join-parts")
+    marked = comps.join(small_or_not(large), F.col("comp") == F.col("_comp"), "left")
+    part = F.xxhash64("comp", F.pmod(F.xxhash64("c"), F.col("parts")))
+    return written(marked.select("c", "comp", F.when(F.col("parts").isNull(), F.col("comp")).otherwise(part).alias("g")), "join-groups")
+
+
+CROSS = "kind int, c long, g long, n int, low int, high int, comp long, k int"
+
+
+def token_columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], size: int) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by h, size rows or more at a time, each
+    token's rows together."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(x).to_numpy() for x in names])
+        rows += batch.num_rows
+        if rows < size:
+            continue
+        x = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        if cut:
+            yield [c[:cut] for c in x]
+        held, rows = [[c[cut:] for c in x]], len(x[0]) - cut
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def cross_probes(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries c to groups g of other components, with the number k of matrix
+    rows that they share and the least and greatest size of the members met
+    there; and probes of the blocks of longer rows."""
+    held = groups.select(F.col("c").alias("_c"), "comp", "g")
+    marked = rows.select("h", "c", "n", "m").join(small_or_not(held), F.col("c") == F.col("_c"), "left")
+    marked = marked.select("h", "c", "n", "m", F.coalesce("comp", "c").alias("comp"), F.coalesce("g", "c").alias("g"))
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), None) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        h, c, n, m, comp = (table.column(x).to_numpy() for x in ("h", "c", "n", "m", "comp"))
-        order = np.lexsort((c, n, comp, h))
-        h, c, n, m, comp = h[order], c[order], n[order].astype(np.int64), m[order], comp[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(first, len(h)))
-        mixed = np.logical_or.reduceat(np.append(False, comp[1:] != comp[:-1]) & np.append(False, h[1:] == h[:-1]), first)
-        pairs: list[np.ndarray] = []
-        for s in range(2, ROW + 1):
-            at = first[mixed & (size == s)]
-            if not len(at):
+        for h, c, n, m, comp, g in token_columns(batches, ("h", "c", "n", "m", "comp", "g"), AT_ONCE):
+            n = n.astype(np.int64)
+            start = np.append(True, h[1:] != h[:-1])
+            first = np.flatnonzero(start)
+            size = np.diff(np.append(first, len(h)))
+            mixed = np.logical_or.reduceat(np.append(False, comp[1:] != comp[:-1]) & ~start, first)
+            yield from _short_rows(first[mixed & (size <= ROW)], size[mixed & (size <= ROW)], c, n, comp, g)
+            for at, s in zip(first[mixed & (size > ROW)].tolist(), size[mixed & (size > ROW)].tolist(), strict=True):
+                yield from _long_row(h[at], slice(at, at + s), c, n, comp, BLOCK)
+
+    found = written(marked.repartition(parts, "h").sortWithinPartitions("h", "comp", "g", "n", "c").mapInArrow(run, CROSS), "join-cross")
+    queries = found.filter("kind = 0").groupBy("c", "g", "n", "comp").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+    blocks = found.filter("kind > 0").select("g", (F.col("kind") - 1).alias("role"), "c", "comp")
+    return queries, blocks
+
+
+def _short_rows(first: np.ndarray, size: np.ndarray, c: np.ndarray, n: np.ndarray, comp: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of the matrix rows at first: each class a query to the groups of smaller
+    components whose members' sizes fit, counted by query and group."""
+    for s in np.unique(size).tolist():
+        i, j = np.triu_indices(s, 1)
+        at = first[size == s]
+        step = max(1, (1 << 20) // len(i))
+        for low in range(0, len(at), step):
+            some = at[low : low + step]
+            # sorted by component: the later class is of the greater one
+            a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+            row = np.repeat(some, len(i))
+            ok = (comp[a] != comp[b]) & (PER * np.minimum(n[a], n[b]) >= LEAST * np.maximum(n[a], n[b]))
+            a, b, row = a[ok], b[ok], row[ok]
+            if not len(a):
                 continue
-            i, j = np.triu_indices(s, 1)
-            for low in range(0, len(at), max(1, (1 << 20) // len(i))):
-                some = at[low : low + max(1, (1 << 20) // len(i))]
-                a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                ok = (comp[a] != comp[b]) & (PER * np.minimum(n[a], n[b]) >= LEAST * np.maximum(n[a], n[b]))
-                a, b = a[ok], b[ok]
-                swap = c[a] > c[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                pairs.append(np.stack([c[a], c[b], n[a], n[b], comp[a], comp[b]], axis=1))
-        if pairs:
-            flat = np.concatenate(pairs)
-            found, k = np.unique(flat, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(found), np.int32), "a": found[:, 0], "b": found[:, 1], "a_n": found[:, 2].astype(np.int32), "b_n": found[:, 3].astype(np.int32), "a_comp": found[:, 4], "b_comp": found[:, 5], "k": k.astype(np.int32)})
-        for at, s in zip(first[mixed & (size > ROW)].tolist(), size[mixed & (size > ROW)].tolist(), strict=True):
-            blocks = -(-s // BLOCK)
-            for i in range(blocks):
-                low, high = at + i * BLOCK, at + min(s, (i + 1) * BLOCK)
-                asked = np.arange(low, at + s)
-                # a query of the block's only comp has nothing to find there
-                asked = asked[(comp[low] != comp[high - 1]) | (comp[asked] != comp[low])]
-                if not len(asked):
-                    continue
-                who = np.concatenate([np.arange(low, high), asked])
-                g = np.int64(mix64(np.array([h[at]], np.int64).view(np.uint64) + np.uint64(i)).view(np.int64)[0])
-                role = np.repeat([1, 2], [high - low, len(asked)]).astype(np.int32)
-                z = np.zeros(len(who), np.int64)
-                yield pa.RecordBatch.from_pydict({"kind": role, "a": c[who], "b": np.full(len(who), g), "a_n": n[who].astype(np.int32), "b_n": z.astype(np.int32), "a_comp": comp[who], "b_comp": z, "k": z.astype(np.int32)})
+            order = np.lexsort((row, g[a], c[b]))
+            a, b, row = a[order], b[order], row[order]
+            new = np.append(True, (c[b][1:] != c[b][:-1]) | (g[a][1:] != g[a][:-1]))
+            once = new | np.append(True, row[1:] != row[:-1])
+            starts = np.flatnonzero(new)
+            q, of = b[starts], a[starts]
+            yield pa.RecordBatch.from_pydict({
+                "kind": np.zeros(len(starts), np.int32), "c": c[q], "g": g[of], "n": n[q].astype(np.int32),
+                "low": np.minimum.reduceat(n[a], starts).astype(np.int32), "high": np.maximum.reduceat(n[a], starts).astype(np.int32),
+                "comp": comp[q], "k": np.add.reduceat(once.astype(np.int32), starts).astype(np.int32),
+            })
+
+
+def _long_row(h: int, where: slice, c: np.ndarray, n: np.ndarray, comp: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a longer row as groups of their own (kind 1), each asked by
+    the classes of it and after it (kind 2)."""
+    for i, low in enumerate(range(where.start, where.stop, block)):
+        high = min(where.stop, low + block)
+        asked = np.arange(low, where.stop)
+        # a query of the block's only component has nothing to find there
+        asked = asked[(comp[low] != comp[high - 1]) | (comp[asked] != comp[low])]
+        if not len(asked):
+            continue
+        who = np.concatenate([np.arange(low, high), asked])
+        g = mix64(np.array([h], np.int64).view(np.uint64) + np.uint64(i)).view(np.int64)[0]
+        z = np.zeros(len(who), np.int32)
+        yield pa.RecordBatch.from_pydict({
+            "kind": np.repeat([1, 2], [high - low, len(asked)]).astype(np.int32), "c": c[who], "g": np.full(len(who), g), "n": n[who].astype(np.int32),
+            "low": z, "high": z, "comp": comp[who], "k": z,
+        })
+
 
-    kinds = "kind int, a long, b long, a_n int, b_n int, a_comp long, b_comp long, k int"
-    found = written(marked.repartition(parts, "h").mapInArrow(run, kinds), "join-cross")
-    pairs = found.filter("kind = 0").groupBy("a", "b", "a_n", "b_n", "a_comp", "b_comp").agg(F.sum("k").alias("k"))
-    blocks = found.filter("kind > 0").select(F.col("b").alias("g"), (F.col("kind") - 1).alias("role"), F.col("a").alias("c"), F.col("a_comp").alias("comp"))
-    return pairs, blocks
+def bounded_enough(queries: DataFrame) -> DataFrame:
+    """Queries whose overlap with the group's union does not rule out a link
+    with any member of the sizes met. The least number of common tokens is that
+    of the least or of the greatest size, to one."""
+    n = F.col("n").cast("long")
+    return queries.filter(F.col("k") >= F.greatest(F.lit(1), F.least(_need(n, F.col("low").cast("long")), _need(n, F.col("high").cast("long"))) - 1))
 
 
 def text_hash(text: str | Column) -> Column:
@@ -406,17 +519,18 @@ def component_labels(docs: DataFrame) -> DataFrame:
 
     stars = table.filter("lead <> c").groupBy(F.col("lead").alias("a"), F.col("c").alias("b"), F.col("lead_n").alias("a_n"), F.col("n").alias("b_n")).agg(F.count(F.lit(1)).alias("k"))
     stars = written(shared_enough(stars, "k", 0.5).select("a", "b"), "join-stars")
-    links = _opened(stars.select("a", "b", F.col("a").alias("a_comp"), F.col("b").alias("b_comp")), None, keyed, reps, seed)
-    comps = written(components(links, "join-first"), "join-groups")
-
-    pairs, blocks = cross_probes(table, comps)
-    long = table.filter(F.col("m") > ROW).groupBy(F.col("c").alias("_c")).agg(F.count(F.lit(1)).alias("more"))
-    long = written(long, "join-long")
-    for side in ("a", "b"):
-        pairs = pairs.join(small_or_not(long.select(F.col("_c").alias(f"_{side}"), F.col("more").alias(f"{side}_more"))), F.col(side) == F.col(f"_{side}"), "left").drop(f"_{side}")
-    pairs = pairs.withColumn("most", F.col("k") + F.least(F.coalesce("a_more", F.lit(0)), F.coalesce("b_more", F.lit(0))))
-    pairs = written(shared_enough(pairs, "most").select("a", "b", "a_comp", "b_comp"), "join-pairs")
-    links = links.unionByName(_opened(pairs, blocks, keyed, reps, seed))
+    # first the leaders, each a group of one, then the groups that they make
+    links = _opened(stars.select(F.col("a").alias("g"), F.lit(0).alias("role"), F.col("a").alias("c"), F.col("a").alias("comp")).distinct()
+                    .unionByName(stars.select(F.col("a").alias("g"), F.lit(1).alias("role"), F.col("b").alias("c"), F.col("b").alias("comp"))), keyed, reps, seed)
+    groups = cut_groups(written(components(links, "join-first"), "join-grouped"))
+
+    queries, blocks = cross_probes(table, groups)
+    queries = written(bounded_enough(queries).select("c", "g", "comp"), "join-queries")
+    wanted = queries.select(F.col("g").alias("_g")).distinct()
+    # a group without a row in groups is a class of its own
+    members = wanted.join(groups, F.col("g") == F.col("_g"), "left").select(F.col("_g").alias("g"), F.lit(0).alias("role"), F.coalesce("c", "_g").alias("c"), F.coalesce("comp", "_g").alias("comp"))
+    asked = queries.select("g", F.lit(1).alias("role"), "c", "comp")
+    links = links.unionByName(_opened(members.unionByName(asked).unionByName(blocks), keyed, reps, seed))
     comps = written(components(links, "join-second"), "join-components").withColumnRenamed("c", "_c")
 
     return written(own.join(small_or_not(comps), F.col("c") == F.col("_c"), "left").select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("comp", "c")).alias("label")), "join-labels")
@@ -436,13 +550,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("_label").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _opened(pairs: DataFrame, blocks: DataFrame | None, rows: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
-    """Links among the pairs, a being the group of one and b its query, and in
-    the blocks, written."""
-    members = pairs.select(F.col("a").alias("g"), F.lit(0).alias("role"), F.col("a").alias("c"), F.col("a_comp").alias("comp")).distinct()
-    probes = members.unionByName(pairs.select(F.col("a").alias("g"), F.lit(1).alias("role"), F.col("b").alias("c"), F.col("b_comp").alias("comp")))
-    if blocks is not None:
-        probes = probes.unionByName(blocks)
+def _opened(probes: DataFrame, rows: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
+    """Links found in the groups of the probes, written."""
     needed = written(probes.select("c").distinct(), "join-needed")
     return written(open_groups(probes, token_sets(rows, reps, needed, seed)), "join-links")
 
