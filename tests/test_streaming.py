@@ -1,32 +1,61 @@
 from __future__ import annotations
 
 import math
+import random
+import statistics
 
 import pandas as pd
 import pytest
 
 from tidemark.errors import SqlError
 from tidemark.plans.parser import parse
-from tidemark.streaming.stateful import Machine, live_view, stream_view
+from tidemark.streaming.stateful import Machine, live_script, live_view, moved, stream_view
 
 
 def frame(n, keys=2):
     return pd.DataFrame({"ts": pd.to_datetime([1_700_000_000 + i for i in range(n)], unit="s"), "id": range(n), "k": [i % keys for i in range(n)], "x": [float((i * 7) % 11) for i in range(n)]})
 
 
+def emitted(sql, values, columns=("x",)):
+    m = Machine(parse(sql), list(columns))
+    return [[r[2:] for r in m.step(i, i, {"x": v})] for i, v in enumerate(values)]
+
+
 def test_machine_emits_when_all_windows_are_full():
-    m = Machine(parse("SELECT MOVING_AVERAGE(x, 2) AS m, SUM(x) AS s FROM t"), ["x"])
-    assert [m.step({"x": v}) for v in (1.0, 3.0, 5.0)] == [None, [2.0, 4.0], [4.0, 9.0]]
-    m = Machine(parse("SELECT MOVING_STD(x, 1) AS m, x / 0 AS d FROM t WHERE x > 1"), ["x"])
-    assert [m.step({"x": v}) for v in (1.0, 3.0)] == [None, [0.0, math.inf]]
+    assert emitted("SELECT MOVING_AVERAGE(x, 2) AS m, SUM(x) AS s FROM t", (1.0, 3.0, 5.0)) == [[], [[2.0, 4.0]], [[4.0, 9.0]]]
+    assert emitted("SELECT MOVING_STD(x, 1) AS m, x / 0 AS d FROM t WHERE x > 1", (1.0, 3.0)) == [[], [[0.0, math.inf]]]
+    assert emitted("SELECT PEAK_DETECT(x, 3) AS p FROM t", (1.0, 3.0, 2.0, 2.0, 5.0, 4.0)) == [[], [], [[3.0]], [], [], [[5.0]]]
+    assert emitted("SELECT DIFFERENCE(x) AS d FROM t", (1.0, 3.0)) == [[], [[2.0]]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_windows_of_two_parts_match_whole_ones(n):
+    rnd = random.Random(n)
+    values = [rnd.uniform(-5, 5) for _ in range(60)]
+    values[20], values[35] = math.inf, 1e17
+    states = {k: [] for k in ("SUM", "AVERAGE", "MIN", "MAX", "STD")}
+    for i, x in enumerate(values):
+        last = values[max(0, i - n + 1) : i + 1]
+        found = {k: moved(k, n, s, x) for k, s in states.items()}
+        if len(last) < n:
+            assert set(found.values()) == {None}
+        elif math.inf in last:
+            assert found["SUM"] == found["MAX"] == math.inf
+        else:
+            assert found["SUM"] == pytest.approx(math.fsum(last)) and found["AVERAGE"] == pytest.approx(math.fsum(last) / n)
+            assert (found["MIN"], found["MAX"]) == (min(last), max(last))
+            assert found["STD"] == pytest.approx(statistics.stdev(last) if n > 1 else 0.0)
 
 
 def test_what_streams_refuse(spark):
-    for sql in ("SELECT PEAK_DETECT(x, 3) AS p FROM t", "SELECT k, COUNT(*) AS n FROM t GROUP BY k HAVING MOVING_COUNT(3) > 1"):
+    for sql in ("SELECT RESAMPLE_HERMITE(x, 3) AS p FROM t", "SELECT x FROM t WHERE x > MOVING_AVERAGE(x, 3)", "SELECT RESAMPLE(x, 2) AS a, RESAMPLE(x, 3) AS b FROM t"):
         with pytest.raises(SqlError):
             Machine(parse(sql), ["k", "x"])
     with pytest.raises(SqlError):
         live_view(spark.range(1), "SELECT id FROM t LIMIT 1")
+    for sql in ("SELECT x FROM nowhere", "DROP VIEW a", "SELECT t.x FROM t JOIN w ON t.k = w.k"):
+        with pytest.raises(SqlError):
+            live_script({"t": spark.createDataFrame([], "_ts long, _seq long, k long, x double")}, sql)
 
 
 def test_restart_goes_on_where_it_stopped(spark, tmp_path):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.engine import TIME, Engine
-from tidemark.streaming.stateful import stream_view
+from tidemark.streaming.stateful import live_script, read_stream, run_live, stream_view
 
 DIGITS = 4
 #: Added before rounding, so that exact halves do not fall apart by a last bit.
@@ -372,3 +372,41 @@ streaming("stream_cum_sum", "cum_sum", "SELECT user_id, event_id, SUM(value) AS
 streaming("stream_mov_avg", "mov_avg", "SELECT user_id, event_id, MOVING_AVERAGE(value, 10) AS m FROM events GROUP BY user_id")
 streaming("stream_bollinger", "bollinger", BOLLINGER)
 streaming("stream_iir", "iir", "SELECT user_id, event_id, IIR(value, ARRAY[1, -0.5], ARRAY[0.5]) AS y FROM events GROUP BY user_id")
+streaming("stream_peak", "peak_detect", "SELECT user_id, PEAK_DETECT(value, 3) AS peak FROM events GROUP BY user_id")
+streaming("stream_resample", "resample", "SELECT user_id, RESAMPLE(value, 3600000000) AS v FROM events GROUP BY user_id")
+streaming("stream_velocity", "velocity_alert", "SELECT user_id, event_id, MOVING_COUNT(100) AS n FROM events GROUP BY user_id HAVING MOVING_COUNT(100) > 2")
+streaming("stream_large", "mov_large_all", "SELECT event_id, MOVING_STD(value, 600) AS d, MOVING_MIN(value, 600) AS lo, MOVING_MAX(value, 600) AS hi FROM events")
+
+
+def live(name: str, twin: str, sql: str) -> None:
+    """A script over live streams: events and its kinds, with the customers of
+    a batch and what users have bought last as tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def make() -> DataFrame:
+            named = set(re.findall(r"\w+", sql))
+            events = lambda: read_stream(spark, f"{sf_dir}/events.parquet", "ts", "event_id")
+            streams = {"events": events().withColumn("event_id", F.col("_seq"))} if "events" in named else {}
+            streams |= {k: events().withColumn("event_id", F.col("_seq")).filter(F.col("event_type") == k).drop("event_type") for k in KINDS if k in named}
+            orders = lambda: read_stream(spark, f"{sf_dir}/orders.parquet", "o_orderdate", "o_orderkey")
+            if "orders" in named:
+                streams["orders"] = orders().select("_ts", "_seq", F.col("_seq").alias("o_orderkey"), "o_custkey", "o_totalprice")
+            tables = {}
+            if "customer" in named:
+                tables["customer"] = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey"
+            if "bought" in named:
+                changes = events().filter("event_type = 'purchase'").select("_ts", "_seq", F.lit(False).alias("_deleted"), "user_id", "value")
+                tables["bought"] = changes, "user_id"
+            return live_script(streams, sql, tables)
+
+        return rounded(run_live(spark, make))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = ORACLE_SQL[twin]
+
+
+live("live_chain", "chain_3", "CREATE VIEW a AS SELECT user_id, event_id, SUM(value) AS total FROM events GROUP BY user_id; CREATE VIEW b AS SELECT user_id, event_id, MOVING_AVERAGE(total, 3) AS m FROM a GROUP BY user_id; SELECT user_id, event_id, MOVING_AVERAGE(m, 2) AS mm FROM b GROUP BY user_id")
+live("live_asof", "asof_two", "SELECT click.value AS a, purchase.value AS b, click.value - purchase.value AS spread FROM click, purchase")
+live("live_asof_view", "asof_correlation", "CREATE VIEW pair AS SELECT c.value AS x, v.value AS y FROM click c, view v; SELECT (MOVING_AVERAGE(x * y, 20) - MOVING_AVERAGE(x, 20) * MOVING_AVERAGE(y, 20)) / (MOVING_STD(x, 20) * MOVING_STD(y, 20)) AS rho FROM pair")
+live("live_table", "table_enrich", "SELECT o_orderkey, c.c_nationkey AS c_nationkey, o_totalprice + c.c_acctbal AS both_sum FROM orders JOIN customer c ON orders.o_custkey = c.c_custkey")
+live("live_table_changes", "table_changes", "SELECT event_id, p.value AS last_value FROM click JOIN bought p ON click.user_id = p.user_id")

@@ -1,20 +1,22 @@
 """Views over live events by Structured Streaming.
 
-A view's query runs as one stateful processor: each key's state holds the
-running sums and the last events its functions need, events of a micro-batch are
-taken in the order of time and sequence, and each one that fills all windows
-emits a row, as in the batch plan. Late events are held back until the watermark
-has passed them, so that order holds over micro-batches; those behind it are
-dropped and counted by Spark.
+A view's query runs as a stateful processor: each key's state holds the parts of
+windows its functions need, events of a micro-batch are taken in the order of
+time and sequence, and each one that fills all windows emits a row, as in the
+batch plan. A chain of views is a chain of processors. Several sources are first
+combined, and events first meet a table that changes, by processors of their own,
+which emit rows to the view's. Late events are held back until the watermark has
+passed them, so that order holds over micro-batches; those behind it are dropped
+and counted by Spark.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import uuid
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +25,53 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.errors import SqlError
+from tidemark.operators import joins
 from tidemark.operators.windows import SEQ, TS
 from tidemark.plans import ast as A
-from tidemark.plans.parser import parse
-from tidemark.plans.planner import STATEFUL, coefficients, default_name, expand_aliases, positive, velocity
+from tidemark.plans.parser import parse, parse_many
+from tidemark.plans.planner import RESAMPLERS, STATEFUL, Scope, coefficients, default_name, expand_aliases, positive, shift, velocity
+from tidemark.sources.events import shared_path
+
+#: The count of a velocity filter, beside the columns of an event.
+VELOCITY = "_velocity"
+
+
+def _merged(kind: str, a: list, b: list) -> list:
+    """Two parts of a window as one: a sum, a least or greatest value, or count,
+    mean and sum of squares about it."""
+    if kind != "STD":
+        return [{"MIN": min, "MAX": max}.get(kind, lambda x, y: x + y)(a[0], b[0])]
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return [n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n]
+
+
+def moved(kind: str, n: int, s: list, x: float) -> float | None:
+    """A moving function of the last n events, one more being x; None before
+    there are n. Values are in blocks of n: state s is the last parts of the
+    block before, by length, and the own block's values and first part. What has
+    left leaves no trace, and an event costs the same for all n."""
+    if not s:
+        s[:] = [[], [], []]
+    own = [1, x, 0.0] if kind == "STD" else [x]
+    s[1].append(x)
+    s[2] = _merged(kind, s[2], own) if s[2] else own
+    found = None
+    if len(s[1]) == n:
+        found = s[2]
+    elif s[0]:
+        found = _merged(kind, s[0][n - len(s[1]) - 1], s[2])
+    if len(s[1]) == n:
+        tails, part = [], []
+        for v in reversed(s[1]):
+            one = [1, v, 0.0] if kind == "STD" else [v]
+            part = _merged(kind, one, part) if part else one
+            tails.append(part)
+        s[:] = [tails, [], []]
+    if found is None:
+        return None
+    if kind == "STD":
+        return math.sqrt(max(found[2], 0.0) / (n - 1)) if n > 1 else 0.0
+    return found[0] / n if kind == "AVERAGE" else found[0]
 
 
 class Machine:
@@ -38,35 +83,73 @@ class Machine:
         self.items = items
         self.where = None if select.where is None else expand(select.where)
         self.having = None if select.having is None else expand(select.having)
-        if velocity(self.having) is not None:
-            raise SqlError("a velocity filter spans all keys: it runs on batches only")
+        self.fast = velocity(self.having)
+        if self.fast is not None:
+            self.having = None
+        if self.where is not None and any(isinstance(x, A.Call) and x.name in STATEFUL for x in A.walk(self.where)):
+            raise SqlError("windows in WHERE span all keys: they run on batches only")
         self.calls: list[A.Call] = []
         for e in [i.expr for i in items] + ([self.having] if self.having is not None else []):
             self._collect(e)
+        self.grid = [i for i in items if isinstance(i.expr, A.Call) and i.expr.name == "RESAMPLE"]
+        if any(isinstance(x, A.Call) and x.name in RESAMPLERS and x not in [i.expr for i in self.grid] for c in self.calls for x in A.walk(c)):
+            raise SqlError("RESAMPLE runs live as an item of SELECT, RESAMPLE_HERMITE on batches only")
+        if len({positive(i.expr, 1, 2) for i in self.grid}) > 1:
+            raise SqlError("RESAMPLE takes one interval in a query")
+        self.calls = [c for c in self.calls if c.name not in RESAMPLERS]
+        self.peaks = [c for c in self.calls if c.name == "PEAK_DETECT"]
+        self.shift = sum({shift(x) for i in items for x in A.walk(i.expr) if isinstance(x, A.Call) and x.name == "TIME_SHIFT"})
         self.state: dict[str, list] = {}
 
     def _collect(self, e: A.Expr) -> None:
         for child in A.children(e):
             self._collect(child)
         if isinstance(e, A.Call) and e.name in STATEFUL and e not in self.calls:
-            if e.name in ("PEAK_DETECT", "RESAMPLE"):
-                raise SqlError(f"{e.name} runs on batches only")
             self.calls.append(e)
 
-    def step(self, row: dict) -> list | None:
-        """The output of one event, or None if something did not emit."""
+    def step(self, ts: int, seq: int, row: dict) -> list[list]:
+        """The rows that one event emits: time, sequence and values."""
         done: dict[A.Call, float | None] = {}
         value = lambda e: evaluate(e, row, done)
+        if self.fast is not None:
+            done[A.Call("MOVING_COUNT", (A.Num(float(self.fast[0])),))] = row[VELOCITY]
         if self.where is not None and not value(self.where):
-            return None
+            return []
         for i, call in enumerate(self.calls):
-            done[call] = self._call(str(i), call, value)
+            if call not in done:
+                done[call] = self._call(str(i), call, value, ts)
+        if self.grid:
+            return self._on_grid(ts, [value(i.expr.args[0] if i in self.grid else i.expr) for i in self.items])
         if any(v is None for v in done.values()) or (self.having is not None and not value(self.having)):
-            return None
+            return []
         out = [value(i.expr) for i in self.items]
-        return None if any(v is None for v in out) else out
-
-    def _call(self, name: str, e: A.Call, value: Callable) -> float | None:
+        if any(v is None for v in out):
+            return []
+        if len(self.peaks) == 1:
+            ts = self.state[f"{self.calls.index(self.peaks[0])}t"][0]
+        return [[ts + self.shift, seq, *out]]
+
+    def _on_grid(self, ts: int, values: list) -> list[list]:
+        """The points of the grid since the event before, with its values, and
+        the event's own time, if it is one."""
+        if any(v is None for v in values):
+            return []
+        step = positive(self.grid[0].expr, 1, 2)
+        s = self.state.setdefault("grid", [])
+        if not s:
+            s[:] = [ts, 0, values]
+        first, nth, before = s
+        out = []
+        while first + nth * step < ts:
+            out.append([first + nth * step, nth, *before])
+            nth += 1
+        if first + nth * step == ts:
+            out.append([ts, nth, *values])
+            nth += 1
+        s[:] = [first, nth, values]
+        return out
+
+    def _call(self, name: str, e: A.Call, value: Callable, ts: int) -> float | None:
         s = self.state.setdefault(name, [])
         if e.name == "COUNT":
             s[:] = [(s[0] if s else 0.0) + 1.0]
@@ -83,6 +166,10 @@ class Machine:
             total, n, low, high = s or (0.0, 0, math.inf, -math.inf)
             s[:] = [total + x, n + 1, min(low, x), max(high, x)]
             return {"SUM": s[0], "AVG": s[0] / s[1], "MIN": s[2], "MAX": s[3]}[e.name]
+        if e.name == "DIFFERENCE":
+            before = s[0] if s else None
+            s[:] = [x]
+            return None if before is None else x - before
         if e.name == "IIR":
             a, b = coefficients(e, 1, 3), coefficients(e, 2, 3)
             xs, ys = s or ([0.0] * len(b), [0.0] * (len(a) - 1))
@@ -90,17 +177,24 @@ class Machine:
             y = (sum(c * v for c, v in zip(b, xs, strict=True)) - sum(c * v for c, v in zip(a[1:], ys, strict=True))) / a[0]
             s[:] = [xs, [y, *ys][: len(a) - 1]]
             return y
-        n = len(coefficients(e, 1, 2)) if e.name == "FIR" else positive(e, 1, 2)
-        s.append(x)
-        del s[:-n]
-        if len(s) < n:
-            return None
         if e.name == "FIR":
-            return sum(c * v for c, v in zip(coefficients(e, 1, 2), reversed(s), strict=True))
-        mean = math.fsum(s) / n
-        if e.name in ("MOVING_STD", "STDDEV"):
-            return math.sqrt(math.fsum((v - mean) ** 2 for v in s) / (n - 1)) if n > 1 else 0.0
-        return {"MOVING_AVERAGE": mean, "MOVING_SUM": math.fsum(s), "MOVING_MIN": min(s), "MOVING_MAX": max(s)}[e.name]
+            taps = coefficients(e, 1, 2)
+            s.append(x)
+            del s[: -len(taps)]
+            return sum(c * v for c, v in zip(taps, reversed(s), strict=True)) if len(s) == len(taps) else None
+        n = positive(e, 1, 2)
+        if e.name == "PEAK_DETECT":
+            times = self.state.setdefault(f"{name}times", [])
+            s.append(x)
+            times.append(ts)
+            del s[:-n], times[:-n]
+            if len(s) < n:
+                return None
+            at = n - 1 - n // 2
+            self.state[f"{name}t"] = [times[at]]
+            return s[at] if all(s[at] > v for i, v in enumerate(s) if i != at) else None
+        kind = "STD" if e.name == "STDDEV" else e.name.removeprefix("MOVING_")
+        return moved(kind, n, s, x)
 
 
 def _divide(a: float, b: float) -> float:
@@ -127,6 +221,9 @@ _ARITHMETIC: dict[str, Callable] = {
 }
 
 
+_LOGICAL: dict[str, Callable] = {"XOR": lambda a, b: a != b, "NOR": lambda a, b: not (a or b), "NAND": lambda a, b: not (a and b), "IMPLIES": lambda a, b: not a or b}
+
+
 def evaluate(e: A.Expr, row: dict, done: dict) -> object:
     """An expression over one event; None where nothing was emitted."""
     if isinstance(e, A.Call) and e in done:
@@ -146,6 +243,8 @@ def evaluate(e: A.Expr, row: dict, done: dict) -> object:
         return None if e.default is None else evaluate(e.default, row, done)
     if isinstance(e, A.IsNull):
         return (evaluate(e.arg, row, done) is None) != e.negated
+    if isinstance(e, A.Call) and e.name == "TIME_SHIFT":
+        return evaluate(e.args[0], row, done)
     values = [evaluate(x, row, done) for x in A.children(e)]
     if any(v is None for v in values):
         return None
@@ -159,40 +258,46 @@ def evaluate(e: A.Expr, row: dict, done: dict) -> object:
         return (values[1] <= values[0] <= values[2]) != e.negated
     if isinstance(e, A.InList):
         return (values[0] in values[1:]) != e.negated
+    if isinstance(e, A.Call) and e.name in _LOGICAL:
+        return _LOGICAL[e.name](*map(bool, values))
     if isinstance(e, A.Call) and e.name in _SCALARS:
         return _SCALARS[e.name](*map(float, values))
     raise SqlError(f"{getattr(e, 'name', type(e).__name__)} runs on batches only")
 
 
-class ViewProcessor(StatefulProcessor):
-    """A Machine for each key, its state and the events held back as JSON."""
+class Ordered(StatefulProcessor):
+    """Events of a key in the order of time and sequence, those ahead of the
+    watermark held back. State is JSON: that of work(), and what is held."""
+
+    def __init__(self, given: list[str], out: list[str], delay: int | None) -> None:
+        self.given, self.out, self.delay = given, out, delay
 
-    def __init__(self, select: A.Select, given: list[str], columns: list[str], out: list[str], delay: int | None) -> None:
-        self.select, self.given, self.columns, self.out, self.delay = select, given, columns, out, delay
+    def work(self, state: dict, events: list[list]) -> list[list]:
+        """Output rows of events in order, each a list of the given columns
+        without _time; state may be changed."""
+        raise NotImplementedError
+
+    def order(self, event: list) -> tuple:
+        return event[0], event[1]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", T.StructType([T.StructField("state", T.StringType()), T.StructField("held", T.StringType())]))
+        self.columns = [TS, SEQ, *[c for c in self.given if c not in (TS, SEQ, "_time", "_one")]]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        machine = Machine(self.select, self.columns)
-        held: list = []
+        state, held = {}, []
         if self.kept.exists():
-            state, before = self.kept.get()
-            machine.state, held = json.loads(state), json.loads(before)
+            state, held = map(json.loads, self.kept.get())
         for frame in rows:
             # names of computed columns may be lost on the way; places are not
             frame = frame.set_axis(self.given, axis=1)
             frame = frame.astype(object).where(frame.notna(), None)
-            held += frame[[TS, SEQ, *self.columns]].to_numpy().tolist()
-        held.sort(key=lambda r: (r[0], r[1]))
+            held += frame[self.columns].to_numpy().tolist()
+        held.sort(key=self.order)
         ready, later = self._split(held, timerValues)
-        out = []
-        for ts, seq, *values in ready:
-            found = machine.step(dict(zip(self.columns, values, strict=True)))
-            if found is not None:
-                out.append([ts, seq, *found])
-        self.kept.update((json.dumps(machine.state), json.dumps(later)))
+        out = self.work(state, ready)
+        self.kept.update((json.dumps(state), json.dumps(later)))
         if later and self.delay is not None:
             self.handle.registerTimer(later[0][0] // 1000 + self.delay)
         if out:
@@ -213,6 +318,99 @@ class ViewProcessor(StatefulProcessor):
         pass
 
 
+class ViewProcessor(Ordered):
+    """A Machine for each key."""
+
+    def __init__(self, select: A.Select, given: list[str], out: list[str], delay: int | None) -> None:
+        super().__init__(given, out, delay)
+        self.select = select
+
+    def work(self, state: dict, events: list[list]) -> list[list]:
+        machine = Machine(self.select, self.columns[2:])
+        machine.state = state
+        out = []
+        for ts, seq, *values in events:
+            out += machine.step(ts, seq, dict(zip(self.columns[2:], values, strict=True)))
+        return out
+
+
+class LatestProcessor(Ordered):
+    """The latest values of several sources for each event of any, once all have
+    emitted. Events have their source's rank and, of its own columns, values;
+    those of one time go by the rank."""
+
+    def __init__(self, given: list[str], out: list[str], delay: int | None, places: list[list[int]]) -> None:
+        super().__init__(given, out, delay)
+        #: For each source the places of its columns among the output's.
+        self.places = places
+
+    def order(self, event: list) -> tuple:
+        return event[0], event[2], event[1]
+
+    def work(self, state: dict, events: list[list]) -> list[list]:
+        latest = state.setdefault("latest", [None] * len(self.places))
+        out = []
+        for ts, seq, rank, *values in events:
+            latest[rank] = [values[i] for i in self.places[rank]]
+            if None in latest:
+                continue
+            row = [None] * len(self.out)
+            for places, own in zip(self.places, latest, strict=True):
+                for i, v in zip(places, own, strict=True):
+                    row[i] = v
+            out.append([ts, seq * len(self.places) + rank, *row])
+        return out
+
+
+class TableProcessor(Ordered):
+    """Events of a key with the table's row of their time. A change, which has
+    rank 0, comes before an event of its time."""
+
+    def __init__(self, given: list[str], out: list[str], delay: int | None, events: list[int], table: list[int], keep: bool) -> None:
+        super().__init__(given, out, delay)
+        self.events, self.table, self.keep = events, table, keep
+
+    def order(self, event: list) -> tuple:
+        return event[0], event[2], event[1]
+
+    def work(self, state: dict, events: list[list]) -> list[list]:
+        out = []
+        for ts, seq, rank, deleted, *values in events:
+            if rank == 0:
+                state["row"] = None if deleted else [values[i] for i in self.table]
+            elif state.get("row") is not None or self.keep:
+                out.append([ts, seq, *[values[i] for i in self.events], *(state.get("row") or [None] * len(self.table))])
+        return out
+
+
+class VelocityProcessor(Ordered):
+    """Events of all keys whose key is among the last n of them as often as a
+    comparison asks, with that count."""
+
+    def __init__(self, given: list[str], out: list[str], delay: int | None, keys: list[int], n: int, op: str, bound: float) -> None:
+        super().__init__(given, out, delay)
+        self.keys, self.n, self.op, self.bound = keys, n, op, bound
+
+    def work(self, state: dict, events: list[list]) -> list[list]:
+        last, at = state.get("last", []), 0
+        counts = state.get("counts", {})
+        out = []
+        for ts, seq, *values in events:
+            key = json.dumps([values[i] for i in self.keys])
+            last.append(key)
+            counts[key] = counts.get(key, 0) + 1
+            if len(last) - at > self.n:
+                gone = last[at]
+                at += 1
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+            if _COMPARE[self.op](counts[key], self.bound):
+                out.append([ts, seq, *values, float(counts[key])])
+        state["last"], state["counts"] = last[at:], counts
+        return out
+
+
 def output_fields(select: A.Select, source: T.StructType) -> tuple[list[str], T.StructType]:
     """Names and schema of a view's rows: columns keep their types, all else
     is double."""
@@ -224,43 +422,163 @@ def output_fields(select: A.Select, source: T.StructType) -> tuple[list[str], T.
     return names, T.StructType(fields)
 
 
-def live_view(events: DataFrame, sql: str, watermark: str | None = None, delay_ms: int | None = None) -> DataFrame:
+def _keyed(events: DataFrame, keys: list[str], make: Callable[[list[str]], Ordered], schema: T.StructType, delay: int | None) -> DataFrame:
+    """Events through a processor for each key, or one for all of them."""
+    if not keys:
+        events, keys = events.withColumn("_one", F.lit(1)), ["_one"]
+    mode = "None" if delay is None else "EventTime"
+    # names may hold a dot, which the operator takes for a field of a struct
+    given = events.columns
+    plain = events.toDF(*[f"_c{i}" for i in range(len(given))])
+    return plain.groupBy(*[f"_c{given.index(k)}" for k in keys]).transformWithStateInPandas(make(given), schema, "Append", mode)
+
+
+def _fields(events: DataFrame) -> list[T.StructField]:
+    return [f for f in events.schema.fields if f.name not in (TS, SEQ, "_time")]
+
+
+def _event_schema(fields: Iterable[T.StructField]) -> T.StructType:
+    return T.StructType([T.StructField(TS, T.LongType()), T.StructField(SEQ, T.LongType()), *fields])
+
+
+def live_view(events: DataFrame, sql: str | A.Select, watermark: str | None = None, delay_ms: int | None = None) -> DataFrame:
     """A streaming DataFrame of a view's rows over a streaming DataFrame of
     events (_ts in microseconds, _seq, columns; _time if there is a watermark).
     Without GROUP BY all events are of one key."""
-    select = parse(sql)
+    select = parse(sql) if isinstance(sql, str) else sql
     if not isinstance(select, A.Select) or len(select.sources) != 1 or select.joins or select.order_by or select.limit is not None:
         raise SqlError("a live view is a SELECT from one source, without ORDER BY and LIMIT")
-    columns = [c for c in events.columns if c not in (TS, SEQ, "_time")]
-    names, schema = output_fields(select, T.StructType([f for f in events.schema.fields if f.name in columns]))
+    fields = _fields(events)
+    if any(isinstance(i.expr, A.Star) for i in select.items):
+        select = replace(select, items=tuple(x for i in select.items for x in ([A.Item(A.Col(f.name)) for f in fields] if isinstance(i.expr, A.Star) else [i])))
     if not all(isinstance(k, A.Col) for k in select.group_by):
         raise SqlError("a live view groups by columns")
+    delay = None if watermark is None else delay_ms or 0
     held = events.withWatermark("_time", watermark) if watermark is not None else events
-    if select.group_by:
-        keyed = held.groupBy(*[F.col(f"`{k.name}`") for k in select.group_by])
+    keys = [k.name for k in select.group_by]
+    if (fast := velocity(expand_aliases(select.items, {f.name for f in fields})[1](select.having) if select.having is not None else None)) is not None:
+        if delay is not None:
+            raise SqlError("a velocity filter runs without a watermark")
+        names = [f.name for f in fields]
+        passed = [*fields, T.StructField(VELOCITY, T.DoubleType())]
+        held = _keyed(held, [], lambda given: VelocityProcessor(given, [*names, VELOCITY], None, [names.index(k) for k in keys], *fast), _event_schema(passed), None)
+    names, schema = output_fields(select, T.StructType(fields))
+    return _keyed(held, keys, lambda given: ViewProcessor(select, given, names, delay), schema, delay)
+
+
+def live_as_of(sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Streams of events combined in event time, in each micro-batch: for each
+    event of any, the latest of all, in columns label.column."""
+    fields, places, tagged = [], [], []
+    for label, df in sources:
+        own = [T.StructField(f"{label}.{f.name}", f.dataType) for f in _fields(df)]
+        places.append(list(range(len(fields), len(fields) + len(own))))
+        fields += own
+    for rank, (label, df) in enumerate(sources):
+        values = {f"{label}.{f.name}": F.col(f"`{f.name}`") for f in _fields(df)}
+        tagged.append(df.select(TS, SEQ, F.lit(rank).alias("_rank"), *[values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in fields]))
+    union = reduce(DataFrame.unionByName, tagged)
+    return _keyed(union, [], lambda given: LatestProcessor(given, [f.name for f in fields], None, places), _event_schema(fields), None)
+
+
+def live_table_join(events: DataFrame, changes: DataFrame, on: str, key: str, label: str, keep: bool = False) -> DataFrame:
+    """Events with the columns of a table as of their time, as label.column.
+    Changes are a stream (_ts, _seq, _deleted, columns) or, if they are all there
+    before the events, a batch of rows, which is joined as it is."""
+    rest = [f for f in _fields(changes) if f.name not in ("_deleted", key)]
+    if not changes.isStreaming:
+        found = joins.with_table(events, changes, on, key, [f.name for f in rest], keep)
+        return found.select(*events.columns, *[F.col(f"`_t.{f.name}`").alias(f"{label}.{f.name}") for f in rest])
+    own = _fields(events)
+    table = [T.StructField(f"{label}.{f.name}", f.dataType) for f in rest]
+    left = events.select(F.col(f"`{on}`").alias("_on"), TS, SEQ, F.lit(1).alias("_rank"), F.lit(False).alias("_deleted"), *[F.col(f"`{f.name}`") for f in own], *[F.lit(None).cast(f.dataType).alias(f.name) for f in table])
+    kind = events.schema[on].dataType
+    right = changes.select(F.col(f"`{key}`").cast(kind).alias("_on"), TS, SEQ, F.lit(0).alias("_rank"), "_deleted", *[F.lit(None).cast(f.dataType).alias(f.name) for f in own], *[F.col(f"`{f.name}`").alias(t.name) for f, t in zip(rest, table, strict=True)])
+    fields = [*own, *table]
+
+    def make(given: list[str]) -> Ordered:
+        # the key is a column too: it does not go on
+        return TableProcessor([c if c != "_on" else "_one" for c in given], [f.name for f in fields], None, list(range(len(own))), list(range(len(own), len(fields))), keep)
+
+    return _keyed(left.unionByName(right), ["_on"], make, _event_schema(fields), None)
+
+
+def live_script(streams: Mapping[str, DataFrame], sql: str, tables: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """The rows of the last SELECT of a script as a streaming DataFrame; before
+    it, statements make views, of streams, of tables (rows or changes, and the
+    key) and of each other."""
+    live = dict(streams)
+    out: DataFrame | None = None
+    for statement in parse_many(sql):
+        select = statement.select if isinstance(statement, A.CreateView) else statement
+        if not isinstance(select, A.Select):
+            raise SqlError("a live script has CREATE VIEW and SELECT only")
+        out = _live_select(live, tables or {}, select)
+        if isinstance(statement, A.CreateView):
+            if statement.name in live:
+                raise SqlError(f"{statement.name} exists already")
+            live[statement.name] = out
+    if out is None:
+        raise SqlError("a live script ends in SELECT")
+    return out
+
+
+def _live_select(live: Mapping[str, DataFrame], tables: Mapping[str, tuple[DataFrame, str]], select: A.Select) -> DataFrame:
+    for source in select.sources:
+        if source.name not in live:
+            raise SqlError(f"unknown source {source.name}")
+    one = len(select.sources) == 1
+    label = select.sources[0].label
+    df = live[select.sources[0].name] if one else live_as_of([(s.label, live[s.name]) for s in select.sources])
+    if one:
+        columns = {(label, f.name): f.name for f in _fields(df)}
     else:
-        held = held.withColumn("_one", F.lit(1))
-        keyed = held.groupBy("_one")
-    processor = ViewProcessor(select, held.columns, columns, names, None if watermark is None else delay_ms or 0)
-    return keyed.transformWithStateInPandas(processor, schema, "Append", "None" if watermark is None else "EventTime")
+        columns = {(s.label, f.name): f"{s.label}.{f.name}" for s in select.sources for f in _fields(live[s.name])}
+    for join in select.joins:
+        if join.source.name not in tables or join.kind not in ("inner", "left"):
+            raise SqlError(f"no table {join.source.name} for a {join.kind} join")
+        changes, key = tables[join.source.name]
+        if join.right.name != key:
+            raise SqlError(f"JOIN takes the key {key} of {join.source.name}")
+        on = Scope(columns).resolve(join.left)
+        df = live_table_join(df, changes, on, key, join.source.label, join.kind == "left")
+        columns |= {(join.source.label, f.name): f"{join.source.label}.{f.name}" for f in _fields(changes) if f.name not in ("_deleted", key)}
+        columns[join.source.label, key] = on
+    scope = Scope(columns)
+    aliases = {i.alias for i in select.items if i.alias}
+
+    def resolved(e: A.Expr) -> A.Expr:
+        if isinstance(e, A.Col) and not (e.table is None and e.name not in scope.names and e.name in aliases):
+            return A.Col(scope.resolve(e))
+        return A.rebuild(e, resolved)
+
+    items = tuple(A.Item(resolved(i.expr), i.alias or default_name(i.expr)) if not isinstance(i.expr, A.Star) else i for i in select.items)
+    plain = replace(
+        select, items=items, sources=select.sources[:1], joins=(), where=None if select.where is None else resolved(select.where),
+        group_by=tuple(map(resolved, select.group_by)), having=None if select.having is None else resolved(select.having))
+    return live_view(df, plain)
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_view(spark: SparkSession, path: str, ts: str, seq: str, sql: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a view over the Parquet files of a path as a stream, until all are
-    read, and gives the rows that it has written. Files are taken in one
-    micro-batch each run; a run with the same checkpoint goes on."""
+def read_stream(spark: SparkSession, path: str, ts: str, seq: str) -> DataFrame:
+    """The Parquet files of a path as a stream of events."""
     schema = spark.read.parquet(path).schema
-    place = checkpoint or f"{_shared(spark)}/live-{uuid.uuid4().hex}"
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    files = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+    return files.select(F.unix_micros(F.col(ts).cast("timestamp")).alias(TS), F.col(seq).cast("long").alias(SEQ), *[c for c in files.columns if c != ts])
+
+
+def run_live(spark: SparkSession, make: Callable[[], DataFrame], checkpoint: str | None = None) -> DataFrame:
+    """Runs a streaming DataFrame over all that its sources have now, and gives
+    the rows that it has written; a run with the same checkpoint goes on. Files
+    are taken in one micro-batch each run."""
+    place = checkpoint or shared_path(spark, "live")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     try:
-        folder, name = path.rstrip("/").rsplit("/", 1)
-        files = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-        events = files.select(F.unix_micros(F.col(ts).cast("timestamp")).alias(TS), F.col(seq).cast("long").alias(SEQ), *[c for c in files.columns if c != ts])
-        query = live_view(events, sql).writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{place}/rows")
+        query = make().writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{place}/rows")
         query.awaitTermination()
     finally:
         if before is None:
@@ -270,17 +588,12 @@ def stream_view(spark: SparkSession, path: str, ts: str, seq: str, sql: str, che
     return spark.read.parquet(f"{place}/rows").drop(TS, SEQ)
 
 
+def stream_view(spark: SparkSession, path: str, ts: str, seq: str, sql: str, checkpoint: str | None = None) -> DataFrame:
+    """Runs a view over the Parquet files of a path as a stream, until all are
+    read, and gives the rows that it has written."""
+    return run_live(spark, lambda: live_view(read_stream(spark, path, ts, seq), sql), checkpoint)
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder all executors see, or one of this machine where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    import tempfile
-
-    return Path(tempfile.mkdtemp(prefix="tidemark-")).as_uri()
-
