@@ -16,8 +16,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts. It learns from the
-    labelled rows among them; without any, all documents are rejected."""
-    model = language_id.learn(docs)
+    labelled rows among those not held out; without any, all documents are
+    rejected. Null texts and texts without letters are rejected; repeated rows
+    are judged alike; columns beyond those of documents go."""
+    model = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"))))
     return language_id.predict(docs, model).filter("accepted").select(*COLUMNS)
 
 
@@ -49,17 +51,21 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and secrets in their texts replaced."""
+    """All documents, personal data and secrets in their texts replaced, and
+    n_chars that of the new text. Null texts stay; repeated rows are replaced
+    alike; columns beyond those of documents go."""
     return pii.replace(docs).withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; documents without words are
+    never taken, a null source is one source, and equal rows are drawn apart."""
     return mixing.mixed_documents(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
+    """The pieces of all documents with their sequences and offsets. A null or
+    empty text is the end id alone; repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path(), capacity=4096)
 
 
