@@ -6,12 +6,17 @@ GRAM bytes have the smallest hash, so equal strings have their anchors at the
 same place. Each anchor is a suffix of the array; with it go the strings that it
 anchors, which start in a row, and a fingerprint of all they cover.
 
-The suffixes are range-partitioned by their leading bytes with sampled
-splitters and sorted; all with equal leading bytes stand in one bucket, so no
-equal strings lie across a boundary. Equal fingerprints settle most strings.
-Where leading bytes are equal and fingerprints are not, the texts between are
-fetched, and the strings themselves are sorted by a multikey quicksort whose
-characters are fingerprints of quarter strings.
+The suffixes are range-partitioned by their leading tokens with sampled
+splitters and sorted: eight bytes, a fingerprint of GRAM bytes, one of all that
+the anchor's strings cover, and the place, so that no token, however frequent,
+must fit one bucket. Neighbours of equal tokens are repeated. Where the GRAM
+bytes are equal and the rest is not, or a bucket's border hides the neighbour,
+the bytes around are fetched, and the strings themselves are sorted by a multikey
+quicksort whose characters are fingerprints of quarter strings; a string is
+repeated if its first difference from a neighbour lies beyond its end. Anchors of
+one GRAM that are too many for a bucket are dealt to several; what is not
+repeated within one of them is range-partitioned again, as strings, and
+neighbours are compared across the borders of the buckets too.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import POWERS, batches_by_bytes, clear_of, mix64, small_or_not, utf8, written
 
@@ -31,8 +37,8 @@ LENGTH = 400
 GRAM = 128
 #: Bytes of a text that are scanned at once.
 CHUNK = 1 << 20
-#: Rows of per-document lists that may be broadcast.
-LIST_ROWS = 150_000
+#: Open anchors of one GRAM that are sorted together.
+HOT = 2048
 
 ANCHORS = "kind int, key binary, lead long, h long, span long, a int, lo int, hi int, n int"
 MARKS = "kind int, key binary, lead long, h long, a int, lo int, hi int"
@@ -91,10 +97,10 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str,
     return {"doc": doc[first], "h": h[a].view(np.int64), "lead": (lead ^ np.uint64(1 << 63)).view(np.int64), "span": span.view(np.int64), "a": a, "lo": lo, "hi": hi}
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[bytes], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Buffers of texts or of parts of long ones, overlapping so that each
     string lies in one: buffer, starts, ends, text numbers, places in the text."""
-    pieces = [(i, at, t[at : at + CHUNK + LENGTH - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - LENGTH + 1), CHUNK) if len(t) >= LENGTH]
+    pieces = [(i, at, t[at : at + chunk + LENGTH - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - LENGTH + 1), chunk) if len(t) >= LENGTH]
     group: list[tuple[int, int, bytes]] = []
     total = 0
 
@@ -104,7 +110,7 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         return np.frombuffer(b"".join(p for *_, p in group), np.uint8), ends - sizes, ends, np.array([i for i, *_ in group]), np.array([a for _, a, _ in group])
 
     for piece in pieces:
-        if group and total + len(piece[2]) > CHUNK + LENGTH:
+        if group and total + len(piece[2]) > chunk + LENGTH:
             yield buffer()
             group, total = [], 0
         group.append(piece)
@@ -127,7 +133,7 @@ def find_anchors(rows: DataFrame) -> DataFrame:
                     seen.add(key)
                     keys.append(key)
                     texts.append(text)
-            for raw, starts, ends, number, place in _chunks(texts):
+            for raw, starts, ends, number, place in _chunks(texts, CHUNK):
                 x = anchors(raw, starts, ends)
                 if x is None:
                     continue
@@ -150,23 +156,28 @@ def find_anchors(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, ANCHORS), "suffix-anchors")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups of equal (lead, h) from sorted batches."""
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], size: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of at least size rows, but the last, from sorted batches; rows
+    equal in the columns `names` stand in one."""
     held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def differ(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
+        return any(a.column(c)[i].as_py() != b.column(c)[j].as_py() for c in names)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, lead = batch.column("h").to_numpy(), batch.column("lead").to_numpy()
-        change = np.flatnonzero((h[1:] != h[:-1]) | (lead[1:] != lead[:-1]))
-        if held and (held[-1].column("h")[-1].as_py(), held[-1].column("lead")[-1].as_py()) != (int(h[0]), int(lead[0])):
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
+        if rows >= size:
+            # the first row of another value, in this batch or before it
+            columns = [batch.column(c).to_numpy() for c in names]
+            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+            cut = 0 if differ(held[-1], -1, batch, 0) else int(change[0]) + 1 if len(change) else batch.num_rows
+            if cut < batch.num_rows:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
     if held:
         yield pa.Table.from_batches(held)
 
@@ -190,60 +201,103 @@ def _key_numbers(keys: pa.ChunkedArray) -> np.ndarray:
 
 
 def settle(anchor_rows: DataFrame) -> DataFrame:
-    """Marks from the anchors in buckets of equal leading bytes, written."""
+    """Marks from the anchors in sorted buckets, written. An anchor is repeated
+    if a neighbour has equal tokens; it is open if a neighbour has an equal GRAM
+    only, or none can be seen beyond the bucket's border."""
     parts = max(1, int(anchor_rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    ordered = anchor_rows.filter("kind = 0").drop("kind").repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h")
+    order = ["lead", "h", "span", "key", "a", "lo"]
+    ordered = anchor_rows.filter("kind = 0").drop("kind").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, []):
-            lead, h, span, a, lo, n = (table.column(c).to_numpy() for c in ("lead", "h", "span", "a", "lo", "n"))
-            group = _codes(lead, h)
-            size = np.bincount(group)
-            # alone with its leading bytes and not known as repeated: most rows
-            some = np.flatnonzero((size[group] > 1) | (n > 1))
-            if not len(some):
-                continue
-            table, group, span, a, lo, n = table.take(pa.array(some)), group[some], span[some], a[some], lo[some], n[some]
-            # one row for each place: copies of a text came from several tasks
-            place = _codes(_key_numbers(table.column("key")), a, lo)
-            top = np.zeros(place.max() + 1, n.dtype)
-            np.maximum.at(top, place, n)
-            _, once = np.unique(place, return_index=True)
-            once = np.sort(once)
-            table, group, span, n = table.take(pa.array(once)), group[once], span[once], top[place[once]]
-            same = _codes(group, span)
-            times = np.bincount(same, weights=n)[same]
-            repeated = times > 1
-            lone = np.bincount(group, weights=~repeated)[group] > 0
-            distinct = np.zeros(group.max() + 1, np.int64)
-            np.add.at(distinct, group[np.unique(same, return_index=True)[1]], 1)
-            kind = np.where(repeated, REPEATED, np.where(distinct[group] > 1, OPEN, 0))
-            firsts = np.zeros(len(kind), bool)
-            firsts[np.unique(same, return_index=True)[1]] = True
-            shown = np.flatnonzero(repeated & lone & firsts)
-            keep = np.flatnonzero(kind > 0)
-            take = np.concatenate([keep, shown])
-            kinds = np.concatenate([kind[keep], np.full(len(shown), SHOWN)]).astype(np.int32)
-            if len(take):
-                out = table.take(pa.array(take)).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), *(out.column(c) for c in ("key", "lead", "h", "a", "lo", "hi"))], names=["kind", "key", "lead", "h", "a", "lo", "hi"])
+        # one table is held back, to know the bucket's last
+        before, first = None, True
+        for table in _runs(batches, ("lead", "h")):
+            if before is not None:
+                yield from _marks(before, first, False)
+                first = False
+            before = table
+        if before is not None:
+            yield from _marks(before, first, True)
 
     return written(ordered.mapInArrow(run, MARKS), "suffix-marks")
 
 
-def multikey_repeats(group: np.ndarray, characters: list[np.ndarray]) -> np.ndarray:
-    """Whether each string equals another of its group. Strings are sorted by
-    one character after the other, only those that are still equal going on."""
-    alive = np.arange(len(group))
-    for c in characters:
-        group = _codes(group, c[alive])
-        stay = np.bincount(group)[group] > 1
-        alive, group = alive[stay], group[stay]
-        if not len(alive):
-            break
-    out = np.zeros(len(characters[0]), bool)
-    out[alive] = True
-    return out
+def _marks(table: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Marks of whole groups of one GRAM, but that the first may have begun and
+    the last may go on beyond the bucket."""
+    table = pa.Table.from_batches([table.combine_chunks().to_batches()[0]])
+    lead, h, span, a, lo, n = (table.column(c).to_numpy() for c in ("lead", "h", "span", "a", "lo", "n"))
+    key = _key_numbers(table.column("key"))
+    differ = lambda *columns: np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+    # copies of a text came from several tasks: one row for each place
+    place = differ(lead, h, span, key, a, lo)
+    at = np.flatnonzero(place)
+    n = np.maximum.reduceat(n, at)
+    lead, h, span = lead[at], h[at], span[at]
+    new_group, new_run = differ(lead, h), differ(lead, h, span)
+    group, run = np.cumsum(new_group) - 1, np.cumsum(new_run) - 1
+    same = ~new_run
+    repeated = same | np.append(same[1:], False) | (n > 1)
+    # a run has one answer, whichever of its rows stands for several
+    repeated = np.logical_or.reduceat(repeated, np.flatnonzero(new_run))[run]
+    edge = ((group == 0) & first) | ((group == group[-1]) & last)
+    runs = np.bincount(group[new_run])[group]
+    lone = (np.bincount(group, weights=~repeated) > 0)[group]
+    kind = np.where(repeated, REPEATED, np.where((runs > 1) | edge, OPEN, 0))
+    shown = np.flatnonzero(repeated & new_run & (lone | edge))
+    keep = np.flatnonzero(kind > 0)
+    take = np.concatenate([keep, shown])
+    if len(take):
+        out = table.take(pa.array(at[take])).combine_chunks().to_batches()[0]
+        kinds = np.concatenate([kind[keep], np.full(len(shown), SHOWN)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), *(out.column(c) for c in ("key", "lead", "h", "a", "lo", "hi"))], names=["kind", "key", "lead", "h", "a", "lo", "hi"])
+
+
+def multikey_quicksort(group: np.ndarray, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings by group, then by their characters (one row for each
+    character), and of each in this order the number of leading characters that
+    it shares with the one before it, -1 for one of another group.
+
+    All segments are partitioned in three at once, by their middle string's
+    character: less, equal, and greater; those equal go on to the next."""
+    k, n = characters.shape
+    order = np.argsort(group, kind="stable")
+    shared = np.full(n, -1, np.int64)
+    sorted_group = group[order]
+    start = np.flatnonzero(np.append(True, sorted_group[1:] != sorted_group[:-1])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, n))
+    depth = np.zeros(len(start), np.int64)
+    while True:
+        done = depth == k
+        whole, more = start[done & (size > 1)], size[done & (size > 1)] - 1
+        shared[np.repeat(whole + 1, more) + np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)] = k
+        live = ~done & (size > 1)
+        start, size, depth = start[live], size[live], depth[live]
+        if not len(start):
+            return order, shared
+        ends = np.cumsum(size)
+        seg = np.repeat(np.arange(len(start)), size)
+        place = np.arange(len(seg)) - np.repeat(ends - size, size) + start[seg]
+        row = order[place]
+        value = characters[depth[seg], row]
+        pivot = characters[depth, order[start + size // 2]][seg]
+        side = (value >= pivot).astype(np.int64) + (value > pivot)
+        counts = np.bincount(seg * 3 + side, minlength=3 * len(start)).reshape(-1, 3)
+        low = start[:, None] + np.cumsum(counts, axis=1) - counts
+        rank = np.empty(len(seg), np.int64)
+        for i in range(3):
+            mine = side == i
+            seen = np.cumsum(mine)
+            rank[mine] = (seen - np.append(0, seen[ends[:-1] - 1])[seg])[mine] - 1
+        order[low[seg, side] + rank] = row
+        # a string that begins a side shares only what its segment shares
+        for i in (1, 2):
+            new = (counts[:, i] > 0) & (low[:, i] > start)
+            shared[low[new, i]] = depth[new]
+        start, size = low.ravel(), counts.ravel()
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+        some = size > 0
+        start, size, depth = start[some], size[some], depth[some]
 
 
 def look_closer(rows: DataFrame, marks: DataFrame) -> DataFrame:
@@ -252,7 +306,7 @@ def look_closer(rows: DataFrame, marks: DataFrame) -> DataFrame:
     asked = marks.filter(f"kind in ({OPEN}, {SHOWN})")
     lists = asked.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("kind", "lead", "h", "a", "lo", "hi")).alias("asked"))
     lists = written(lists, "suffix-asked")
-    joined = rows.join(small_or_not(lists, LIST_ROWS), F.col("key") == F.col("_key")).drop("_key")
+    joined = rows.join(small_or_not(lists), F.col("key") == F.col("_key")).drop("_key")
     contexts = "kind int, key binary, lead long, h long, a int, lo int, hi int, context binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,64 +322,134 @@ def look_closer(rows: DataFrame, marks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], names=["kind", "key", "lead", "h", "a", "lo", "hi", "context"])
 
     fetched = written(joined.mapInArrow(fetch, contexts), "suffix-contexts")
+    sizes = fetched.groupBy(F.col("lead").alias("_lead"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    hot = written(sizes.select("_lead", "_h", F.ceil(F.col("n") / HOT).cast("int").alias("copies")), "suffix-hot")
+    dealt = fetched.join(small_or_not(hot), (F.col("lead") == F.col("_lead")) & (F.col("h") == F.col("_h")), "left").drop("_lead", "_h")
+    # the rows of one place stand together, so that they are one
+    dealt = dealt.withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key", "a", "lo"), F.col("copies")).cast("int"), F.lit(0))).withColumn("hot", F.col("copies").isNotNull()).drop("copies")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    ordered = fetched.repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h")
+    order = ["lead", "h", "deal"]
+    ordered = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ("lead", "h", "deal"), HOT):
+            yield from _repeats(table, CHUNK)
+
+    found = written(ordered.mapInArrow(run, STRINGS), "suffix-strings")
+    return found.filter("edge = 0").select("key", "lo", "hi").unionByName(across_buckets(found.filter("edge = 1"), parts))
+
+
+#: Repeated stretches (edge 0), and strings of hot groups that are still to be
+#: compared, by their characters (edge 1).
+STRINGS = "edge int, key binary, lo int, hi int, open boolean, c0 long, c1 long, c2 long, c3 long"
+
+
+def across_buckets(strings: DataFrame, parts: int) -> DataFrame:
+    """Repeated ones of strings that are range-partitioned by their characters
+    and sorted: neighbours are equal within a bucket, or over its border."""
+    order = ["c0", "c1", "c2", "c3", "key", "lo"]
+    ordered = strings.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, "open").withColumn("part", F.spark_partition_id())
+    kinds = "kind int, part int, key binary, lo int, open boolean, c0 long, c1 long, c2 long, c3 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        total = 0
-        for table in _groups(batches, []):
-            held.append(table)
-            total += int(np.sum(table.column("hi").to_numpy() - table.column("lo").to_numpy() + LENGTH))
-            if total > CHUNK:
-                yield from _repeats(pa.concat_tables(held))
-                held, total = [], 0
-        if held:
-            yield from _repeats(pa.concat_tables(held))
-
-    return ordered.mapInArrow(run, "key binary, lo int, hi int")
-
-
-def _repeats(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Stretches of repeated strings of the open rows of whole groups."""
+        # kind 0: repeated; 1 and 2: a bucket's first and last string
+        last: pa.RecordBatch | None = None
+        equal_before = False
+
+        def rows(batch: pa.RecordBatch, at: np.ndarray, kind: int) -> pa.RecordBatch:
+            some = batch.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(some.column(c) for c in ("part", "key", "lo", "open", "c0", "c1", "c2", "c3"))], names=["kind", "part", "key", "lo", "open", "c0", "c1", "c2", "c3"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [batch.column(f"c{i}").to_numpy() for i in range(4)]
+            same = np.append(False, np.logical_and.reduce([x[1:] == x[:-1] for x in c]))
+            if last is None:
+                yield rows(batch, np.array([0]), 1)
+            else:
+                same[0] = all(last.column(f"c{i}")[0].as_py() == int(c[i][0]) for i in range(4))
+                if same[0] and not equal_before and last.column("open")[0].as_py():
+                    yield rows(last, np.array([0]), 0)
+            found = np.flatnonzero((same | np.append(same[1:], False)) & batch.column("open").to_numpy(zero_copy_only=False))
+            if len(found):
+                yield rows(batch, found, 0)
+            last, equal_before = batch.slice(batch.num_rows - 1), bool(same[-1])
+        if last is not None:
+            yield rows(last, np.array([0]), 2)
+
+    found = written(ordered.mapInArrow(run, kinds), "suffix-neighbours")
+    # two strings for each bucket
+    edges = Window.partitionBy(F.lit(0)).orderBy("part", "kind")
+    string = F.struct("c0", "c1", "c2", "c3")
+    beyond = found.filter("kind > 0").withColumn("before", F.lag(string).over(edges)).withColumn("after", F.lead(string).over(edges))
+    met = F.when(F.col("kind") == 1, F.col("before")).otherwise(F.col("after"))
+    borders = beyond.filter(F.col("open") & (met == string))
+    return found.filter("kind = 0").unionByName(borders.drop("before", "after")).select("key", "lo", F.col("lo").alias("hi"))
+
+
+def _repeats(table: pa.Table, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of repeated strings of the open rows of whole groups, and the
+    strings of hot groups that others, elsewhere, may equal."""
+    table = pa.Table.from_batches([table.combine_chunks().to_batches()[0]])
     key, a, lo, hi = _key_numbers(table.column("key")), *(table.column(c).to_numpy() for c in ("a", "lo", "hi"))
     once = np.sort(np.unique(_codes(key, a, lo), return_index=True)[1])
-    table = pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.take(pa.array(once)).columns], names=table.column_names)
-    lead, h, a, lo, hi, kind = (table.column(c).to_numpy() for c in ("lead", "h", "a", "lo", "hi", "kind"))
+    table = table.take(pa.array(once))
+    lead, h, deal, a, lo, hi, kind = (table.column(c).to_numpy() for c in ("lead", "h", "deal", "a", "lo", "hi", "kind"))
+    hot = table.column("hot").to_numpy()
     counts = hi.astype(np.int64) - lo + 1
     row = np.repeat(np.arange(len(counts)), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     # strings at one distance before equal leading bytes
-    group = _codes(_codes(lead, h)[row], (a - lo)[row] - nth)
-    characters = _characters(table.column("context"), counts)
-    found = multikey_repeats(group, characters) & (kind == OPEN)[row]
-    where = np.flatnonzero(found)
-    if not len(where):
-        return
-    new = np.append(True, (np.diff(row[where]) != 0) | (np.diff(nth[where]) != 1))
-    first = where[new]
-    last = where[np.append(new[1:], True)]
-    keys = table.column("key")
-    yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[first])), pa.array((lo[row[first]] + nth[first]).astype(np.int32)), pa.array((lo[row[last]] + nth[last]).astype(np.int32))], names=["key", "lo", "hi"])
-
-
-def _characters(contexts: pa.Array, counts: np.ndarray) -> list[np.ndarray]:
+    distance = (a - lo)[row] - nth
+    group = _codes(lead, h, deal)[row] * (LENGTH + 1) + distance
+    characters = _characters(table.column("context").combine_chunks(), counts, chunk)
+    order, shared = multikey_quicksort(group, characters)
+    whole = shared == len(characters)
+    repeated = np.zeros(len(row), bool)
+    repeated[order] = whole | np.append(whole[1:], False)
+    is_open = (kind == OPEN)[row]
+    keys = table.column("key").combine_chunks()
+
+    def out(edge: int, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, open_: np.ndarray, c: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(rows), edge, np.int32)), keys.take(pa.array(rows)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(open_), *(pa.array(x) for x in c)],
+            names=["edge", "key", "lo", "hi", "open", "c0", "c1", "c2", "c3"])
+
+    where = np.flatnonzero(repeated & is_open)
+    if len(where):
+        new = np.append(True, (np.diff(row[where]) != 0) | (np.diff(nth[where]) != 1))
+        first = where[new]
+        last = where[np.append(new[1:], True)]
+        z = np.zeros(len(first), np.int64)
+        yield out(0, row[first], lo[row[first]] + nth[first], lo[row[first]] + nth[last], z > 0, [z, z, z, z])
+    # one of equal strings goes on, open if it alone is not yet known
+    firsts = np.zeros(len(row), bool)
+    firsts[order] = ~whole
+    rest = np.flatnonzero(firsts & hot[row])
+    for at in range(0, len(rest), 1 << 16):
+        some = rest[at : at + (1 << 16)]
+        yield out(1, row[some], lo[row[some]] + nth[some], lo[row[some]] + nth[some], is_open[some] & ~repeated[some], [c[some].view(np.int64) for c in characters])
+
+
+def _characters(contexts: pa.Array, counts: np.ndarray, chunk: int) -> np.ndarray:
     """Fingerprints of the four quarters of each string of the contexts, of
     some contexts at a time: only they are kept of the bytes."""
     quarter = LENGTH // 4
     sizes = counts + LENGTH - 1
     ends = np.cumsum(sizes)
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    at = 0
+    out = np.empty((4, int(counts.sum())), np.uint64)
+    at, to = 0, 0
     while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CHUNK, side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + chunk, side="right")))
         prints = Fingerprints(np.frombuffer(b"".join(contexts.slice(at, end - at).to_pylist()), np.uint8))
         own, n = sizes[at:end], counts[at:end]
-        first = np.repeat(np.cumsum(own) - own, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        total = int(n.sum())
+        first = np.repeat(np.cumsum(own) - own, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
         for i in range(4):
-            out[i].append(prints.of(first + i * quarter, first + (i + 1) * quarter))
-        at = end
-    return [np.concatenate(x) for x in out]
+            out[i, to : to + total] = prints.of(first + i * quarter, first + (i + 1) * quarter)
+        at, to = end, to + total
+    return out
 
 
 def union_of(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,12 +488,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return written(lists.mapInArrow(run, "key binary, spans binary"), "suffix-spans")
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
-def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
-    """Each document's removed bytes, runs and digest of what is left; kept
-    holds the bytes themselves if with_kept, else it is left out.
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """Each document's removed bytes, runs, digest of what is left, and text:
+    what is left, without characters of which a part is gone.
 
     A null text is empty; texts shorter than LENGTH keep all; a text that
     occurs twice or more is removed wholly, if it is not shorter. Cuts may fall
@@ -378,7 +502,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     rows = clear_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("payload"))
     spans = repeated_spans(rows).withColumnRenamed("key", "_key")
     keyed = rows.withColumn("key", F.unhex(F.sha2("payload", 256)).substr(1, 16))
-    joined = keyed.join(small_or_not(spans, LIST_ROWS), F.col("key") == F.col("_key"), "left").select("doc_id", "payload", "spans")
+    joined = keyed.join(small_or_not(spans), F.col("key") == F.col("_key"), "left").select("doc_id", "payload", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, 1):
@@ -389,13 +513,16 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                 for lo, hi in pairs:
                     parts.append(text[at:lo])
                     at = hi
-                kept = b"".join((*parts, text[at:]))
-                out.append((doc_id, len(text), len(text) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                parts.append(text[at:])
+                digest = hashlib.sha256()
+                for part in parts:
+                    digest.update(part)
+                left = "".join(part.decode("utf-8", "ignore") for part in parts)
+                out.append((doc_id, len(text), len(text) - sum(map(len, parts)), len(pairs), digest.hexdigest(), left))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    done = joined.mapInArrow(run, KEPT)
-    return done if with_kept else done.drop("kept")
+    return joined.mapInArrow(run, KEPT)
 
 
 #: DuckDB SQL of op4 over documents: every string of every text, for small tables.
@@ -411,8 +538,12 @@ runs AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY r, g)
 gaps AS (
   SELECT r, lo, COALESCE(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since, hi FROM runs),
 kept AS (
-  SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS k
+  SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed,
+    list_append(list(substr(h, 2 * since + 1, 2 * (lo - since)) ORDER BY lo), substr(any_value(h), 2 * max(hi) + 1)) AS k
   FROM gaps JOIN docs USING (r) GROUP BY r)
-SELECT doc_id, len(h) // 2 AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(k, h))) AS kept_sha256
+SELECT doc_id, len(h) // 2 AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0) AS n_spans,
+  sha256(unhex(COALESCE(array_to_string(k, ''), h))) AS kept_sha256,
+  decode(unhex(CASE WHEN k IS NULL THEN h ELSE array_to_string(list_transform(k, lambda x: regexp_replace(regexp_replace(x, '^([89AB].)+', ''),
+    '([CDEF].|[EF].[89AB].|F.[89AB].[89AB].)$', '')), '') END)) AS text
 FROM docs LEFT JOIN kept USING (r)
 """
