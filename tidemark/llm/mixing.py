@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target fixes the expected number of copies of its documents. The
-whole part of that number is allotted for certain; for the rest each document
-has an inclusion probability p, draws a uniform U keyed by its content, and is
-ranked by Q = (U / (1 - U)) / (p / (1 - p)). The documents of smallest Q whose
-words fill what remains of the target are taken once more: a sample of fixed
-size in words. DataFrame functions only.
+A source's target fixes the expected number of copies of its words. The whole
+part of that number is allotted for certain; for the rest each document has
+inclusion odds, those of its source times the root of its words, so that longer
+documents are likelier to be taken once more. It draws a uniform U keyed by its
+content and is ranked by Q, its random odds U / (1 - U) over its inclusion odds.
+The documents of smallest Q whose words fill what remains of the target are
+taken: a sample of unequal probabilities and of fixed size in words. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BINS = 1024
 #: Rows of a source's last bin that are sorted; more are binned again.
 LAST_ROWS = 10_000
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 100_000
 #: Levels at most: 1024**5 bins tell 52-bit ranks apart.
 LEVELS = 5
 
@@ -56,37 +60,61 @@ def allotted(sources: DataFrame, share: float, most: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.lit(level) * F.col("weight"), stop))
 
 
-def uniform(seed: int) -> Column:
-    """A number in (0, 1) from 52 bits of a digest of seed, id and text."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+def digest(seed: int) -> Column:
+    """A digest of seed, id and text; rows equal in these share it."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def uniform() -> Column:
+    """A number in (0, 1) from 52 bits of the digest of a row and its number
+    among equal rows."""
+    drawn = F.md5(F.concat_ws(":", "digest", F.col("nth").cast("string")))
+    return (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Each row with a count m as m rows, with the number nth from 0; those of
+    a large count are made in several tasks."""
+    up_to = lambda low, high: F.explode(F.sequence(low, high - 1))
+    few = rows.filter(F.col("m") <= EQUAL_ROWS).withColumn("nth", up_to(F.lit(0).cast("long"), F.col("m")))
+    many = rows.filter(F.col("m") > EQUAL_ROWS)
+    if not many.head(1):
+        return few
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    begun = many.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(EQUAL_ROWS).cast("long")))).repartition(parts, "digest", "_from")
+    made = begun.withColumn("nth", up_to(F.col("_from"), F.least(F.col("_from") + EQUAL_ROWS, F.col("m"))))
+    return few.unionByName(made.drop("_from"))
 
 
 def odds_rank() -> Column:
     """Q / (1 + Q), in (0, 1): Pareto rank, monotone in the random odds over
     the inclusion odds."""
     u = F.col("u")
-    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    return F.when((F.col("p") > 0) & (F.col("p") < 1), q / (1 + q))
+    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")) * F.sqrt(F.col("size").cast("double")))
+    return F.when((F.col("p") > 0) & (F.col("p") < 1) & (F.col("size") > 0), q / (1 + q))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 20, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
     """Copies of each document such that each source's words come near its
-    target. Returns doc_id, source, size, source_size, target, copies, taken.
+    target. Returns doc_id, source, size, source_size, target, copies, taken,
+    draw (a hash of the text), m (rows equal in id, source and text) and nth
+    (the number among them).
 
     Null sources are one source, the last; a null or empty text has size 0 and
     takes nothing; a document is never cut, so a source misses its target by
-    less than half of one document. Draws are keyed by id and text: reruns
-    agree whatever the partitions, and repeated rows are taken or left
-    together. Extra columns are not read. An empty table gives no rows."""
+    less than half of one document. Draws are keyed by id, text and, of equal
+    rows, their number: reruns agree whatever the partitions, and equal rows
+    are drawn apart. Extra columns are not read. An empty table gives no rows."""
     rows = clear_of(docs, ["doc_id", "text", "source"]).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.col("text")).alias("draw"),
-        uniform(seed).alias("u"),
+        digest(seed).alias("digest"),
     )
-    rows = written(rows, "mix-sizes")
+    # equal rows are counted before they meet, then numbered
+    equal = written(rows.groupBy("doc_id", "source", "size", "draw", "digest").agg(F.count(F.lit(1)).alias("m")), "mix-equal")
+    rows = written(numbered(equal).withColumn("u", uniform()).drop("digest"), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = global_rank(sources, ["source"], "at", "mix-sources")
     nth = reduce(lambda rest, i: F.when(F.col("at") % len(weights) == i, F.lit(float(weights[i]))).otherwise(rest), range(len(weights)), F.lit(None).cast("double"))
@@ -106,7 +134,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     joined = drawn.join(small_or_not(cut), same, "left").drop("of")
     copies = F.col("whole") + F.when(F.col("rank") <= F.col("last"), 1).otherwise(0)
     return joined.withColumn("copies", copies).select(
-        "doc_id", "source", "draw", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "draw", "m", "nth", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
@@ -151,15 +179,26 @@ def last_ranks(drawn: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
-    plan = mix(docs, **how).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("draw").alias("_draw"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
+    """The documents themselves, each as often as the mix takes it, with all
+    their columns, clashing names included.
+
+    Rows equal in id, source and text are numbered, and each taken by its
+    number; nulls are equal. An empty table gives no rows."""
+    names = {"doc_id": "_id", "draw": "_draw", "source": "_source", "copies": "_copies", "m": "_m", "nth": "_nth"}
+    plan = written(mix(docs, **how).select(*[F.col(a).alias(b) for a, b in names.items()]), "mix-copies")
     # the row goes along as one value, so that no column of its own can clash
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     row = F.col("row")
     same = row["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(row["text"]) == F.col("_draw")) & row["source"].cast("string").eqNullSafe(F.col("_source"))
-    joined = keyed.join(plan, same)
-    made = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
+    taken = keyed.join(plan.filter("_m = 1 and _copies > 0"), same).select("row", "_copies")
+    equal = plan.filter("_m > 1")
+    if equal.head(1):
+        some = keyed.join(small_or_not(written(equal.select("_id", "_draw", "_source").distinct(), "mix-repeated")), same)
+        group = F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_draw").cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit(""))))
+        ranked = global_rank(some.select("row", group.alias("_group")), ["_group"], "_place", "mix-ranked", within="_group")
+        wanted = equal.filter("_copies > 0").select(group.alias("_of"), "_nth", "_copies")
+        taken = taken.unionByName(ranked.join(wanted, (F.col("_group") == F.col("_of")) & (F.col("_place") == F.col("_nth"))).select("row", "_copies"))
+    made = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
     return made.select(*[made["row"].getField(c).alias(c) for c in docs.columns])
 
 
@@ -168,8 +207,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 ORACLE = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    (('0x' || substr(md5('20:' || COALESCE(doc_id::VARCHAR, '') || ':' || COALESCE(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM documents),
+    (('0x' || substr(md5(md5('20:' || COALESCE(doc_id::VARCHAR, '') || ':' || COALESCE(text, '')) || ':' || nth), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS nth FROM documents)),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighted AS (
   SELECT *, list_extract([5, 2, 1], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sources),
@@ -185,7 +224,7 @@ plan AS (
 ranked AS (
   SELECT docs.*, source_size, target, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source),
 odds AS (
-  SELECT *, CASE WHEN p > 0 AND p < 1 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked),
+  SELECT *, CASE WHEN p > 0 AND p < 1 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p) * sqrt(size::DOUBLE)) END AS q FROM ranked),
 running AS (
   SELECT source, q, rest, sum(size) OVER (PARTITION BY source ORDER BY q) AS words FROM odds WHERE q IS NOT NULL),
 cuts AS (
