@@ -2,9 +2,11 @@
 
 Lengths are counted, so the plan is made over at most `capacity` distinct
 sizes, however many documents there are. Large lengths are put in groups of
-equal cardinality and rounded up to their group's largest; configurations of
-these few sizes are chosen fullest first; then actual documents take the places
-of the rounded ones, and small documents go best-fit into what is left. A plan
+equal cardinality and rounded up to their group's largest; for these few sizes
+the configurations and how often each is used come from a linear programme, its
+columns generated by a knapsack over the duals, rounded down, and what that
+leaves is filled fullest first; then actual documents take the places of the
+rounded ones, and small documents go best-fit into what is left. A plan
 row holds a run of equal places, so placing a document is a binary search by
 its length and its rank among documents of that length.
 """
@@ -30,9 +32,12 @@ from tidemark.llm.common import batches_by_bytes, clear_of, written
 CAPACITY = 4096
 END_ID = 1
 #: Numbers of groups of equal cardinality into which large lengths are rounded.
-GROUPS = (16, 48)
-#: Lengths of at least capacity / small are large, for the smalls tried.
-SMALLS = (3, 4, 2)
+GROUPS = (48, 160)
+#: Lengths of at least capacity / small are large, for the smalls tried; 1 is
+#: best fit alone.
+SMALLS = (3, 4, 2, 1)
+#: Columns generated at most for one programme.
+COLUMNS = 3000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -44,7 +49,7 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[in
     least = -(-sum(n * c for n, c in counts.items()) // capacity)
     best, fewest = [], -1
     for small in smalls:
-        for g in groups:
+        for g in groups if small > 1 else groups[:1]:
             rows = plan(counts, capacity, g, small)
             used = max((first + -(-n // per) for _, _, n, per, first, _ in rows), default=0)
             if fewest < 0 or used < fewest:
@@ -75,7 +80,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 48, sma
 
     large = sorted((n for n in counts if n * small >= capacity), reverse=True)
     grouped = _groups(large, counts, groups)
-    for sizes, times in _configurations([(g[0][0], sum(c for _, c in g)) for g in grouped], capacity):
+    for sizes, times in _configurations([(g[0][0], sum(c for _, c in g)) for g in grouped], capacity, small):
         # a slot for each document of the configuration; each group is consumed in falling order
         left, at = times, sequences
         while left:
@@ -155,23 +160,68 @@ def _groups(large: list[int], counts: dict[int, int], groups: int) -> list[list[
     return [g for g in out if g]
 
 
-def _configurations(sizes: list[tuple[int, int]], capacity: int) -> Iterator[tuple[list[int], int]]:
-    """Configurations (indices of sizes) with how often each is used: the
-    largest size left, filled up as far as the others can, as often as the
-    counts allow."""
+def _configurations(sizes: list[tuple[int, int]], capacity: int, most: int) -> Iterator[tuple[list[int], int]]:
+    """Configurations of at most `most` items (indices of sizes) with how often
+    each is used: first the whole parts of the optimum, then the largest size
+    left, filled up as far as the others can, as often as the counts allow."""
     left = [c for _, c in sizes]
+
+    def used(config: list[int], times: int) -> tuple[list[int], int]:
+        for j in config:
+            left[j] -= times
+        return config, times
+
+    for config, times in _optimum(sizes, capacity, most):
+        yield used(config, times)
     for i, (size, _) in enumerate(sizes):
         while left[i]:
             room = capacity - size
             fill = _fullest(room, [(j, s, left[j] - (j == i)) for j, (s, _) in enumerate(sizes) if j >= i and s <= room and left[j] - (j == i) > 0])
             config = [i, *fill]
-            need: dict[int, int] = {}
-            for j in config:
-                need[j] = need.get(j, 0) + 1
-            times = min(left[j] // k for j, k in need.items())
-            for j, k in need.items():
-                left[j] -= k * times
-            yield config, times
+            yield used(config, min(left[j] // config.count(j) for j in set(config)))
+
+
+def _optimum(sizes: list[tuple[int, int]], capacity: int, most: int) -> list[tuple[list[int], int]]:
+    """Configurations of the programme that covers the counts with the fewest
+    sequences, as often as the whole part of its solution says. The basis
+    starts with each size alone; a column enters if its items are worth more
+    than a sequence at the duals."""
+    if not sizes:
+        return []
+    size = np.array([s for s, _ in sizes])
+    count = np.array([c for _, c in sizes], np.float64)
+    basis = np.diag((capacity // size).astype(np.float64))
+    for _ in range(COLUMNS):
+        column, worth = _worthiest(size, np.linalg.solve(basis.T, np.ones(len(size))), capacity, most)
+        if worth <= 1 + 1e-9:
+            break
+        change, now = np.linalg.solve(basis, np.stack([column, count], axis=1)).T
+        steps = np.where(change > 1e-9, np.maximum(now, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        basis[:, int(np.argmin(steps))] = column
+    times = np.floor(np.linalg.solve(basis, count) + 1e-6).astype(np.int64)
+    return [(np.repeat(np.arange(len(size)), basis[:, j].astype(np.int64)).tolist(), int(t)) for j, t in enumerate(times.tolist()) if t > 0]
+
+
+def _worthiest(size: np.ndarray, worth: np.ndarray, capacity: int, most: int) -> tuple[np.ndarray, float]:
+    """How many of each size make up the configuration of the greatest worth,
+    and that worth: a knapsack by number of items."""
+    best = np.zeros(capacity + 1)
+    picks = []
+    for _ in range(most):
+        more, pick = best.copy(), np.full(capacity + 1, -1)
+        for i in np.flatnonzero(worth > 0).tolist():
+            with_i = best[: capacity + 1 - size[i]] + worth[i]
+            better = with_i > more[size[i] :]
+            more[size[i] :][better] = with_i[better]
+            pick[size[i] :][better] = i
+        best = more
+        picks.append(pick)
+    column, room = np.zeros(len(size)), capacity
+    for pick in reversed(picks):
+        if (i := pick[room]) >= 0:
+            column[i] += 1
+            room -= size[i]
+    return column, float(best[capacity])
 
 
 def _fullest(room: int, items: list[tuple[int, int, int]]) -> list[int]:
