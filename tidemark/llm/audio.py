@@ -4,33 +4,38 @@ Bytes are kept as unsigned 8-bit samples of a WAV file. Features come from the
 bytes read back: polyphase resampling, overlapped log-mel filterbanks and
 segmentation of frame energy with hysteresis. A segment is a fixed-shape tensor
 of TENSOR_FRAMES x MELS values with its time span; longer segments continue in
-further tensors, and the last one is padded.
+further tensors, and the last one is padded. Tensors are stored as Arrow's
+fixed-shape tensor type in IPC files of the shared folder, each task writing one
+of its own; a document's row tells where its tensors are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import clear_of, utf8, written
+from tidemark.llm.common import batches_by_bytes, clear_of, fresh_path, utf8, written
 
 RATE = 16_000
 #: Output rate is RATE * UP / DOWN.
-UP, DOWN = 1, 2
+UP, DOWN = 3, 4
 #: Taps of the resampling filter for each of its phases.
 TAPS = 8
-FRAME, HOP, FFT = 200, 80, 256
+FRAME, HOP, FFT = 384, 192, 512
 MELS = 40
-TENSOR_FRAMES = 64
+TENSOR_FRAMES = 32
+#: Tensors of one record batch of a file.
+FILE_TENSORS = 256
 #: Energies (in ln units over the floor) at which a segment opens and closes.
 OPEN, CLOSE = 1.0, 0.5
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes.
@@ -39,12 +44,10 @@ UNIT, PAD = 192, 32
 CHUNK = 1 << 18
 HEADER = 44
 
-TENSOR = T.StructType([
-    T.StructField("start_s", T.DoubleType()),
-    T.StructField("end_s", T.DoubleType()),
-    T.StructField("frames", T.IntegerType()),
-    T.StructField("values", T.ArrayType(T.FloatType())),
-])
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (TENSOR_FRAMES, MELS))
+FILE = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("values", TENSOR)])
+#: A tensor: start and end in seconds, frames that are not padding, values.
+Tensor = tuple[float, float, int, np.ndarray]
 
 
 def padded(payload: bytes) -> bytes:
@@ -173,91 +176,176 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[i
     return mels, segments(energy), out_rate
 
 
-def tensors(mels: np.ndarray, spans: list[tuple[int, int]], rate: int) -> Iterator[tuple[float, float, int, np.ndarray]]:
+def tensors(mels: np.ndarray, spans: list[tuple[int, int]], rate: int) -> Iterator[Tensor]:
     """Fixed-shape tensors of the segments with time spans in seconds."""
     for start, end in spans:
         for at in range(start, end, TENSOR_FRAMES):
             own = mels[at : min(end, at + TENSOR_FRAMES)]
-            block = np.zeros((TENSOR_FRAMES, mels.shape[1]), np.float32)
+            block = np.zeros((TENSOR_FRAMES, mels.shape[1]), np.float16)
             block[: len(own)] = own
             yield at * HOP / rate, ((at + len(own) - 1) * HOP + FRAME) / rate, len(own), block
 
 
 def tensor_array(blocks: list[np.ndarray]) -> pa.Array:
     """Blocks as an Arrow fixed-shape tensor array."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
-    flat = np.stack(blocks).reshape(len(blocks), -1) if blocks else np.zeros((0, TENSOR_FRAMES * MELS), np.float32)
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), TENSOR_FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(kind, storage)
+    flat = np.stack(blocks).reshape(-1) if blocks else np.zeros(0, np.float16)
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float16()), TENSOR_FRAMES * MELS))
+
+
+class TensorFile:
+    """An IPC file of tensors in batches of FILE_TENSORS, made when the first
+    tensor comes. Its name is new for each attempt of a task."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.name, self.count = folder, f"{uuid.uuid4().hex}.arrow", 0
+        self.held: list[Tensor] = []
+        self.out = self.writer = None
+
+    def add(self, made: Iterable[Tensor]) -> tuple[int, int]:
+        """Number of the first tensor added, and how many were."""
+        first = self.count
+        for tensor in made:
+            self.held.append(tensor)
+            self.count += 1
+            if len(self.held) == FILE_TENSORS:
+                self.flush()
+        return first, self.count - first
+
+    def flush(self) -> None:
+        if self.writer is None:
+            fs, root = file_system(self.folder)
+            fs.create_dir(root, recursive=True)
+            self.out = fs.open_output_stream(f"{root}/{self.name}", compression=None)
+            self.writer = pa.ipc.new_file(self.out, FILE, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        start, end, frames, blocks = zip(*self.held, strict=True)
+        self.writer.write_batch(pa.RecordBatch.from_arrays([pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.array(frames, pa.int32()), tensor_array(list(blocks))], schema=FILE))
+        self.held = []
+
+    def close(self) -> None:
+        if self.held:
+            self.flush()
+        if self.writer is not None:
+            self.writer.close()
+            self.out.close()
+
+
+class TensorReader:
+    """Tensors by number from the files of a folder; the last file and batch
+    stay open."""
+
+    def __init__(self, folder: str) -> None:
+        self.fs, self.root = file_system(folder)
+        self.name = self.reader = None
+        self.at, self.batch = -1, None
+
+    def read(self, name: str, first: int, n: int) -> Iterator[Tensor]:
+        if name != self.name:
+            self.name, self.at = name, -1
+            self.reader = pa.ipc.open_file(self.fs.open_input_file(f"{self.root}/{name}"))
+        for i in range(first, first + n):
+            if i // FILE_TENSORS != self.at:
+                self.at = i // FILE_TENSORS
+                batch = self.reader.get_batch(self.at)
+                self.batch = [batch.column(c).to_pylist() for c in range(3)], batch.column(3).to_numpy_ndarray()
+            (start, end, frames), values = self.batch
+            j = i % FILE_TENSORS
+            yield start[j], end[j], frames[j], values[j]
+
+
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (a WAV file) of each document, written."""
+    """doc_id, n_bytes and media (a WAV file) of each document, written.
+
+    A null text is empty, and an empty payload one unit of padding; repeated
+    rows and null ids keep a row each; extra columns are not read; an empty
+    table gives no rows. A very long text is one WAV file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                data = some.column("payload").to_pylist()
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array([to_wav(padded(x)) for x in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for some in batches_by_bytes(batches, 1):
+            data = some.column("payload").to_pylist()
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array([to_wav(padded(x)) for x in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = clear_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("payload"))
     return written(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def segment_tensors(media: DataFrame) -> DataFrame:
-    """One row for each tensor of each media row: doc_id, nth, start_s, end_s,
-    frames and values (TENSOR_FRAMES * MELS floats, row by row)."""
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments int, file string, first long, n int"
+
+
+def store_tensors(media: DataFrame, folder: str) -> DataFrame:
+    """The tensors of each media row, stored in a folder that all tasks see.
+    Returns, written, digests of what was read, the number of segments, and
+    where the tensors are: file, first and n. Every row has at least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = TensorFile(folder)
+        for some in batches_by_bytes(batches, 2):
+            rows = []
+            for data in some.column("media").to_pylist():
+                samples, rate = from_wav(data)
+                mels, spans, out_rate = features(samples, rate)
+                first, n = out.add(tensors(mels, spans, out_rate))
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(spans), out.name, first, n))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[x.split()[0] for x in STORED.split(", ")])
+        out.close()
+
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(run, STORED), "media-tensors")
+
+
+def segment_tensors(stored: DataFrame, folder: str) -> DataFrame:
+    """One row for each stored tensor: doc_id, nth, start_s, end_s, frames and
+    values (TENSOR_FRAMES * MELS floats, row by row)."""
     schema = "doc_id long, nth int, start_s double, end_s double, frames int, values array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = TensorReader(folder)
         for batch in batches:
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                found = list(tensors(*features(*from_wav(data))))
-                for at in range(0, len(found), 128):
-                    some = found[at : at + 128]
-                    values = tensor_array([b for *_, b in some]).storage.cast(pa.list_(pa.float32()))
+            for doc_id, name, first, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "file", "first", "n")), strict=True):
+                for at in range(0, n, FILE_TENSORS):
+                    start, end, frames, values = zip(*files.read(name, first + at, min(FILE_TENSORS, n - at)), strict=True)
+                    flat = [v.astype(np.float32).reshape(-1) for v in values]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([doc_id] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()),
-                        *(pa.array([x[i] for x in some], k) for i, k in ((0, pa.float64()), (1, pa.float64()), (2, pa.int32()))), values,
+                        pa.array([doc_id] * len(start), pa.int64()), pa.array(range(at, at + len(start)), pa.int32()),
+                        pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.array(frames, pa.int32()), pa.array(flat, pa.list_(pa.float32())),
                     ], names=["doc_id", "nth", "start_s", "end_s", "frames", "values"])
 
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return stored.select("doc_id", "file", "first", "n").mapInArrow(run, schema)
 
 
-def digest(mels: np.ndarray, spans: list[tuple[int, int]], rate: int) -> str:
-    """Frames, segments, seconds in segments, and checksums of the spans and of
-    the tensors' values to two decimals."""
-    crc = 0
-    seconds = 0.0
-    for start, end, frames, block in tensors(mels, spans, rate):
-        crc = zlib.crc32(np.round(block[:frames] * 100).astype("<i4").tobytes(), crc)
+def digest(made: Iterable[Tensor], segments: int) -> str:
+    """Frames, segments, seconds in tensors, and checksums of the time spans and
+    of the values without padding."""
+    frames, seconds, where, values = 0, 0.0, 0, 0
+    for start, end, n, block in made:
+        frames += n
         seconds += end - start
-    where = zlib.crc32(np.array(spans, "<i8").tobytes())
-    return f"frames={len(mels)};mels={mels.shape[1]};segments={len(spans)};seconds={seconds:.3f};spans={where:08x};values={crc:08x}"
+        where = zlib.crc32(struct.pack("<dd", start, end), where)
+        values = zlib.crc32(np.ascontiguousarray(block[:n], "<f2").tobytes(), values)
+    return f"frames={frames};mels={MELS};segments={segments};seconds={seconds:.3f};spans={where:08x};values={values:08x}"
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def audio_features(docs: DataFrame) -> DataFrame:
-    """Digests of each document's stored media and features.
+    """Digests of each document's stored media and of its stored tensors, both
+    read back.
 
     A null text is empty; an empty payload is one unit of padding. Each text is
     processed on its own, so equal texts have equal values; a long one is
     resampled in chunks. Repeated rows and null ids keep a row each; extra
     columns are not read; an empty table gives no rows."""
+    folder = fresh_path(docs.sparkSession, "tensors")
+    stored = store_tensors(store_media(docs), folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = TensorReader(folder)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                rows = []
-                for media in some.column("media").to_pylist():
-                    samples, rate = from_wav(media)
-                    rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest(*features(samples, rate))))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
-                                                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return store_media(docs).mapInArrow(run, DIGESTS)
+            found = [digest(files.read(name, first, n), segments) for name, first, n, segments in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "n", "segments")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(found, pa.string())], names=[x.split()[0] for x in DIGESTS.split(", ")])
+
+    return stored.mapInArrow(run, DIGESTS)
