@@ -240,7 +240,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k nearest rows of each row whose vec_id is divisible by `every`.
 
     Rows with the query's own vec_id are not its candidates; repeated queries
-    are one; repeated rows with other ids all are candidates, ties going to the
+    are one, that of the smallest vector; repeated rows with other ids all are candidates, ties going to the
     smaller id. Null, zero or non-finite vectors, other lengths than the
     commonest and null ids take no part. Fewer than k candidates are all
     returned; a query whose probed lists hold fewer than k is searched again in
@@ -251,7 +251,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(rows, n, norm2)
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    # of several vectors of one id the smallest, whatever the order of rows
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     n_queries = queries.count()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
