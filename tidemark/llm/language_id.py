@@ -12,20 +12,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Bound of the sample: bytes of one language's dictionary, and rows of its sample.
-DICTIONARY_BYTES = 256 << 10
+from tidemark.llm.common import small_or_not, written
+
+#: Bound of the sample: bytes of one language's dictionary and of all, and rows
+#: of one language's sample. There may be any number of languages; beyond
+#: TOTAL_BYTES / DICTIONARY_BYTES of them each has an equal, smaller part.
+DICTIONARY_BYTES, TOTAL_BYTES = 256 << 10, 16 << 20
 SAMPLE_ROWS = 400
-#: Longest text in a sample, so that a dictionary holds many texts.
+#: Longest text in a sample, so that a dictionary holds many texts; of languages
+#: with only longer ones, so many characters of a text.
 SAMPLE_CHARS = 6000
-#: Languages at most; more labels than this are an error.
-MOST_LANGUAGES = 64
 #: Bytes of a text that are compressed at once.
 PIECE_BYTES = 4096
 LEVEL = 6
@@ -51,6 +56,11 @@ HALF_MARGIN = 0.05
 UNKNOWN = "und"
 #: Pieces of a language, and their bytes, that measure what short dictionaries lack.
 CALIBRATION_PIECES, CALIBRATION_BYTES = 16, 1024
+MOST_PIECES = 1024
+#: Characters that are no letters or marks, and marks, which re counts among them.
+BARE = re.compile(r"[\W\d_]+")
+MARK = regex.compile(r"\p{M}")
+BARE_OF_MARKED = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,39 +71,44 @@ def held_out(doc_id: Column) -> Column:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionaries by language from labelled rows.
 
-    The sample holds, for each language, the SAMPLE_ROWS distinct texts of
-    1 to SAMPLE_CHARS characters with the smallest hashes. It is found by
-    hash: a language's rate follows from its count, so the window sorts a few
-    times SAMPLE_ROWS rows, not all. Nulls are left out; a language with only
-    longer texts takes their first words' worth of dictionary bytes."""
+    The sample holds, for each language, of the SAMPLE_ROWS distinct texts of
+    1 to SAMPLE_CHARS characters with the smallest hashes as many as fill its
+    dictionary. A language's rate follows from its count, so the window sorts a
+    few times SAMPLE_ROWS rows of it, not all. Nulls, and texts without letters,
+    are left out; repeated texts count once; ties of hashes go to the smaller
+    text. Extra columns are not read; an empty table gives no dictionaries. The
+    driver gets TOTAL_BYTES at most, and the languages' names."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
     short = F.length("text") <= SAMPLE_CHARS
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(short.cast("long")).alias("n_short")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(short.cast("long")).alias("n_short")), "language-counts")
+    languages = counts.count()
+    if not languages:
         return {}
-    keep = F.lit(False)
-    for r in counts:
-        # half of the rows may be copies of others
-        share = min(1.0, 4.0 * SAMPLE_ROWS / max(1, r["n_short"] or r["n"]))
-        bound = int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(bound)) & (short if r["n_short"] else F.lit(True)))
-    near = rows.filter(keep).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    size = min(DICTIONARY_BYTES, max(1, TOTAL_BYTES // languages))
+    # half of the rows may be copies of others
+    share = 4.0 * SAMPLE_ROWS / F.when(F.col("n_short") > 0, F.col("n_short")).otherwise(F.col("n"))
+    bound = F.when(share >= 1, F.lit(2**63 - 1)).otherwise(((F.least(share, F.lit(1 - 2.0**-20)) - 0.5) * 2.0**64).cast("long"))
+    bounds = counts.select(F.col("lang").alias("_lang"), bound.alias("bound"), (F.col("n_short") > 0).alias("has_short"))
+    near = rows.join(small_or_not(bounds), F.col("lang") == F.col("_lang")).filter(F.col("h") <= F.col("bound")).filter(short | ~F.col("has_short"))
+    near = near.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy("h")
+    before = first.rowsBetween(Window.unboundedPreceding, -1)
     sample = near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_ROWS)
+    sample = sample.withColumn("filled", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).filter(F.col("filled") < size)
     pieces: dict[str, list[bytes]] = {}
-    for r in sample.orderBy("lang", "nth").collect():
-        pieces.setdefault(r["lang"], []).append(words(r["text"]))
+    for r in sample.select("lang", "nth", F.encode("text", "UTF-8").alias("text")).orderBy("lang", "nth").collect():
+        pieces.setdefault(r["lang"], []).append(words(bytes(r["text"]).decode("utf-8", "replace")))
     # each its own size: shortness() corrects for what a shorter one lacks
-    return {name: b"\n".join(texts)[:DICTIONARY_BYTES] for name, texts in sorted(pieces.items())}
+    return {name: b"\n".join(texts)[:size] for name, texts in sorted(pieces.items())}
 
 
 def words(text: str) -> bytes:
     """UTF-8 of a text in lower case, each run of other than letters and marks
     being one space: case, markup and numbers tell no language."""
-    return re.sub(r"[\W\d_]+", " ", f" {text.lower()} ").encode("utf-8", "surrogatepass")
+    text = f" {text.lower()} "
+    bare = BARE_OF_MARKED if not text.isascii() and MARK.search(text) else BARE
+    return bare.sub(" ", text).encode("utf-8", "surrogatepass")
 
 
 def packer(dictionary: bytes, size: int) -> zstandard.ZstdCompressor:
@@ -115,16 +130,20 @@ def shortness(dictionaries: dict[str, bytes]) -> dict[str, float]:
     its own language's words is not corrected away."""
     size = max(map(len, dictionaries.values()), default=0)
     longest = next((k for k in sorted(dictionaries) if len(dictionaries[k]) == size), None)
-    pieces = [v[at : at + CALIBRATION_BYTES] for k, v in sorted(dictionaries.items()) if k != longest for at in range(0, min(len(v), CALIBRATION_PIECES * CALIBRATION_BYTES), CALIBRATION_BYTES)]
-    factors: dict[int, float] = {size: 1.0}
+    if all(len(v) == size for v in dictionaries.values()):
+        return dict.fromkeys(dictionaries, 1.0)
+    each = max(1, min(CALIBRATION_PIECES, MOST_PIECES // len(dictionaries)))
+    pieces = [v[at : at + CALIBRATION_BYTES] for k, v in sorted(dictionaries.items()) if k != longest for at in range(0, min(len(v), each * CALIBRATION_BYTES), CALIBRATION_BYTES)][:MOST_PIECES]
 
     def total(length: int) -> int:
         p = packer(dictionaries[longest][:length], size)
         return sum(len(p.compress(x + ANCHOR)) - len(ANCHOR) for x in pieces)
 
-    for length in {len(v) for v in dictionaries.values()} - {size}:
-        factors[length] = max(1.0, total(length) / max(1, total(size)))
-    return {k: factors[len(v)] for k, v in dictionaries.items()}
+    # measured at powers of two, and between them by the logarithm
+    lengths = [*(1 << i for i in range(size.bit_length()) if 1 << i < size), size]
+    whole = max(1, total(size))
+    factors = [max(1.0, total(n) / whole) for n in lengths[:-1]] + [1.0]
+    return {k: float(np.interp(np.log2(max(1, len(v))), np.log2(lengths), factors)) for k, v in dictionaries.items()}
 
 
 class Classifier:
@@ -180,7 +199,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Predictions for all docs by a model of those not held out."""
+    """Predictions for all docs by a model of those not held out.
+
+    A null text, or one without letters, is `und` with score 0; of equal sizes
+    the first name wins; repeated rows keep a row each, with equal results; a
+    null id is held out by the empty text's hash. Without labelled rows all are
+    `und`. Extra columns are not read; an empty table gives no rows."""
     model = learn(docs.filter(~held_out(F.col("doc_id"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return predict(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
