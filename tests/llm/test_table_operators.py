@@ -9,13 +9,15 @@ import hashlib
 import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, audio, mixing, packing, sharding, warc
+from tidemark.llm.common import fresh_path
 
 DOCS = "doc_id long, text string"
 
@@ -144,6 +146,24 @@ def test_mixed_documents(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("equal", [100_000, 7])
+def test_mixing_of_equal_rows(spark, monkeypatch, equal):
+    """Equal rows are drawn apart, so that a source of them meets its target."""
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", equal)
+    docs = spark.createDataFrame([(5, "a b c d e f g h", "s")] * 200, "doc_id long, text string, source string").repartition(3)
+    found = mixing.mix(docs).collect()
+    assert len(found) == 200 and abs(sum(r["taken"] for r in found) - 2400) <= 4
+    assert mixing.mixed_documents(docs).count() == sum(r["copies"] for r in found)
+
+
+def test_mixing_prefers_longer_documents(spark):
+    """The extra copies go to longer documents more often."""
+    rows = [(i, " ".join(["w"] * (4 if i % 2 else 64)), "s") for i in range(2000)] + [(5000, "long " * 2000, "t")]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("source = 's'").collect()
+    extra = {n: sum(r["copies"] - 1 for r in found if r["size"] == n) / 1000 for n in (4, 64)}
+    assert extra[64] > 2 * extra[4] > 0
+
+
 def tokenizer_file():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -163,6 +183,13 @@ def check_plan(counts, capacity):
     return len(items)
 
 
+def test_plans_beat_best_fit():
+    rng = np.random.default_rng(1)
+    counts = dict(Counter(rng.integers(1000, 2501, 20_000).tolist()))
+    used = lambda rows: max(first + -(-n // per) for _, _, n, per, first, _ in rows)
+    assert used(packing.best_plan(dict(counts))) < used(packing.plan(dict(counts), small=1))
+
+
 def test_plans():
     rnd = random.Random(9)
     for _ in range(60):
@@ -228,7 +255,19 @@ def test_audio(spark):
         assert r["media_bytes"] == len(full) + 44 and r["media_sha256"] == hashlib.sha256(audio.to_wav(full)).hexdigest()
     assert by[3]["feature"] == by[4]["feature"] != by[2]["feature"]
     media = audio.store_media(spark.createDataFrame(rows, DOCS))
-    one = audio.segment_tensors(media.filter("doc_id = 3")).orderBy("nth").collect()
+    folder = fresh_path(spark, "test-tensors")
+    stored = audio.store_tensors(media, folder)
+    one = audio.segment_tensors(stored.filter("doc_id = 3"), folder).orderBy("nth").collect()
+    # the stored form is Arrow's own tensor type, and holds the frames
+    mels, spans, rate = audio.features(("same text " * 200).encode().ljust(2112, b" "))
+    made = list(audio.tensors(mels, spans, rate))
+    assert [(r["start_s"], r["end_s"], r["frames"]) for r in one] == [x[:3] for x in made]
+    assert all(np.array_equal(np.array(r["values"], np.float16), x[3].reshape(-1)) for r, x in zip(one, made, strict=True))
+    assert by[3]["feature"] == audio.digest(made, len(spans))
+    name = stored.first()["file"]
+    fs, root = audio.file_system(folder)
+    kind = pa.ipc.open_file(fs.open_input_file(f"{root}/{name}")).schema.field("values").type
+    assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [audio.TENSOR_FRAMES, audio.MELS]
     assert all(len(r["values"]) == audio.TENSOR_FRAMES * audio.MELS and r["end_s"] > r["start_s"] for r in one)
     assert audio.audio_features(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -236,11 +275,49 @@ def test_audio(spark):
 def test_audio_of_the_last_bytes():
     """Every byte of a long text is in its features, to the last."""
     text = bytes(97 + i * 7 % 26 for i in range(960))
-    made = audio.digest(*audio.features(text))
+
+    def digest(samples):
+        mels, spans, rate = audio.features(samples)
+        return audio.digest(audio.tensors(mels, spans, rate), len(spans))
+
+    made = digest(text)
     for at in (1, 2, 8, 40, 90):
         other = bytearray(text)
         other[-at] ^= 0x55
-        assert audio.digest(*audio.features(bytes(other))) != made
+        assert digest(bytes(other)) != made
+
+
+def test_log_mel_matches_its_definition():
+    """Frames by a plain discrete Fourier transform and triangles, one by one."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(audio.FRAME * 3 + 77).astype(np.float32)
+    rate, n = audio.RATE * audio.UP // audio.DOWN, audio.FRAME
+    found, energy = audio.log_mel(x, rate)
+    padded = np.concatenate([x, np.zeros(-(len(x) - n) % audio.HOP)])
+    assert len(found) == (len(padded) - n) // audio.HOP + 1
+    hann = [0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]
+    low, high = 2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** ((low + (high - low) * i / (audio.MELS + 1)) / 2595) - 1) for i in range(audio.MELS + 2)]
+    for f in range(len(found)):
+        frame = padded[f * audio.HOP : f * audio.HOP + n] * hann
+        assert energy[f] == pytest.approx(np.log(sum(frame**2) + 1e-6), abs=1e-4)
+        bins = np.arange(audio.FFT // 2 + 1)
+        power = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(n) / audio.FFT))) ** 2 for k in bins]
+        for m in range(0, audio.MELS, 7):
+            a, b, c = edges[m : m + 3]
+            total = 0.0
+            for k, p in zip(bins, power, strict=True):
+                hz = k * rate / audio.FFT
+                total += p * max(0.0, min((hz - a) / (b - a), (c - hz) / (c - b)))
+            assert found[f, m] == pytest.approx(np.log(total + 1e-6), abs=2e-3)
+
+
+def test_long_audio_is_resampled_alike_in_chunks(monkeypatch):
+    samples = bytes(np.random.default_rng(1).integers(0, 256, 5000, np.uint8))
+    whole, _, _ = audio.features(samples)
+    monkeypatch.setattr(audio, "CHUNK", 603)
+    parts, _, _ = audio.features(samples)
+    assert whole.shape == parts.shape and np.abs(whole - parts).max() < 1e-3
 
 
 def test_audio_parts():
