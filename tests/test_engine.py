@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from tidemark.engine import Engine
 from tidemark.errors import SqlError
+from tidemark.operators.signal import Recurrence, iir
 from tidemark.sources.events import catalog_from_json
 
 
@@ -293,3 +295,24 @@ def test_what_there_is(spark):
         e.latest_per_key("s")
     with pytest.raises(SqlError, match="one shift"):
         e.execute("SELECT TIME_SHIFT(x, 1) AS a, TIME_SHIFT(x, 2) AS b FROM s LIMIT 1")
+
+
+@pytest.mark.parametrize(("a", "b"), [([1, -0.5], [0.5]), ([2, 0.3, -0.7, 0.1], [0.2, 0.0, 0.4]), ([1.0], [0.5, 0.5]), ([1, -1.7, 0.8], [1])])
+def test_recursive_filters_run_alike_in_blocks(a, b):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(500)
+    x[300] = math.inf
+    filter_ = Recurrence(a, b)
+    found = np.concatenate([filter_(x[i : i + 130]) for i in range(0, 500, 130)])
+    xs, ys = [0.0] * len(b), [0.0] * (len(a) - 1)
+    for i, v in enumerate(x):
+        xs = [v, *xs[:-1]]
+        y = (sum(c * w for c, w in zip(b, xs, strict=True)) - sum(c * w for c, w in zip(a[1:], ys, strict=True))) / a[0]
+        ys = [y, *ys][: len(a) - 1]
+        assert found[i] == pytest.approx(y, rel=1e-9, abs=1e-12, nan_ok=True)
+
+
+def test_recursive_filters_pass_over_nulls_and_keep_keys_apart(spark):
+    df = spark.createDataFrame([(1, 1, "a", 1.0), (2, 2, "a", None), (3, 3, "b", 4.0), (4, 4, "a", 1.0), (5, 5, None, 2.0), (6, 6, None, float("nan"))], "_ts long, _seq long, k string, x double")
+    found = {r["_ts"]: r["y"] for r in iir(df, "x", [1, -0.5], [0.5], ["k"], "y").collect()}
+    assert [found[i] for i in (1, 2, 3, 4, 5)] == [0.5, None, 2.0, 0.75, 1.0] and math.isnan(found[6])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,32 +50,81 @@ def iir(df: DataFrame, column: str, a: Sequence[float], b: Sequence[float], keys
         raise ValueError("a needs a first coefficient other than 0, b at least one")
     fields = [*df.schema.fields, T.StructField(out, T.DoubleType())]
     keys = list(keys)
+    # pandas has one missing value for NULL and NaN
+    df = df.withColumn("_there", F.col(f"`{column}`").isNotNull())
     held = df.repartition(*[F.col(f"`{k}`") for k in keys]) if keys else df.coalesce(1)
     ordered = held.sortWithinPartitions(*keys, TS, SEQ)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state_key: object = object()
-        past_x: list[float] = []
-        past_y: list[float] = []
+        filter_ = Recurrence(a, b)
+        last: tuple | None = None
         for frame in frames:
-            ys: list[float | None] = []
-            rows = list(zip(*(frame[k] for k in keys), strict=True)) if keys else [()] * len(frame)
-            for key, x in zip(rows, frame[column], strict=True):
-                key = tuple(None if pd.isna(k) else k for k in key)
-                if key != state_key:
-                    state_key, past_x, past_y = key, [0.0] * len(b), [0.0] * (len(a) - 1)
-                if x is None or (isinstance(x, float) and x != x and frame[column].dtype == object):
-                    ys.append(None)
-                    continue
-                past_x = [float(x), *past_x[:-1]]
-                y = (sum(c * v for c, v in zip(b, past_x, strict=True)) - sum(c * v for c, v in zip(a[1:], past_y, strict=True))) / a[0]
-                past_y = [y, *past_y][: len(a) - 1]
-                ys.append(y)
-            yield frame.assign(**{out: pd.Series(ys, index=frame.index, dtype="float64")})
+            x = pd.to_numeric(frame[column]).to_numpy(np.float64, na_value=np.nan)
+            there = frame.pop("_there").to_numpy(bool)
+            y = np.full(len(frame), np.nan)
+            same = np.ones(len(frame), bool)
+            for k in keys:
+                own, before = frame[k], frame[k].shift()
+                same &= ((own == before) | (own.isna() & before.isna())).to_numpy()
+            starts = np.flatnonzero(~same | (np.arange(len(frame)) == 0))
+            for start, end in zip(starts, [*starts[1:], len(frame)], strict=True):
+                key = tuple(None if pd.isna(frame[k].iloc[start]) else frame[k].iloc[start] for k in keys)
+                if key != last:
+                    last = key
+                    filter_.reset()
+                at = start + np.flatnonzero(there[start:end])
+                y[at] = filter_(x[at])
+            out_ = pd.Series(y, index=frame.index, dtype=object).where(there, None)
+            yield frame.assign(**{out: out_})
 
     return ordered.mapInPandas(run, T.StructType(fields))
 
 
+class Recurrence:
+    """A recursive filter over parts of a signal. The recursion runs in blocks:
+    a block's outputs are its inputs and the outputs before it times matrices
+    that depend on the coefficients only."""
+
+    BLOCK = 64
+
+    def __init__(self, a: Sequence[float], b: Sequence[float]) -> None:
+        self.a, self.b, self.order = np.array(a, np.float64), np.array(b, np.float64), len(a) - 1
+        self.reset()
+        n, p = self.BLOCK, self.order
+        impulse = self._loop(np.eye(1, n)[0], np.zeros(p)) if p else np.eye(1, n)[0]
+        self.own = sum(np.diag(np.full(n - i, v), -i) for i, v in enumerate(impulse))
+        self.past = np.stack([self._loop(np.zeros(n), np.eye(p)[i]) for i in range(p)], axis=1) if p else np.zeros((n, 0))
+        self.blocked = bool(np.isfinite(self.own).all() and np.isfinite(self.past).all())
+
+    def reset(self) -> None:
+        """A zero state."""
+        self.inputs, self.outputs = np.zeros(len(self.b) - 1), np.zeros(self.order)
+
+    def _loop(self, x: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """y[n] = x[n] - sum of a[j] y[n-j] / a[0]; before holds the oldest first."""
+        y = before.tolist()
+        weights = (self.a[1:] / self.a[0]).tolist()
+        for v in x.tolist():
+            y.append(v - sum(w * y[-1 - j] for j, w in enumerate(weights)))
+        return np.array(y[len(before) :])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        every = np.concatenate([self.inputs, x])
+        with np.errstate(invalid="ignore", over="ignore"):
+            y = np.convolve(every, self.b)[len(self.b) - 1 : len(every)] / self.a[0] if len(x) else x
+            for at in range(0, len(y) if self.order else 0, self.BLOCK):
+                part = y[at : at + self.BLOCK]
+                n = len(part)
+                if self.blocked and np.isfinite(part).all() and np.isfinite(self.outputs).all():
+                    part = self.own[:n, :n] @ part + self.past[:n] @ self.outputs
+                else:
+                    part = self._loop(part, self.outputs)
+                y[at : at + n] = part
+                self.outputs = np.concatenate([self.outputs, part])[-self.order :]
+        self.inputs = every[len(every) - len(self.b) + 1 :]
+        return y
+
+
 def resample(df: DataFrame, columns: Sequence[str], interval: int, keys: Sequence[str] = (), smooth: Sequence[str] = ()) -> DataFrame:
     """Rows of each key on a grid of the interval that begins at its first
     event, each with the values of the last event at or before it; the columns

@@ -562,12 +562,17 @@ def _live_select(live: Mapping[str, DataFrame], tables: Mapping[str, tuple[DataF
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, path: str, ts: str, seq: str) -> DataFrame:
-    """The Parquet files of a path as a stream of events."""
+def read_stream(spark: SparkSession, path: str, ts: str, seq: str, files: int | None = None) -> DataFrame:
+    """The Parquet files of a path as a stream of events, so many `files` in a
+    micro-batch: the events of a key and batch are in memory at once. Without it
+    all new files are one batch, in which order is that of time."""
     schema = spark.read.parquet(path).schema
     folder, name = path.rstrip("/").rsplit("/", 1)
-    files = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    return files.select(F.unix_micros(F.col(ts).cast("timestamp")).alias(TS), F.col(seq).cast("long").alias(SEQ), *[c for c in files.columns if c != ts])
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    found = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+    return found.select(F.unix_micros(F.col(ts).cast("timestamp")).alias(TS), F.col(seq).cast("long").alias(SEQ), *[c for c in found.columns if c != ts])
 
 
 def run_live(spark: SparkSession, make: Callable[[], DataFrame], checkpoint: str | None = None) -> DataFrame:
