@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,34 +50,33 @@ def iir(df: DataFrame, column: str, a: Sequence[float], b: Sequence[float], keys
         raise ValueError("a needs a first coefficient other than 0, b at least one")
     fields = [*df.schema.fields, T.StructField(out, T.DoubleType())]
     keys = list(keys)
-    # pandas has one missing value for NULL and NaN
-    df = df.withColumn("_there", F.col(f"`{column}`").isNotNull())
     held = df.repartition(*[F.col(f"`{k}`") for k in keys]) if keys else df.coalesce(1)
     ordered = held.sortWithinPartitions(*keys, TS, SEQ)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = Recurrence(a, b)
         last: tuple | None = None
-        for frame in frames:
-            x = pd.to_numeric(frame[column]).to_numpy(np.float64, na_value=np.nan)
-            there = frame.pop("_there").to_numpy(bool)
-            y = np.full(len(frame), np.nan)
-            same = np.ones(len(frame), bool)
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(column).cast(pa.float64())
+            there = x.is_valid().to_numpy(zero_copy_only=False)
+            x = x.fill_null(0.0).to_numpy()
+            y = np.zeros(n)
+            new = np.arange(n) == 0
             for k in keys:
-                own, before = frame[k], frame[k].shift()
-                same &= ((own == before) | (own.isna() & before.isna())).to_numpy()
-            starts = np.flatnonzero(~same | (np.arange(len(frame)) == 0))
-            for start, end in zip(starts, [*starts[1:], len(frame)], strict=True):
-                key = tuple(None if pd.isna(frame[k].iloc[start]) else frame[k].iloc[start] for k in keys)
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new |= np.append(True, codes[1:] != codes[:-1])[:n]
+            starts = np.flatnonzero(new).tolist()
+            for start, end in zip(starts, [*starts[1:], n], strict=False):
+                key = tuple(batch.column(k)[start].as_py() for k in keys)
                 if key != last:
                     last = key
                     filter_.reset()
                 at = start + np.flatnonzero(there[start:end])
                 y[at] = filter_(x[at])
-            out_ = pd.Series(y, index=frame.index, dtype=object).where(there, None)
-            yield frame.assign(**{out: out_})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64(), mask=~there)], names=[*batch.schema.names, out])
 
-    return ordered.mapInPandas(run, T.StructType(fields))
+    return ordered.mapInArrow(run, T.StructType(fields))
 
 
 class Recurrence:
