@@ -14,9 +14,9 @@ bytes are equal and the rest is not, or a bucket's border hides the neighbour,
 the bytes around are fetched, and the strings themselves are sorted by a multikey
 quicksort whose characters are fingerprints of quarter strings; a string is
 repeated if its first difference from a neighbour lies beyond its end. Anchors of
-one GRAM that are too many for a bucket are dealt to several; what is not
-repeated within one of them is range-partitioned again, as strings, and
-neighbours are compared across the borders of the buckets too.
+one GRAM that are too many for a bucket are dealt to several; one of each string
+there goes on to buckets by ranges of its first character, where strings of all
+of them are sorted again.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import POWERS, batches_by_bytes, clear_of, mix64, small_or_not, utf8, written
 
@@ -37,8 +36,9 @@ LENGTH = 400
 GRAM = 128
 #: Bytes of a text that are scanned at once.
 CHUNK = 1 << 20
-#: Open anchors of one GRAM that are sorted together.
-HOT = 2048
+#: Open anchors of one GRAM that are sorted together, and buckets of strings, at
+#: most, for those that are more.
+HOT, MOST_BUCKETS = 2048, 1 << 14
 
 ANCHORS = "kind int, key binary, lead long, h long, span long, a int, lo int, hi int, n int"
 MARKS = "kind int, key binary, lead long, h long, a int, lo int, hi int"
@@ -326,7 +326,8 @@ def look_closer(rows: DataFrame, marks: DataFrame) -> DataFrame:
     hot = written(sizes.select("_lead", "_h", F.ceil(F.col("n") / HOT).cast("int").alias("copies")), "suffix-hot")
     dealt = fetched.join(small_or_not(hot), (F.col("lead") == F.col("_lead")) & (F.col("h") == F.col("_h")), "left").drop("_lead", "_h")
     # the rows of one place stand together, so that they are one
-    dealt = dealt.withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key", "a", "lo"), F.col("copies")).cast("int"), F.lit(0))).withColumn("hot", F.col("copies").isNotNull()).drop("copies")
+    dealt = dealt.withColumn("deal", F.coalesce(F.pmod(F.xxhash64("key", "a", "lo"), F.col("copies")).cast("int"), F.lit(0)))
+    dealt = dealt.withColumn("buckets", F.least(F.coalesce("copies", F.lit(0)), F.lit(MOST_BUCKETS))).drop("copies")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     order = ["lead", "h", "deal"]
     ordered = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -336,56 +337,50 @@ def look_closer(rows: DataFrame, marks: DataFrame) -> DataFrame:
             yield from _repeats(table, CHUNK)
 
     found = written(ordered.mapInArrow(run, STRINGS), "suffix-strings")
-    return found.filter("edge = 0").select("key", "lo", "hi").unionByName(across_buckets(found.filter("edge = 1"), parts))
-
-
-#: Repeated stretches (edge 0), and strings of hot groups that are still to be
-#: compared, by their characters (edge 1).
-STRINGS = "edge int, key binary, lo int, hi int, open boolean, c0 long, c1 long, c2 long, c3 long"
-
-
-def across_buckets(strings: DataFrame, parts: int) -> DataFrame:
-    """Repeated ones of strings that are range-partitioned by their characters
-    and sorted: neighbours are equal within a bucket, or over its border."""
-    order = ["c0", "c1", "c2", "c3", "key", "lo"]
-    ordered = strings.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, "open").withColumn("part", F.spark_partition_id())
-    kinds = "kind int, part int, key binary, lo int, open boolean, c0 long, c1 long, c2 long, c3 long"
+    return found.filter("strings is null").select("key", "lo", "hi").unionByName(across_deals(found.filter("strings is not null"), parts))
+
+
+#: Repeated stretches, or strings of a hot group that are still to be compared,
+#: those of one bucket in one value.
+STRINGS = "key binary, lo int, hi int, lead long, h long, bucket int, strings binary"
+#: One such string: its characters, the text's key, its start, and whether it is
+#: not known to be repeated.
+STRING = np.dtype([("c", "<u8", 4), ("key", "<u8", 2), ("lo", "<i4"), ("open", "?")])
+
+
+def across_deals(strings: DataFrame, parts: int) -> DataFrame:
+    """Repeated ones among the strings of hot groups, each bucket sorted whole:
+    it holds one of each string from each deal."""
+    keys = ["lead", "h", "bucket"]
+    ordered = strings.select(*keys, "strings").repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def repeated(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        x = np.frombuffer(b"".join(held), STRING)
+        order, shared = multikey_quicksort(np.zeros(len(x), np.int64), np.ascontiguousarray(x["c"].T))
+        same = shared == 4
+        found = np.zeros(len(x), bool)
+        found[order] = same | np.append(same[1:], False)
+        x = x[found & x["open"]]
+        if not len(x):
+            return
+        x = x[np.lexsort((x["lo"], x["key"][:, 1], x["key"][:, 0]))]
+        new = np.append(True, (x["key"][1:] != x["key"][:-1]).any(axis=1) | (np.diff(x["lo"]) != 1))
+        first, last = x[new], x[np.append(new[1:], True)]
+        yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in first["key"]], pa.binary()), pa.array(first["lo"].astype(np.int32)), pa.array(last["lo"].astype(np.int32))], names=["key", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # kind 0: repeated; 1 and 2: a bucket's first and last string
-        last: pa.RecordBatch | None = None
-        equal_before = False
-
-        def rows(batch: pa.RecordBatch, at: np.ndarray, kind: int) -> pa.RecordBatch:
-            some = batch.take(pa.array(at))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(some.column(c) for c in ("part", "key", "lo", "open", "c0", "c1", "c2", "c3"))], names=["kind", "part", "key", "lo", "open", "c0", "c1", "c2", "c3"])
-
+        held, bucket = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = [batch.column(f"c{i}").to_numpy() for i in range(4)]
-            same = np.append(False, np.logical_and.reduce([x[1:] == x[:-1] for x in c]))
-            if last is None:
-                yield rows(batch, np.array([0]), 1)
-            else:
-                same[0] = all(last.column(f"c{i}")[0].as_py() == int(c[i][0]) for i in range(4))
-                if same[0] and not equal_before and last.column("open")[0].as_py():
-                    yield rows(last, np.array([0]), 0)
-            found = np.flatnonzero((same | np.append(same[1:], False)) & batch.column("open").to_numpy(zero_copy_only=False))
-            if len(found):
-                yield rows(batch, found, 0)
-            last, equal_before = batch.slice(batch.num_rows - 1), bool(same[-1])
-        if last is not None:
-            yield rows(last, np.array([0]), 2)
-
-    found = written(ordered.mapInArrow(run, kinds), "suffix-neighbours")
-    # two strings for each bucket
-    edges = Window.partitionBy(F.lit(0)).orderBy("part", "kind")
-    string = F.struct("c0", "c1", "c2", "c3")
-    beyond = found.filter("kind > 0").withColumn("before", F.lag(string).over(edges)).withColumn("after", F.lead(string).over(edges))
-    met = F.when(F.col("kind") == 1, F.col("before")).otherwise(F.col("after"))
-    borders = beyond.filter(F.col("open") & (met == string))
-    return found.filter("kind = 0").unionByName(borders.drop("before", "after")).select("key", "lo", F.col("lo").alias("hi"))
+            for *own, data in zip(*(batch.column(c).to_pylist() for c in (*keys, "strings")), strict=True):
+                if own != bucket and held:
+                    yield from repeated(held)
+                    held = []
+                bucket = own
+                held.append(data)
+        if held:
+            yield from repeated(held)
+
+    return ordered.mapInArrow(run, "key binary, lo int, hi int")
 
 
 def _repeats(table: pa.Table, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -396,7 +391,7 @@ def _repeats(table: pa.Table, chunk: int) -> Iterator[pa.RecordBatch]:
     once = np.sort(np.unique(_codes(key, a, lo), return_index=True)[1])
     table = table.take(pa.array(once))
     lead, h, deal, a, lo, hi, kind = (table.column(c).to_numpy() for c in ("lead", "h", "deal", "a", "lo", "hi", "kind"))
-    hot = table.column("hot").to_numpy()
+    buckets = table.column("buckets").to_numpy()
     counts = hi.astype(np.int64) - lo + 1
     row = np.repeat(np.arange(len(counts)), counts)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -411,25 +406,38 @@ def _repeats(table: pa.Table, chunk: int) -> Iterator[pa.RecordBatch]:
     is_open = (kind == OPEN)[row]
     keys = table.column("key").combine_chunks()
 
-    def out(edge: int, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, open_: np.ndarray, c: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(rows), edge, np.int32)), keys.take(pa.array(rows)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(open_), *(pa.array(x) for x in c)],
-            names=["edge", "key", "lo", "hi", "open", "c0", "c1", "c2", "c3"])
-
+    names = [x.split()[0] for x in STRINGS.split(", ")]
     where = np.flatnonzero(repeated & is_open)
     if len(where):
         new = np.append(True, (np.diff(row[where]) != 0) | (np.diff(nth[where]) != 1))
-        first = where[new]
-        last = where[np.append(new[1:], True)]
-        z = np.zeros(len(first), np.int64)
-        yield out(0, row[first], lo[row[first]] + nth[first], lo[row[first]] + nth[last], z > 0, [z, z, z, z])
+        first, last = where[new], where[np.append(new[1:], True)]
+        of = row[first]
+        yield pa.RecordBatch.from_arrays([
+            keys.take(pa.array(of)), pa.array((lo[of] + nth[first]).astype(np.int32)), pa.array((lo[of] + nth[last]).astype(np.int32)),
+            *(pa.nulls(len(of), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
     # one of equal strings goes on, open if it alone is not yet known
     firsts = np.zeros(len(row), bool)
     firsts[order] = ~whole
-    rest = np.flatnonzero(firsts & hot[row])
-    for at in range(0, len(rest), 1 << 16):
-        some = rest[at : at + (1 << 16)]
-        yield out(1, row[some], lo[row[some]] + nth[some], lo[row[some]] + nth[some], is_open[some] & ~repeated[some], [c[some].view(np.int64) for c in characters])
+    rest = np.flatnonzero(firsts & (buckets[row] > 0))
+    if not len(rest):
+        return
+    of = row[rest]
+    wide = np.uint64(2**64 - 1) // buckets[of].astype(np.uint64) + np.uint64(1)
+    wide[buckets[of] == 1] = np.uint64(2**64 - 1)
+    bucket = np.minimum(characters[0, rest] // wide, buckets[of].astype(np.uint64) - np.uint64(1)).astype(np.int32)
+    x = np.empty(len(rest), STRING)
+    x["c"], x["lo"], x["open"] = characters[:, rest].T, lo[of] + nth[rest], is_open[rest] & ~repeated[rest]
+    x["key"] = np.frombuffer(b"".join(keys.to_pylist()), "<u8").reshape(-1, 2)[of]
+    order = np.lexsort((bucket, h[of], lead[of]))
+    x, of, bucket = x[order], of[order], bucket[order]
+    new = np.flatnonzero(np.append(True, (lead[of][1:] != lead[of][:-1]) | (h[of][1:] != h[of][:-1]) | (bucket[1:] != bucket[:-1])))
+    ends = [*new[1:].tolist(), len(x)]
+    for at in range(0, len(new), 256):
+        some = new[at : at + 256]
+        n = len(some)
+        yield pa.RecordBatch.from_arrays([
+            *(pa.nulls(n, k) for k in (pa.binary(), pa.int32(), pa.int32())), pa.array(lead[of[some]]), pa.array(h[of[some]]), pa.array(bucket[some]),
+            pa.array([x[i:j].tobytes() for i, j in zip(some.tolist(), ends[at : at + 256], strict=True)], pa.binary())], names=names)
 
 
 def _characters(contexts: pa.Array, counts: np.ndarray, chunk: int) -> np.ndarray:
