@@ -7,6 +7,11 @@ centroid; a query probes the nearest lists. Within a list the coordinates are
 scanned in column blocks: after each block a hypothesis test abandons the
 candidates whose distance, judged by the coordinates seen, is above the query's
 bound. Scores of the others are exact.
+
+Vectors are sorted by list once and stay where they are: tasks over them read the
+queries from files of the shared folder, in blocks, and only ids and scores go
+through a shuffle. The nearest of a query's lists are searched first, and its
+k-th score there bounds it in the others.
 """
 
 from __future__ import annotations
@@ -17,11 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import clear_of, written
+from tidemark.llm.common import clear_of, fresh_path, written
 
 #: Rows of the sample that fits centroids and bounds, at most.
 SAMPLE_ROWS = 65_536
@@ -37,8 +44,10 @@ AIM = 0.97
 EPSILON = 2.1
 #: Coordinates of one column block.
 BLOCK = 16
-#: Rows of a list, and queries, that meet in one group.
-LIST_ROWS, QUERY_ROWS = 4_096, 2_048
+#: Vectors that a task holds at once, and queries of one file.
+LIST_ROWS, QUERY_ROWS = 32_768, 2_048
+#: Part of the probed lists that is searched first.
+FIRST = 8
 
 
 @dataclass
@@ -65,9 +74,9 @@ class Index:
     def _near(self, turned: np.ndarray) -> np.ndarray:
         return turned @ self.centroids.T - (self.centroids**2).sum(1) / 2
 
-    def probed(self, turned: np.ndarray, n: int) -> np.ndarray:
-        near = self._near(turned)
-        return np.argpartition(-near, n - 1, axis=1)[:, :n] if n < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
+    def nearest_lists(self, turned: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The lists of each query from the low-th nearest to before the high-th."""
+        return np.argsort(-self._near(turned), axis=1, kind="stable")[:, low:high]
 
     def least_score(self, q: np.ndarray, k: int) -> np.ndarray:
         """A score that k candidates reach for sure: that of the k-th in the
@@ -139,16 +148,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("vec") == (size["n"] if size else 0))
 
 
-def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its best k of the rows x that reach its floor: query,
-    vec_ids and exact scores."""
-    turned, asked = index.turned(x), index.turned_queries(q)
+def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties going to the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    start = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+    return query[rank < k], ids[rank < k], scores[rank < k]
+
+
+def scan(index: Index, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, query_ids: np.ndarray, q: np.ndarray, asked: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of the rows x that reach its floor for each query: places of
+    the queries, vec_ids and exact scores."""
     wide = turned.shape[1]
     # |x' - q'|^2 = radius2 + |q|^2 - 2 <x, q>
     bound2 = index.radius2 + (q**2).sum(1) - 2 * floor
     bound2 = np.where(np.isfinite(bound2), np.maximum(bound2, 0), np.inf)
     columns = np.ascontiguousarray(turned.T)
-    step = max(1, (1 << 22) // max(1, len(x)))
+    step = max(1, (1 << 21) // max(1, len(x)))
+    found = []
     for at in range(0, len(q), step):
         some = asked[at : at + step]
         limit = bound2[at : at + step]
@@ -172,63 +190,98 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
         scores = np.empty(len(who))
         for b in range(0, len(who), 1 << 15):
             scores[b : b + (1 << 15)] = np.einsum("ij,ij->i", x[what[b : b + (1 << 15)]], q[at + who[b : b + (1 << 15)]])
-        found_ids = ids[what]
-        keep = found_ids != query_ids[at + who]
-        who, scores, found_ids = who[keep], scores[keep], found_ids[keep]
-        order = np.lexsort((found_ids, -scores, who))
-        who, scores, found_ids = who[order], scores[order], found_ids[order]
-        starts = np.searchsorted(who, np.arange(len(some) + 1))
-        for i in range(len(some)):
-            a, b = starts[i], min(starts[i + 1], starts[i] + k)
-            if a < b:
-                yield int(query_ids[at + i]), found_ids[a:b], scores[a:b]
-
-
-def _search(rows: DataFrame, queries: DataFrame, n: int, n_queries: int, index: Index, probes: int, bounded: bool, k: int) -> DataFrame:
-    """Best k of the probed lists for each query, before the lists are merged."""
-    spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(index)
+        other = ids[what] != query_ids[at + who]
+        found.append(best_of(at + who[other], ids[what[other]], scores[other], k))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def listed(rows: DataFrame, index: Index) -> DataFrame:
+    """All vectors with their list, sorted by it, written."""
+    held = rows.sparkSession.sparkContext.broadcast(index)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("vec"))
             yield pa.RecordBatch.from_arrays([pa.array(held.value.lists(held.value.turned(x)) if len(x) else [], pa.int32()), *batch.columns], names=["list", "vec_id", "vec"])
 
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    # rows of a large list may go to several parts
+    lists = rows.mapInArrow(run, "list int, vec_id long, vec array<double>")
+    return written(lists.repartitionByRange(parts, "list", "vec_id").sortWithinPartitions("list", "vec_id"), "ann-lists")
+
+
+def query_files(queries: DataFrame, index: Index, low: int, high: int, bounded: bool, k: int) -> list[str]:
+    """Files of queries (vec_id, vec, floor, lists) with their low-th to high-th
+    nearest lists, those of near lists in one file. A query's floor is the given
+    one or, if bounded, that of the sample, whichever is greater."""
+    spark = queries.sparkSession
+    held = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 q = matrix(some.column("vec"))
-                lists = held.value.probed(held.value.turned_queries(q), probes)
-                floor = held.value.least_score(q, k) if bounded else np.full(len(q), -np.inf)
-                take = pa.array(np.repeat(np.arange(len(q)), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int32()), some.column("vec_id").take(take), some.column("vec").take(take), pa.array(floor).take(take)], names=["list", "vec_id", "vec", "floor"])
-
-    lists = rows.mapInArrow(listed, "list int, vec_id long, vec array<double>")
-    counts = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}
-    chunks = F.create_map(*[F.lit(v) for a, c in counts.items() for v in (a, max(1, -(-c // LIST_ROWS)))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    turns = max(1, -(-n_queries * probes // (len(index.centroids) * QUERY_ROWS)))
-    hashed = lambda col, m: F.pmod(F.xxhash64(col), m).cast("int")
-    left = lists.withColumn("chunk", hashed("vec_id", chunks[F.col("list")])).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    right = queries.mapInArrow(asking, "list int, vec_id long, vec array<double>, floor double")
-    right = right.withColumn("turn", hashed("vec_id", F.lit(turns))).withColumn("n", chunks[F.col("list")]).filter("n is not null")
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            columns = [t.column(c).combine_chunks() for t, c in ((left, "vec_id"), (left, "vec"), (right, "vec_id"), (right, "vec"), (right, "floor"))]
-            ids, x, asked, q, floor = columns[0].to_numpy(), matrix(columns[1]), columns[2].to_numpy(), matrix(columns[3]), columns[4].to_numpy()
-            out = list(scan(held.value, ids, x, asked, q, floor, k))
-        sizes = [len(i) for _, i, _ in out]
-        return pa.table({
-            "query_id": pa.array(np.repeat(np.array([a for a, _, _ in out], np.int64), sizes), pa.int64()),
-            "vec_id": pa.array(np.concatenate([i for _, i, _ in out]) if out else [], pa.int64()),
-            "score": pa.array(np.concatenate([s for _, _, s in out]) if out else [], pa.float64()),
-        })
-
-    key = ["list", "chunk", "turn"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+                lists = held.value.nearest_lists(held.value.turned_queries(q), low, high)
+                floor = some.column("floor").fill_null(-math.inf).to_numpy(zero_copy_only=False)
+                if bounded:
+                    floor = np.maximum(floor, held.value.least_score(q, k))
+                yield pa.RecordBatch.from_arrays([pa.array(lists[:, 0], pa.int32()), some.column("vec_id"), some.column("vec"), pa.array(floor), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], names=["home", "vec_id", "vec", "floor", "lists"])
+
+    asked = queries.select("vec_id", "vec", "floor").mapInArrow(run, "home int, vec_id long, vec array<double>, floor double, lists array<int>")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    path = fresh_path(spark, "ann-queries")
+    asked.repartitionByRange(parts, "home", "vec_id").write.option("maxRecordsPerFile", QUERY_ROWS).parquet(path)
+    return sorted(spark.read.parquet(path).inputFiles())
+
+
+def search(lists: DataFrame, files: list[str], index: Index, k: int) -> DataFrame:
+    """The best k of each list-sorted part for each query that probes its lists."""
+    held = lists.sparkSession.sparkContext.broadcast(index)
+    size = LIST_ROWS
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                some = batch.slice(at, size)
+                parts.append((some.column("list").to_numpy(), some.column("vec_id").to_numpy(), matrix(some.column("vec"))))
+                rows += some.num_rows
+                if rows >= size:
+                    yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                    parts, rows = [], 0
+        if rows:
+            yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
+        for own, ids, x in chunks(batches):
+            turned = index.turned(x)
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            segments = list(zip(own[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True))
+            for uri in files:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                block = pq.read_table(path, filesystem=fs, columns=["vec_id", "vec", "floor", "lists"])
+                if not block.num_rows:
+                    continue
+                query_ids, q, floor = block.column("vec_id").to_numpy(), matrix(block.column("vec").combine_chunks()), block.column("floor").to_numpy()
+                probes = block.column("lists").combine_chunks()
+                of = np.repeat(np.arange(len(q)), np.diff(probes.offsets.to_numpy()))
+                probed = probes.flatten().to_numpy()
+                asked = index.turned_queries(q)
+                found = []
+                for name, low, high in segments:
+                    who = of[probed == name]
+                    if len(who):
+                        place, vec_ids, scores = scan(index, ids[low:high], x[low:high], turned[low:high], query_ids[who], q[who], asked[who], floor[who], k)
+                        found.append((who[place], vec_ids, scores))
+                if not found:
+                    continue
+                place, vec_ids, scores = best_of(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+                yield pa.RecordBatch.from_pydict({"query_id": query_ids[place], "vec_id": vec_ids, "score": scores})
+
+    return lists.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -252,15 +305,21 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(rows, n, norm2)
     # of several vectors of one id the smallest, whatever the order of rows
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    n_queries = queries.count()
-    if not n_queries:
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("floor", F.lit(None).cast("double"))
+    queries = written(queries, "ann-asked")
+    if not queries.head(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    first = written(_ranked(_search(rows, queries, n, n_queries, index, index.probes, True, k), k), "ann-found")
-    full = first.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
-    short = written(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"), "ann-short")
-    left = short.count()
-    if not left:
-        return first
-    again = _ranked(_search(rows, short, n, left, index, len(index.centroids), False, k), k)
-    return first.join(full, "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(again)
+    lists = listed(rows, index)
+    at_first = max(1, -(-index.probes // FIRST))
+    found = written(_ranked(search(lists, query_files(queries, index, 0, at_first, True, k), index, k), k), "ann-first")
+    if at_first < index.probes:
+        kth = found.filter(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("_kth"))
+        bound = queries.join(kth, F.col("vec_id") == F.col("_id"), "left").select("vec_id", "vec", F.col("_kth").alias("floor"))
+        more = search(lists, query_files(bound, index, at_first, index.probes, True, k), index, k)
+        found = written(_ranked(found.drop("rank").unionByName(more), k), "ann-found")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("_id"))
+    short = written(queries.join(full, F.col("vec_id") == F.col("_id"), "left_anti"), "ann-short")
+    if not short.head(1):
+        return found
+    again = _ranked(search(lists, query_files(short, index, 0, len(index.centroids), False, k), index, k), k)
+    return found.join(full, F.col("query_id") == F.col("_id"), "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(again)
