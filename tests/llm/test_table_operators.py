@@ -7,6 +7,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -354,7 +355,7 @@ VECTORS = "vec_id long, embedding array<float>"
 
 
 def test_nearest(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 64)
+    monkeypatch.setattr(ann, "LIST_ROWS", 500)
     monkeypatch.setattr(ann, "QUERY_ROWS", 16)
     rows = vectors(3000)
     rows += [(5000 + i, rows[40][1]) for i in range(700)] + [(6000, None), (6001, [0.0] * 16), (6002, [float("nan")] * 16), (6003, [None] + [1.0] * 15), (None, rows[1][1]), (6004, [1.0])]
@@ -395,30 +396,111 @@ def test_pipeline_keeps_one_of_each_component(spark, tmp_path):
     assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"] and r["doc_id"]) == [(1, a), (1, b), (2, c), (3, d)]
 
 
+def brute_mix(rows, weights=(5, 2, 1), share=1.5, most=2):
+    """(doc_id, text, source) rows, each as often as it is taken, by plain sums
+    over sorted lists."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = defaultdict(list)
+    for r in rows:
+        by[r[2]].append(r)
+    order = sorted(s for s in by if s is not None) + [None] * (None in by)
+    sizes = [sum(words(t) for _, t, _ in by[s]) for s in order]
+    targets = water(sizes, [weights[i % 3] for i in range(len(order))], share, most)
+    out = []
+    for source, size, target in zip(order, sizes, targets, strict=True):
+        ratio = target / size if size else 0.0
+        p, rest, seen, drawn = ratio - int(ratio), target - int(ratio) * size, Counter(), []
+        for d, t, _ in by[source]:
+            out += [(d, t, source)] * int(ratio)
+            first = hashlib.md5(f"20:{'' if d is None else d}:{t or ''}".encode()).hexdigest()
+            u = (int(hashlib.md5(f"{first}:{seen[d, t]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            seen[d, t] += 1
+            if 0 < p < 1 and words(t):
+                drawn.append((u / (1 - u) / (p / (1 - p) * words(t) ** 0.5), (d, t, source)))
+        drawn.sort(key=lambda x: x[0])
+        off = [abs(sum(words(x[1][1]) for x in drawn[:n]) - rest) for n in range(len(drawn) + 1)]
+        out += [x for _, x in drawn[: off.index(min(off))]]
+    return out
+
+
 def test_pipeline(spark, tmp_path):
+    """run() against all stages done by plain loops, on a small table."""
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_text_operators import shingle_set
+    from tidemark.llm import language_id, pii
+
     pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(8)
     words = {"en": "the house stands near a river under tall trees".split(), "de": "das haus steht am fluss unter hohen bäumen dort".split()}
+    make = lambda lang: " ".join(rnd.choice(words[lang]) + str(rnd.choice(["", "", rnd.choice("xyz")])) for _ in range(rnd.randint(20, 80)))
     rows = []
     for i in range(120):
         lang = rnd.choice(["en", "de"])
-        text = " ".join(rnd.choice(words[lang]) + str(rnd.choice(["", "", rnd.choice("xyz")])) for _ in range(rnd.randint(20, 80)))
+        text = make(lang) + (f" mail me{i}@host.example.com" if i % 9 == 0 else "")
         rows.append((i, text, lang, rnd.choice(["s0", "s1", None]), len(text)))
-    rows += [(200 + i, r[1], *r[2:]) for i, r in enumerate(rows[:10])] + [(300, None, "en", "s0", 0), (301, "99 !! 11", "en", "s0", 8), (302, rows[20][1] + " mail me@host.example.com", "en", "s1", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    assert [name for name, _ in pipeline.STAGES] and len(pipeline.STAGES) == 5
-    counts = []
-    now = docs
-    for i, (_, stage) in enumerate(pipeline.STAGES):
-        made = stage(spark, now, str(tmp_path))
-        made.write.parquet(f"{tmp_path}/stage{i}")
+    rows += [(200 + i, r[1], *r[2:]) for i, r in enumerate(rows[:10])] + [(300, None, "en", "s0", 0), (301, "99 !! 11", "en", "s0", 8), (302, rows[20][1] + " again", "en", "s1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [name for name, _ in pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "PII", "mixing sources to target weights", "best-fit packing"]
+
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model = language_id.Classifier(language_id.learn(spark.createDataFrame(learned, schema)))
+    docs = [r for r in rows if model.best(r[1])[2]]
+    assert 120 <= len(docs) <= 131
+    # each document goes if it is similar to one before it in its component
+    sets, group = [shingle_set(r[1]) for r in docs], list(range(len(docs)))
+    for _ in docs:
+        for i in range(len(docs)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    docs = [r for i, r in enumerate(docs) if group[i] == i]
+    assert not {r[0] for r in docs} & {200, 201, 209, 302}
+    new = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(docs, schema)).collect()}
+    assert all(("@" in r[1]) == (new[r[0]] != r[1]) and f"me{r[0]}@host" not in new[r[0]] for r in docs)
+    mixed = brute_mix([(r[0], new[r[0]], r[3]) for r in docs])
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    expected = Counter()
+    for d, t, _ in mixed:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            expected[d, n, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())] += 1
+    found = pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r)[:5] for r in found) == expected
+    places = defaultdict(list)
+    for r in found:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    assert len(places) <= -(-sum(n for *_, n, _ in expected.elements()) // 4096) + 1
+
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(pipeline.STAGES[:4]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/stage{i}")
         now = spark.read.parquet(f"{tmp_path}/stage{i}")
-        counts.append({r["doc_id"] for r in now.select("doc_id").collect()})
-        if i < 4:
-            assert now.columns == pipeline.COLUMNS
-    assert not counts[0] & {300, 301} and len(counts[0]) == 131
-    assert not counts[1] & {200, 201, 209, 302} and len(counts[1]) == 120
-    assert counts[1] == counts[2] >= counts[3] == counts[4]
-    final = sorted(map(repr, (tuple(r)[:5] for r in pipeline.run(spark, str(tmp_path)).collect())))
-    assert final == sorted(map(repr, (tuple(r)[:5] for r in now.collect())))
+        assert now.columns == pipeline.COLUMNS
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_long_rows_of_sharding_and_language(spark):
+    """Repeated rows keep a row each, very long texts are taken whole."""
+    from tidemark.llm import language_id
+
+    long = "word " * 400_000
+    rows = [(1, "same words here", "en"), (1, "same words here", "en"), (2, long, "en"), (3, None, None), (None, "ein wort", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sharded = sharding.shard_rows(docs, shards=3).collect()
+    assert len(sharded) == 5 and sorted(r["size"] for r in sharded) == [16, 24, 31, 31, len(long) + 16]
+    assert {r["text_crc32"] for r in sharded if r["doc_id"] == 2} == {zlib.crc32(long.encode())}
+    found = language_id.identify(docs).collect()
+    assert len(found) == 5 and len({tuple(r) for r in found if r["doc_id"] == 1}) == 1
