@@ -316,3 +316,15 @@ def test_recursive_filters_pass_over_nulls_and_keep_keys_apart(spark):
     df = spark.createDataFrame([(1, 1, "a", 1.0), (2, 2, "a", None), (3, 3, "b", 4.0), (4, 4, "a", 1.0), (5, 5, None, 2.0), (6, 6, None, float("nan"))], "_ts long, _seq long, k string, x double")
     found = {r["_ts"]: r["y"] for r in iir(df, "x", [1, -0.5], [0.5], ["k"], "y").collect()}
     assert [found[i] for i in (1, 2, 3, 4, 5)] == [0.5, None, 2.0, 0.75, 1.0] and math.isnan(found[6])
+
+
+def test_the_module_has_an_engine_of_its_own(spark):
+    import tidemark
+
+    tidemark.reset()
+    tidemark.execute("CREATE STREAM s (x DOUBLE)")
+    assert tidemark.insert("s", [(1, 2.0), (2, 3.0)]) == 2
+    assert rows(tidemark.execute("SELECT x FROM s LIMIT 1")) == [(2, 3)]
+    with pytest.raises(SqlError, match="LIMIT"):
+        tidemark.execute("SELECT MOVING_SUM(x, 2) AS m FROM s ORDER BY m")
+    tidemark.reset()

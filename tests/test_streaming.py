@@ -9,7 +9,7 @@ import pytest
 
 from tidemark.errors import SqlError
 from tidemark.plans.parser import parse
-from tidemark.streaming.stateful import Machine, live_script, live_view, moved, stream_view
+from tidemark.streaming.stateful import STATE_STORE, Machine, live_script, live_view, moved, stream_view
 
 
 def frame(n, keys=2):
@@ -87,3 +87,20 @@ def test_restart_goes_on_where_it_stopped(spark, tmp_path):
             if m == m:
                 assert found[i] == pytest.approx((s, m))
     assert len(found) == 40 - 4
+
+
+def test_messages_go_out_and_come_in(spark, tmp_path):
+    """A live view of messages in files, its rows as messages in files again."""
+    from tidemark.sources import streams
+
+    events = spark.createDataFrame([(10 * i, i, float(i), float(i % 3)) for i in range(20)], "_ts long, _seq long, x double, k double")
+    streams.encoded(events).write.text(f"{tmp_path}/in")
+    spark.createDataFrame([("no message",), ('{"time": 1, "values": [1]}',), ('{"values": [1, 2]}',)], "value string").write.mode("append").text(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        live = live_view(streams.source(spark, ["x", "k"], "text", path=f"{tmp_path}/in"), "SELECT k, SUM(x) AS s FROM t GROUP BY k")
+        streams.sink(live, f"{tmp_path}/progress", "text", path=f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    found = sorted(tuple(r) for r in streams.decoded(spark.read.text(f"{tmp_path}/out"), ["k", "s"]).collect())
+    assert found == [(10 * i, i, float(i % 3), float(sum(j for j in range(i + 1) if j % 3 == i % 3))) for i in range(20)]

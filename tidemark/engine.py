@@ -546,6 +546,8 @@ class Engine:
         plain = not s.group_by and s.having is None and not any(stateful(i.expr) for i in s.items) and not stateful(s.where)
         if single and isinstance(source, View) and self._planned(source).keys and not s.group_by and any(aggregates(i.expr) for i in s.items):
             return self._over_keys(s, source)
+        if s.order_by and s.limit is None and any(isinstance(self._get(x.name), Stream) for x in s.sources):
+            raise SqlError("ORDER BY over a stream needs LIMIT")
         if single and isinstance(source, Stream) and plain and s.limit is None:
             raise SqlError("a SELECT from a stream needs LIMIT")
         if single and plain and isinstance(source, View) and self._planned(source).keys:
