@@ -423,7 +423,7 @@ def test_language_id_of_longer_texts_only(spark):
     """A language of which only long texts are known: a part of each is learned."""
     rows = language_rows() + [(2000 + i, " ".join(random.Random(i).choices(["een", "twee", "drie", "vier", "vijf", "zes"], k=40_000)), "nl") for i in range(3)]
     model = language_id.learn(spark.createDataFrame(rows, f"{DOCS}, lang string"))
-    assert 0 < len(model["nl"]) <= 3 * language_id.SAMPLE_CHARS + 3
+    assert 0 < len(model["nl"]) <= 3 * (language_id.SAMPLE_CHARS + 3)
     assert language_id.Classifier(model).best("een twee drie vier vijf zes een")[0] == "nl"
 
 
