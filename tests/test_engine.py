@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
 from tidemark.errors import SqlError
@@ -328,3 +329,31 @@ def test_the_module_has_an_engine_of_its_own(spark):
     with pytest.raises(SqlError, match="LIMIT"):
         tidemark.execute("SELECT MOVING_SUM(x, 2) AS m FROM s ORDER BY m")
     tidemark.reset()
+
+
+TOTALS = "SELECT id, SUM(x) AS a, COUNT(*) AS n, AVG(x) AS m, MIN(x) AS lo, MAX(x) AS hi FROM t"
+
+
+def test_totals_by_ranges_read_the_events_twice(spark):
+    """However many totals: what is before a range is found for all at once."""
+    e = Engine(spark, block_rows=50)
+    df = spark.range(400).selectExpr("id DIV 3 AS ts", "id", "(id * 37 % 101) - 50.0D AS x")
+    e.register("t", df, ts="ts", order=["id"])
+    e.execute(f"CREATE VIEW v AS {TOTALS}")
+    out = e.execute("SELECT * FROM v LIMIT 1000")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("Range (0, 400") <= 2
+    total, lo, hi = 0.0, math.inf, -math.inf
+    for n, r in enumerate(sorted(out.collect(), key=lambda r: r["id"])):
+        x = n * 37 % 101 - 50.0
+        total, lo, hi = total + x, min(lo, x), max(hi, x)
+        assert (r["id"], r["a"], r["n"], r["lo"], r["hi"]) == (n, total, n + 1, lo, hi)
+        assert r["m"] == pytest.approx(total / (n + 1))
+
+
+@pytest.mark.parametrize("cuts", [[], [5.0], [1.0, 2.0, 4.0], [float(i) for i in range(0, 50, 2)]])
+def test_place_among_cuts(spark, cuts):
+    from tidemark.operators.blocks import place_of
+
+    found = spark.range(60).select("id", place_of(F.col("id").cast("double"), cuts).alias("p")).collect()
+    assert all(r["p"] == sum(c <= r["id"] for c in cuts) for r in found)
