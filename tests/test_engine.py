@@ -357,3 +357,25 @@ def test_place_among_cuts(spark, cuts):
 
     found = spark.range(60).select("id", place_of(F.col("id").cast("double"), cuts).alias("p")).collect()
     assert all(r["p"] == sum(c <= r["id"] for c in cuts) for r in found)
+
+
+@pytest.mark.parametrize("block_rows", [2_000_000, 3])
+def test_a_stream_with_itself_at_one_time(spark, block_rows):
+    """Each event reaches both sides before the next of its time."""
+    e = Engine(spark, block_rows=block_rows)
+    df = spark.createDataFrame([(10, 1, 1.0), (10, 2, 5.0), (10, 3, 6.0), (20, 4, 9.0), (20, 5, 2.0)], "ts long, id long, x double")
+    e.register("t", df, ts="ts", order=["id"])
+    e.execute("CREATE VIEW v AS SELECT a.id AS id, a.x - b.x AS d FROM t a, t b")
+    found = sorted((r["id"], r["d"]) for r in e.execute("SELECT * FROM v LIMIT 99").collect())
+    assert found == [(1, 0.0), (2, 0.0), (2, 4.0), (3, 0.0), (3, 1.0), (4, 0.0), (4, 3.0), (5, -7.0), (5, 0.0)]
+
+
+@pytest.mark.parametrize("block_rows", [2_000_000, 3])
+def test_windows_over_streams_at_one_time(spark, block_rows):
+    """Rows of one time go on in the order of the sources, not of the events."""
+    e = Engine(spark, block_rows=block_rows)
+    for name, rows_ in {"a": [(1, 1, 1.0), (5, 8, 2.0), (5, 9, 3.0)], "b": [(2, 2, 10.0), (5, 3, 20.0), (6, 4, 30.0)]}.items():
+        e.register(name, spark.createDataFrame(rows_, "ts long, id long, x double"), ts="ts", order=["id"])
+    e.execute("CREATE VIEW p AS SELECT a.x + b.x AS s FROM a, b")
+    e.execute("CREATE VIEW v AS SELECT s, DIFFERENCE(s) AS d FROM p")
+    assert sorted((r["s"], r["d"]) for r in e.execute("SELECT * FROM v LIMIT 99").collect()) == [(12.0, 1.0), (13.0, 1.0), (23.0, 10.0), (33.0, 10.0)]

@@ -9,7 +9,7 @@ import pytest
 
 from tidemark.errors import SqlError
 from tidemark.plans.parser import parse
-from tidemark.streaming.stateful import STATE_STORE, Machine, live_script, live_view, moved, stream_view
+from tidemark.streaming.stateful import STATE_STORE, LatestProcessor, Machine, live_script, live_view, moved, stream_view
 
 
 def frame(n, keys=2):
@@ -104,3 +104,16 @@ def test_messages_go_out_and_come_in(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     found = sorted(tuple(r) for r in streams.decoded(spark.read.text(f"{tmp_path}/out"), ["k", "s"]).collect())
     assert found == [(10 * i, i, float(i % 3), float(sum(j for j in range(i + 1) if j % 3 == i % 3))) for i in range(20)]
+
+
+@pytest.mark.parametrize(("first", "expected"), [
+    ([0, 1], [[5, 1, 3.0, 7.0], [5, 2, 3.0, 8.0], [6, 3, 9.0, 8.0]]),
+    ([0, 0], [[5, 1, 4.0, 7.0], [5, 2, 3.0, 7.0], [5, 3, 3.0, 8.0], [6, 4, 9.0, 8.0]]),
+])
+def test_live_streams_at_one_time(first, expected):
+    """Sources of one time in their order, those of one stream event by event;
+    the rows' sequence keeps that order."""
+    p = LatestProcessor([], ["a.x", "b.x"], None, [[0], [1]], first)
+    events = [[5, 2, 1, None, 8.0], [5, 1, 1, None, 7.0], [5, 2, 0, 3.0, None], [5, 1, 0, 4.0, None], [6, 3, 0, 9.0, None]]
+    state: dict = {}
+    assert p.work(state, sorted(events[:4], key=p.order)) + p.work(state, events[4:]) == expected
