@@ -6,10 +6,11 @@ import statistics
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.errors import SqlError
 from tidemark.plans.parser import parse
-from tidemark.streaming.stateful import STATE_STORE, LatestProcessor, Machine, live_script, live_view, moved, stream_view
+from tidemark.streaming.stateful import STATE_STORE, LatestProcessor, Machine, live_script, live_view, moved, read_stream, run_live, stream_view
 
 
 def frame(n, keys=2):
@@ -117,3 +118,13 @@ def test_live_streams_at_one_time(first, expected):
     events = [[5, 2, 1, None, 8.0], [5, 1, 1, None, 7.0], [5, 2, 0, 3.0, None], [5, 1, 0, 4.0, None], [6, 3, 0, 9.0, None]]
     state: dict = {}
     assert p.work(state, sorted(events[:4], key=p.order)) + p.work(state, events[4:]) == expected
+
+
+def test_live_rows_keep_nan(spark, tmp_path):
+    """NaN is a value, in the rows of a view and in those it hands on."""
+    df = spark.createDataFrame([(i, i, 0.0 if i % 2 else 1.0) for i in range(4)], "ts long, id long, x double").selectExpr("timestamp_seconds(ts) AS ts", "id", "x")
+    df.coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    sql = "CREATE VIEW a AS SELECT id, x, x / (x - x) AS y FROM t; SELECT id, y, y + 1 AS z, CASE WHEN y > 0 THEN 1 ELSE FLOOR(y) END AS w FROM a"
+    read = lambda: live_script({"t": read_stream(spark, f"{tmp_path}/t.parquet", "ts", "id").withColumn("id", F.col("_seq"))}, sql)
+    found = sorted((repr(tuple(r)) for r in run_live(spark, read).collect()))
+    assert found == ["(0, inf, inf, 1.0)", "(1, nan, nan, nan)", "(2, inf, inf, 1.0)", "(3, nan, nan, nan)"]
