@@ -504,3 +504,17 @@ def test_repeated_and_long_rows_of_sharding_and_language(spark):
     assert {r["text_crc32"] for r in sharded if r["doc_id"] == 2} == {zlib.crc32(long.encode())}
     found = language_id.identify(docs).collect()
     assert len(found) == 5 and len({tuple(r) for r in found if r["doc_id"] == 1}) == 1
+
+
+def test_tokens_forget_in_little_memory():
+    """Words are forgotten without an object for each one's ids."""
+    import tracemalloc
+
+    tokens = packing.Tokens(tokenizer_file(), words=10)
+    tokens([b" ".join(b"w%dx" % i for i in range(40_000))])
+    n = tokens.learned
+    tracemalloc.start()
+    tokens.forget()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens.learned <= n // 2 + 2 and peak < 128 * n

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import small_or_not, written
+from tidemark.llm.common import releasing, small_or_not, written
 
 #: Bound of the sample: bytes of one language's dictionary and of all, and rows
 #: of one language's sample. There may be any number of languages; beyond
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
             columns = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

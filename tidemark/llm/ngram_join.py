@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_by_bytes, clear_of, mix64, small_or_not, utf8, written
+from tidemark.llm.common import batches_by_bytes, clear_of, mix64, releasing, small_or_not, utf8, written
 from tidemark.llm.shingles import shingle_sets
 
 #: Similarity as a fraction: links have PER * intersection >= LEAST * union.
@@ -106,7 +106,7 @@ def sign(rows: DataFrame, seed: int, bits: int) -> DataFrame:
             "c2": np.zeros(PIECES, np.int64), "piece": np.arange(PIECES, dtype=np.int32), "counts": pa.array(blobs, pa.binary()),
         })
 
-    return written(rows.mapInArrow(run, SIGNED), "join-signed")
+    return written(rows.mapInArrow(releasing(run), SIGNED), "join-signed")
 
 
 def common_cells(signed: DataFrame, bits: int, tokens: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def common_cells(signed: DataFrame, bits: int, tokens: int) -> np.ndarray:
         for piece, x in sums.items():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "bits": pa.array([np.packbits(x > least).tobytes()], pa.binary())})
 
-    rows = signed.filter("kind = 1").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(total, "piece int, bits binary").collect()
+    rows = signed.filter("kind = 1").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(releasing(total), "piece int, bits binary").collect()
     out = np.zeros(1 << bits, bool)
     size = (1 << bits) // PIECES
     for r in rows:
@@ -169,8 +169,8 @@ def token_rows(rows: DataFrame, seed: int, bits: int, common: np.ndarray, tokens
                 yield pa.RecordBatch.from_pydict(out)
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-tokens // (4 * POSTINGS)))
-    posted = rows.mapInArrow(post, "h long, c long, n int").repartition(parts, "h").sortWithinPartitions("h", "n", "c")
-    return written(posted.mapInArrow(gather, "h long, c long, n int, m int, lead long, lead_n int"), "join-rows")
+    posted = rows.mapInArrow(releasing(post), "h long, c long, n int").repartition(parts, "h").sortWithinPartitions("h", "n", "c")
+    return written(posted.mapInArrow(releasing(gather), "h long, c long, n int, m int, lead long, lead_n int"), "join-rows")
 
 
 def token_runs(parts: Iterator[list[np.ndarray]], size: int) -> Iterator[tuple[list[np.ndarray], int, bool]]:
@@ -261,7 +261,7 @@ def open_groups(probes: DataFrame, sets: DataFrame) -> DataFrame:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return filled.select("g", "role", "c", "comp", "tokens").mapInArrow(run, "a long, b long").distinct()
+    return filled.select("g", "role", "c", "comp", "tokens").mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def dealt(probes: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def token_sets(rows: DataFrame, reps: DataFrame, needed: DataFrame, seed: int) -
             c, _ = _class_of(h, bounds)
             yield pa.RecordBatch.from_pydict({"c": c, "tokens": pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
-    return written(some.mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"]), "join-sets")
+    return written(some.mapInArrow(releasing(run), "c long, tokens binary").dropDuplicates(["c"]), "join-sets")
 
 
 def beside_least(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
@@ -428,7 +428,7 @@ def cross_probes(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFra
             for at, s in zip(first[mixed & (size > ROW)].tolist(), size[mixed & (size > ROW)].tolist(), strict=True):
                 yield from _long_row(h[at], slice(at, at + s), c, n, comp, BLOCK)
 
-    found = written(marked.repartition(parts, "h").sortWithinPartitions("h", "comp", "g", "n", "c").mapInArrow(run, CROSS), "join-cross")
+    found = written(marked.repartition(parts, "h").sortWithinPartitions("h", "comp", "g", "n", "c").mapInArrow(releasing(run), CROSS), "join-cross")
     queries = found.filter("kind = 0").groupBy("c", "g", "n", "comp").agg(F.sum("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
     blocks = found.filter("kind > 0").select("g", (F.col("kind") - 1).alias("role"), "c", "comp")
     return queries, blocks

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import batches_by_bytes, clear_of, written
+from tidemark.llm.common import batches_by_bytes, clear_of, release_memory, releasing, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -291,16 +291,25 @@ class Tokens:
         kept = np.sort(np.argpartition(-seen, self.learned // 2)[: self.learned // 2 + 1])
         if kept[0] != 0:
             kept = np.concatenate([[0], kept])
-        words, sizes = list(self.known), np.diff(self.starts[: self.learned + 1])
-        ids = [self.ids[self.starts[i] : self.starts[i + 1]] for i in kept.tolist()]
-        self.known = _Numbered({words[i]: n for n, i in enumerate(kept.tolist())})
+        words = list(self.known)
+        # the old table goes before the new one is made
+        self.known = _Numbered()
+        self.known.update((words[i], n) for n, i in enumerate(kept.tolist()))
         self.known.fresh = []
         self.learned = len(kept)
-        self.ids = np.concatenate(ids)
-        self.starts = np.concatenate([[0], np.cumsum(sizes[kept])])
+        self.ids, ends = self._ids_of(kept)
+        self.starts = np.concatenate([[0], ends])
         # halved, so that words that were frequent once can go
         self.seen = self.seen[kept] // 2
 
+    def _ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, one after the other, and where each ends."""
+        starts = self.starts[at]
+        sizes = self.starts[at + 1] - starts
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(n) + np.repeat(starts - (ends - sizes), sizes)], ends
+
     def learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), self.JOINED):
             ids, sizes = self.encode([w.decode("utf-8", "surrogatepass") for w in words[at : at + self.JOINED]])
@@ -337,11 +346,7 @@ class Tokens:
             self.learn(fresh)
         self.seen = _room(self.seen, self.learned)
         self.seen[: self.learned] += np.bincount(at, minlength=self.learned)
-        starts = self.starts[at]
-        sizes = self.starts[at + 1] - starts
-        ends = np.cumsum(sizes)
-        n = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(n) + np.repeat(starts - (ends - sizes), sizes)]
+        ids, ends = self._ids_of(at)
         return np.split(ids, ends[np.cumsum([len(w) for w in split])[:-1] - 1]) if split else []
 
 
@@ -363,6 +368,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
     nth number those of one length within the task that made them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         tokens, part = _TOKENS.get(tokenizer) or Tokens(tokenizer), TaskContext.get().partitionId()
         _TOKENS[tokenizer] = tokens
         seen: dict[int, int] = {}
@@ -383,7 +389,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     rows = clear_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, PIECES), "pack-pieces")
+    return written(rows.mapInArrow(releasing(run), PIECES), "pack-pieces")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
