@@ -379,3 +379,20 @@ def test_windows_over_streams_at_one_time(spark, block_rows):
     e.execute("CREATE VIEW p AS SELECT a.x + b.x AS s FROM a, b")
     e.execute("CREATE VIEW v AS SELECT s, DIFFERENCE(s) AS d FROM p")
     assert sorted((r["s"], r["d"]) for r in e.execute("SELECT * FROM v LIMIT 99").collect()) == [(12.0, 1.0), (13.0, 1.0), (23.0, 10.0), (33.0, 10.0)]
+
+
+@pytest.mark.parametrize(("n", "block_rows", "key"), [(17, 2_000_000, None), (20, 2_000_000, None), (20, 90, None), (20, 2_000_000, "k"), (20, 90, "k"), (45, 90, None), (300, 2_000_000, None)])
+def test_quotients_by_a_deviation_are_the_sqls_in_constant_windows(spark, n, block_rows, key):
+    """0 divides what rounding leaves there: NaN or which infinity."""
+    duckdb = pytest.importorskip("duckdb")
+    data = pd.DataFrame({"ts": range(1500), "id": range(1500), "k": [i % 7 // 5 for i in range(1500)]})
+    data["x"], data["y"] = [0.1 + (i // 700) * 0.6 for i in range(1500)], [(i * i % 97) / 10 for i in range(1500)]
+    e = Engine(spark, block_rows=block_rows, hot_keys=True)
+    e.register("t", spark.createDataFrame(data), "ts", ["id"], ["id", "k", "x", "y"])
+    rho = f"(MOVING_AVERAGE(x * y, {n}) - MOVING_AVERAGE(x, {n}) * MOVING_AVERAGE(y, {n})) / (MOVING_STD(x, {n}) * MOVING_STD(y, {n}))"
+    found = {r[-2]: r[-1] for r in everything(e, f"SELECT {'k, ' if key else ''}id, {rho} AS rho FROM t {'GROUP BY k' if key else ''}")}
+    sql = f"""SELECT id, (avg(x * y) OVER w - avg(x) OVER w * avg(y) OVER w) / (stddev_samp(x) OVER w * stddev_samp(y) OVER w) AS rho FROM data
+      WINDOW w AS ({'PARTITION BY k' if key else ''} ORDER BY ts, id ROWS {n - 1} PRECEDING) QUALIFY count(*) OVER w = {n}"""
+    expected = dict(duckdb.sql(sql).fetchall())
+    assert {i: repr(round(v, 6)) for i, v in found.items()} == {i: repr(round(v, 6)) for i, v in expected.items()}
+    assert len({repr(v) for v in expected.values() if not math.isfinite(v)}) > 1
